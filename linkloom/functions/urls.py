@@ -49,8 +49,12 @@ def clean(url: Column) -> Column:
 
 
 def split_url(url: Column) -> Column:
-    """struct(scheme, netloc, path, query, fragment) of a cleaned URL."""
-    u = clean(url)
+    """struct(scheme, netloc, path, query, fragment) of a URL."""
+    return split_clean(clean(url))
+
+
+def split_clean(u: Column) -> Column:
+    """U2 on an already cleaned URL (``u`` should be a cheap reference)."""
     g = lambda i: F.regexp_extract(u, _SPLIT, i)
     return F.struct(
         F.lower(g(1)).alias("scheme"), g(2).alias("netloc"), g(3).alias("path"),
@@ -80,35 +84,46 @@ def percent_encode(s: Column, plus_spaces: bool = False) -> Column:
 
 
 def _dot_segments(segs: Column) -> Column:
-    """Resolve '.' and '..' over an array of path segments (urljoin rules)."""
-    resolved = F.aggregate(
-        segs, F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == lit(".."),
-                              F.when(F.size(acc) > 0, F.slice(acc, 1, F.size(acc) - 1))
-                              .otherwise(acc))
-        .when(s == lit("."), acc)
-        .otherwise(F.concat(acc, F.array(s))))
-    last = F.element_at(segs, -1)
-    resolved = F.when(last.isin(".", ".."), F.concat(resolved, F.array(lit("")))) \
-        .otherwise(resolved)
-    joined = F.array_join(resolved, "/")
-    return F.when(joined == lit(""), lit("/")).otherwise(joined)
-
-
-def join_path(base: Column, rel: Column) -> Column:
-    """``urljoin(base_path, rel_path)`` for scheme- and netloc-less paths."""
-    base_parts = F.split(base, "/")
-    base_parts = F.when(F.element_at(base_parts, -1) != lit(""),
-                        F.slice(base_parts, 1, F.size(base_parts) - 1)).otherwise(base_parts)
-    segs = F.concat(base_parts, F.split(rel, "/"))
+    """Resolve '.' and '..' over an array of path segments (urljoin rules):
+    '..' pops (even the root), '.' is skipped, a trailing dot segment leaves
+    a trailing '/', an empty result is '/'.  ``segs`` is referenced once."""
+    init = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("last"))
+
+    def step(acc, x):
+        out = acc["out"]
+        return F.struct(
+            F.when(x == lit(".."), F.when(F.size(out) > 0, F.slice(out, 1, F.size(out) - 1))
+                   .otherwise(out))
+            .when(x == lit("."), out).otherwise(F.concat(out, F.array(x))).alias("out"),
+            x.alias("last"))
+
+    def finish(acc):
+        out = F.when(acc["last"].isin(".", ".."), F.concat(acc["out"], F.array(lit(""))))\
+            .otherwise(acc["out"])
+        return F.regexp_replace(F.array_join(out, "/"), "^$", "/")
+
+    return F.aggregate(segs, init, step, finish)
+
+
+def join_segments(base: Column, rel: Column) -> Column:
+    """Segments for ``urljoin`` of a relative path (no leading '/'): the base
+    path without its last segment, then the relative segments.  ``base`` and
+    ``rel`` should be cheap references (they are used more than once)."""
+    parts = F.split(base, "/")
+    parts = F.when(F.element_at(parts, -1) != lit(""), F.slice(parts, 1, F.size(parts) - 1))\
+        .otherwise(parts)
+    return F.concat(parts, F.split(rel, "/"))
+
+
+def join_path_from(base: Column, rel: Column, segs: Column) -> Column:
+    """``urljoin(base_path, rel_path)`` given ``segs = join_segments(...)``
+    (a cheap reference: it is used more than once)."""
     n = F.size(segs)
-    segs = F.filter(segs, lambda x, i: (i == 0) | (i == n - 1) | (x != lit("")))
-    relative = _dot_segments(segs)
-    rooted = _dot_segments(F.split(rel, "/"))
+    middle_kept = F.filter(segs, lambda x, i: (i == 0) | (i == n - 1) | (x != lit("")))
     return (F.when(base == lit(""), rel)
             .when(rel == lit(""), base)
-            .when(rel.startswith("/"), rooted)
-            .otherwise(relative))
+            .when(rel.startswith("/"), _dot_segments(F.split(rel, "/")))
+            .otherwise(_dot_segments(middle_kept)))
 
 
 def unsplit(scheme: Column, net: Column, path: Column, query: Column,

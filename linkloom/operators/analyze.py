@@ -34,59 +34,67 @@ ERR_FILE_NOT_FOUND = 12
 ERR_PARSE = 13
 
 
-def _link_parts(link: Column, o: Column) -> Column:
-    s = U.split_url(link)
-    ln, lp = s["netloc"], s["path"]
-    no_net = ln == F.lit("")
-    case_a = no_net & lp.contains(":")
-    case_b = no_net & ~case_a & lp.contains("/") & lp.contains(".")
-    case_c = no_net & ~case_a & ~case_b
-    b_net = F.regexp_extract(lp, r"^([^/?#]*)", 1)
-    b_path = F.regexp_extract(lp, r"^[^/?#]*(.*)$", 1)
-    scheme_tok = F.when(case_b, F.lit("http")).otherwise(s["scheme"])
-    match = F.when(case_c, F.lit(True)).otherwise(ln == o["netloc"])
-    return F.struct(
-        F.when(scheme_tok != F.lit(""), scheme_tok)
-        .when(match, o["scheme"]).otherwise(F.lit("http")).alias("scheme"),
-        F.when(case_a, lp).when(case_b, b_net).when(case_c, o["netloc"])
-        .otherwise(ln).alias("netloc"),
-        F.when(case_b, b_path).when(case_c, U.join_path(o["path"], lp))
-        .otherwise(lp).alias("path"),
-        F.when(case_b, F.lit("")).otherwise(s["query"]).alias("query"),
-        F.when(case_b, F.lit("")).otherwise(s["fragment"]).alias("fragment"),
-        match.alias("match"),
-    )
-
-
-def resolve_links(page_url: Column, links: Column) -> Column:
-    """U4 rules 1-2 over an array of links: struct(scheme, netloc, path,
-    query, fragment, match) per link, before IDNA and encoding."""
-    o = U.split_url(page_url)
-    parts = F.transform(links, lambda l: _link_parts(l, o))
-    return parts
-
-
-def _needs_udf(p: Column) -> Column:
-    return ~p["match"] & ~U.is_ascii(p["netloc"])
+def _fields(p: Column, names) -> list[Column]:
+    return [p[n].alias(n) for n in names]
+
+
+def _stage(arr: Column, keep, fn) -> Column:
+    """One per-link stage: keep some fields of each element, add new ones.
+    Every lambda only reads fields of its lambda variable (cheap), so no
+    expression is copied into another."""
+    return F.transform(arr, lambda p: F.struct(*_fields(p, keep), *fn(p)))
+
+
+def resolve_links(links: Column, o_scheme: Column, o_netloc: Column,
+                  o_path: Column) -> Column:
+    """U4 rules 1-2 and U5 over an array of links: struct(scheme, netloc,
+    path, query, fragment, match, needs_udf) per link, before IDNA and
+    encoding.  ``o_*`` are the page URL's parts (column references)."""
+    split = F.transform(F.transform(links, U.clean), U.split_clean)
+    base = ["scheme", "netloc", "path", "query", "fragment"]
+    flags = _stage(split, base, lambda s: [
+        ((s["netloc"] == "") & s["path"].contains(":")).alias("a"),
+        ((s["netloc"] == "") & ~s["path"].contains(":") & s["path"].contains("/")
+         & s["path"].contains(".")).alias("b"),
+        ((s["netloc"] == "") & ~(s["path"].contains(":")
+                                 | (s["path"].contains("/") & s["path"].contains("."))))
+        .alias("c")])
+    parts = _stage(flags, ["c"], lambda s: [
+        F.when(s["b"], F.lit("http")).when(s["scheme"] != "", s["scheme"])
+        .when(s["c"] | (s["netloc"] == o_netloc), o_scheme).otherwise(F.lit("http"))
+        .alias("scheme"),
+        F.when(s["a"], s["path"]).when(s["b"], F.regexp_extract(s["path"], r"^([^/?#]*)", 1))
+        .when(s["c"], o_netloc).otherwise(s["netloc"]).alias("netloc"),
+        F.when(s["b"], F.regexp_extract(s["path"], r"^[^/?#]*(.*)$", 1))
+        .otherwise(s["path"]).alias("rel"),
+        F.when(s["c"], U.join_segments(o_path, s["path"])).alias("segs"),
+        F.when(s["b"], F.lit("")).otherwise(s["query"]).alias("query"),
+        F.when(s["b"], F.lit("")).otherwise(s["fragment"]).alias("fragment"),
+        (s["c"] | (s["netloc"] == o_netloc)).alias("match")])
+    return _stage(parts, ["scheme", "netloc", "query", "fragment", "match"], lambda p: [
+        F.when(p["c"], U.join_path_from(o_path, p["rel"], p["segs"]))
+        .otherwise(p["rel"]).alias("path"),
+        (~p["match"] & ~U.is_ascii(p["netloc"])).alias("needs_udf")])
 
 
 def finish_links(parts: Column, idna: Column, drop_fragments: bool,
                  drop_query: bool) -> Column:
-    """Assemble struct(url, domain, bad) per link from parts + IDNA output."""
-    def one(p, i):
-        udf_host = F.element_at(idna, i + 1)
-        host = F.when(p["match"], p["netloc"]).when(_needs_udf(p), udf_host).otherwise(p["netloc"])
-        bad = F.when(p["match"], F.lit(False)) \
-            .when(_needs_udf(p), udf_host.isNull()) \
-            .otherwise(U.host_label_error(p["netloc"]))
-        path = U.percent_encode(p["path"])
-        query = F.lit("") if drop_query else U.percent_encode(p["query"], plus_spaces=True)
-        frag = F.lit("") if drop_fragments else U.percent_encode(p["fragment"])
-        return F.struct(U.unsplit(p["scheme"], F.coalesce(host, F.lit("")), path, query, frag)
-                        .alias("url"),
-                        F.coalesce(host, F.lit("")).alias("domain"),
-                        bad.alias("bad"))
-    return F.transform(parts, one)
+    """struct(url, domain, bad) per link from parts + IDNA output."""
+    hosted = F.transform(parts, lambda p, i: F.struct(
+        p["scheme"].alias("scheme"),
+        F.coalesce(F.when(p["match"], p["netloc"])
+                   .when(p["needs_udf"], F.element_at(idna, i + 1))
+                   .otherwise(p["netloc"]), F.lit("")).alias("host"),
+        F.when(p["match"], F.lit(False))
+        .when(p["needs_udf"], F.element_at(idna, i + 1).isNull())
+        .otherwise(U.host_label_error(p["netloc"])).alias("bad"),
+        U.percent_encode(p["path"]).alias("path"),
+        (F.lit("") if drop_query else U.percent_encode(p["query"], plus_spaces=True))
+        .alias("query"),
+        (F.lit("") if drop_fragments else U.percent_encode(p["fragment"])).alias("fragment")))
+    return F.transform(hosted, lambda h: F.struct(
+        U.unsplit(h["scheme"], h["host"], h["path"], h["query"], h["fragment"]).alias("url"),
+        h["host"].alias("domain"), h["bad"].alias("bad")))
 
 
 def analyze_pages(pages: DataFrame, url_col: str = "url", text_col: str = "html",
@@ -99,40 +107,57 @@ def analyze_pages(pages: DataFrame, url_col: str = "url", text_col: str = "html"
     (null when accepted; 12 no body or URL, 13 a host failed IDNA).
     """
     extract = extract_links if exact else extract_links_simple
-    df = pages.select(*keep, F.col(url_col).alias("url"), F.col(text_col).alias("_text"))
+    keep = list(keep)
+    df = pages.select(*keep, F.col(url_col).alias("url"), F.col(text_col).alias("_text"),
+                      U.clean(F.col(url_col)).alias("_cu"))
     df = df.select(*keep, "url", U.netloc(F.col("url")).alias("domain"),
                    F.coalesce(extract(F.col("_text")), F.array().cast("array<string>"))
                    .alias("_links"),
-                   (F.col("url").isNull() | F.col("_text").isNull()).alias("_missing"))
+                   (F.col("url").isNull() | F.col("_text").isNull()).alias("_missing"),
+                   F.lower(F.regexp_extract("_cu", U._SPLIT, 1)).alias("_os"),
+                   F.regexp_extract("_cu", U._SPLIT, 2).alias("_on"),
+                   F.regexp_extract("_cu", U._SPLIT, 3).alias("_op"))
     df = df.select(*keep, "url", "domain", "_missing",
-                   resolve_links(F.col("url"), F.col("_links")).alias("_parts"))
-    idna_in = F.when(F.exists("_parts", _needs_udf),
-                     F.transform("_parts", lambda p: F.when(_needs_udf(p), p["netloc"])))
+                   resolve_links(F.col("_links"), F.col("_os"), F.col("_on"), F.col("_op"))
+                   .alias("_parts"))
+    idna_in = F.when(F.exists("_parts", lambda p: p["needs_udf"]),
+                     F.transform("_parts", lambda p: F.when(p["needs_udf"], p["netloc"])))
     df = df.select("*", idna_hosts(idna_in).alias("_idna"))
     df = df.select(*keep, "url", "domain", "_missing",
                    finish_links(F.col("_parts"), F.col("_idna"), drop_fragments,
                                 drop_query).alias("_res"))
-    bad = F.exists("_res", lambda r: r["bad"])
     return df.select(
         *keep, "url", "domain",
-        F.transform("_res", lambda r: F.struct(r["url"].alias("url"), r["domain"].alias("domain")))
-        .alias("urls"),
+        F.transform("_res", lambda r: F.struct(r["url"].alias("url"),
+                                               r["domain"].alias("domain"))).alias("urls"),
         F.size("_res").alias("n_links"),
         F.when(F.col("_missing"), F.lit(ERR_FILE_NOT_FOUND))
-        .when(bad, F.lit(ERR_PARSE)).cast("int").alias("error"))
+        .when(F.exists("_res", lambda r: r["bad"]), F.lit(ERR_PARSE)).cast("int")
+        .alias("error"))
+
+
+def _keep_where(analyzed: DataFrame, cond: Column, cols) -> DataFrame:
+    # A filter on ``error`` would be pushed below the projections that compute
+    # it, and the optimizer would then derive every page's links twice (once
+    # for the predicate).  Emitting the row from a generator keeps the
+    # predicate where it is.
+    return analyzed.select(F.inline(F.when(cond, F.array(F.struct(*cols)))))
 
 
 def accepted(analyzed: DataFrame) -> DataFrame:
-    return analyzed.filter(F.col("error").isNull()).drop("error")
+    """Pages without error (the ``error`` column dropped)."""
+    return _keep_where(analyzed, F.col("error").isNull(),
+                       [c for c in analyzed.columns if c != "error"])
 
 
 def rejected(analyzed: DataFrame) -> DataFrame:
-    return analyzed.filter(F.col("error").isNotNull())
+    return _keep_where(analyzed, F.col("error").isNotNull(), analyzed.columns)
 
 
 def explode_links(analyzed: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """L4: one row per (page, resolved link) with ``page_url``, ``url``, ``domain``."""
+    """L4: one row per (page, resolved link): ``page_url``, ``pos`` (0-based
+    position among the page's links), ``url``, ``domain``."""
     return analyzed.select(*keep, F.col("url").alias("page_url"),
-                           F.explode("urls").alias("_u")) \
-        .select(*keep, "page_url", F.col("_u.url").alias("url"),
+                           F.posexplode("urls").alias("pos", "_u")) \
+        .select(*keep, "page_url", "pos", F.col("_u.url").alias("url"),
                 F.col("_u.domain").alias("domain"))
