@@ -15,8 +15,9 @@ domain.  So only first occurrences matter, and those are minimum aggregates:
 
 * ``pairs``: min(seq, flags) per (domain, url) -- partial aggregation, so a
   domain holding a third of all rows is combined map-side;
-* ``doms``: min(first seq, url) per domain over ``pairs``, minus stored
-  domains -- names the one pair per new domain that gets priority 2;
+* ``doms``: min(first seq, url) per domain over ``pairs`` (one row per pair,
+  already combined), minus stored domains -- names the one pair per new
+  domain that gets priority 2;
 * published = first occurrences of unstored pairs (priority 2 or 3, or 1/4
   from their own flags) plus every other override/recrawl candidate (1/4).
 
@@ -68,12 +69,21 @@ def _normalise(cand: DataFrame, seq: str) -> DataFrame:
                        ov.alias("override"), rc.alias("recrawl"))
 
 
+def _absent(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    # Rows of ``df`` whose keys are not in ``other``, written as an outer join
+    # + null test: a left-anti join on grouping keys would be pushed below
+    # the aggregates and stop the candidates' exchange from being reused.
+    flag = other.select(*keys).distinct().withColumn("_present", F.lit(True))
+    return df.join(flag, keys, "left").filter(F.col("_present").isNull()).drop("_present")
+
+
 def frontier_step(cand: DataFrame, seen: DataFrame, deny=None, seq: str = "seq",
                   flagged: bool | None = None) -> FrontierResult:
     """F4 over a batch of candidates.
 
-    ``cand`` needs ``seq`` (any orderable type giving a total order, e.g. a
-    struct), ``url``, ``domain`` and optionally ``override``/``recrawl``.
+    ``cand`` needs ``seq``, ``url``, ``domain`` and optionally
+    ``override``/``recrawl``.  Candidates are processed in (seq, url, domain)
+    order; a long ``seq`` keeps the per-pair aggregate a hash aggregate.
     ``seen`` is the stored (domain, url) table.  ``flagged=False`` promises
     there are no override/recrawl rows (links read from pages), which skips
     the second pass over the candidates.
@@ -84,31 +94,39 @@ def frontier_step(cand: DataFrame, seen: DataFrame, deny=None, seq: str = "seq",
     rejects = c.filter(F.col("url").isNull() | F.col("domain").isNull())
     c = deny_filter(c.filter(F.col("url").isNotNull() & F.col("domain").isNotNull()), deny)
 
-    stored_pairs = seen.select("domain", "url").withColumn("_pair_stored", F.lit(True))
-    stored_doms = seen.select("domain").distinct()
-
-    pairs = c.groupBy("domain", "url").agg(
-        F.min(F.struct("seq", "override", "recrawl")).alias("_f"))
-    pairs = pairs.join(stored_pairs, ["domain", "url"], "left")
-    doms = pairs.groupBy("domain").agg(F.min(F.struct(F.col("_f.seq"), F.col("url"))).alias("_d"))
-    new_doms = doms.join(stored_doms, "domain", "left_anti").select(
-        "domain", F.col("_d.url").alias("url"), F.lit(True).alias("_dom_first"))
+    # First occurrence of every pair (within a pair, url and domain are fixed,
+    # so the order's tie-breakers need not be aggregated).
+    if flagged:
+        pairs = c.groupBy("domain", "url").agg(
+            F.min(F.struct("seq", "override", "recrawl")).alias("_f")).select(
+            "domain", "url", F.col("_f.seq").alias("first"),
+            F.col("_f.override").alias("f_override"), F.col("_f.recrawl").alias("f_recrawl"))
+    else:
+        pairs = c.groupBy("domain", "url").agg(F.min("seq").alias("first")).select(
+            "domain", "url", "first", F.lit(False).alias("f_override"),
+            F.lit(False).alias("f_recrawl"))
+    stored = seen.select("domain", "url").withColumn("_pair_stored", F.lit(True))
+    pairs = pairs.join(stored, ["domain", "url"], "left")
+
+    # The first pair of every domain that is not stored.
+    doms = pairs.groupBy("domain").agg(F.min(F.struct("first", "url")).alias("_d")) \
+        .select("domain", F.col("_d.url").alias("url"))
+    new_doms = _absent(doms, seen, ["domain"]).withColumn("_dom_first", F.lit(True))
 
     first_new = pairs.filter(F.col("_pair_stored").isNull()) \
         .join(new_doms, ["domain", "url"], "left")
     a = first_new.select(
-        F.col("_f.seq").alias("seq"), "url", "domain",
-        F.col("_f.override").alias("override"), F.col("_f.recrawl").alias("recrawl"),
-        priority(F.col("_f.override"), ~F.coalesce(F.col("_dom_first"), F.lit(False)),
-                 F.col("_f.recrawl"), F.lit(False)).alias("fetch_priority"))
+        F.col("first").alias("seq"), "url", "domain",
+        F.col("f_override").alias("override"), F.col("f_recrawl").alias("recrawl"),
+        priority(F.col("f_override"), ~F.coalesce(F.col("_dom_first"), F.lit(False)),
+                 F.col("f_recrawl"), F.lit(False)).alias("fetch_priority"))
     additions = first_new.select("domain", "url")
 
     published = a
     if flagged:
         fl = c.filter(F.col("override") | F.col("recrawl")).join(
-            pairs.select("domain", "url", F.col("_f.seq").alias("_pf"), "_pair_stored"),
-            ["domain", "url"])
-        b = fl.filter(F.col("_pair_stored").isNotNull() | (F.col("seq") != F.col("_pf"))) \
+            pairs.select("domain", "url", "first", "_pair_stored"), ["domain", "url"])
+        b = fl.filter(F.col("_pair_stored").isNotNull() | (F.col("seq") != F.col("first"))) \
             .select("seq", "url", "domain", "override", "recrawl",
                     priority(F.col("override"), F.lit(True), F.col("recrawl"), F.lit(True))
                     .alias("fetch_priority"))
@@ -119,20 +137,19 @@ def frontier_step(cand: DataFrame, seen: DataFrame, deny=None, seq: str = "seq",
 def page_candidates(analyzed: DataFrame) -> DataFrame:
     """Candidates from analysed pages (accepted rows): one per distinct link
     of a page -- later copies in the same page would be ignored anyway -- with
-    ``seq`` = (page_id, url, domain).  Deduplicated inside the page's own
-    array, so no shuffle."""
-    return analyzed.select("page_id", F.explode(F.array_distinct("urls")).alias("_u")) \
-        .select(F.struct("page_id", F.col("_u.url").alias("url"),
-                         F.col("_u.domain").alias("domain")).alias("seq"),
-                F.col("_u.url").alias("url"), F.col("_u.domain").alias("domain"))
+    ``seq`` = page_id, so the order is (page_id, url, domain).  Deduplicated
+    inside the page's own array: no shuffle."""
+    return analyzed.select(F.col("page_id").alias("seq"),
+                           F.explode(F.array_distinct("urls")).alias("_u")) \
+        .select("seq", F.col("_u.url").alias("url"), F.col("_u.domain").alias("domain"))
 
 
 def published_per_message(published: DataFrame) -> DataFrame:
-    """number of published URLs per page (``seq.page_id``)."""
-    return published.groupBy(F.col("seq.page_id").alias("page_id")) \
+    """number of published URLs per message (``seq`` = page_id)."""
+    return published.groupBy(F.col("seq").alias("page_id")) \
         .agg(F.count(F.lit(1)).alias("published"))
 
 
 def next_to_fetch(published: DataFrame, n: int) -> DataFrame:
     """the ``n`` first URLs in (fetch_priority, seq) order (a top-k)."""
-    return published.orderBy("fetch_priority", "seq").limit(n)
+    return published.orderBy("fetch_priority", "seq", "url", "domain").limit(n)

@@ -316,6 +316,15 @@ FROM cnt""")
 SELECT p.page_id, to_json(struct_pack(url := p.url, domain := """ + netloc("p.url") + """,
   urls := coalesce(m.urls, []))) AS message
 FROM acc_pages p LEFT JOIN m USING (page_id)""")
+    out["stream_links_resolved"] = out["links_resolved"]
+    out["stream_frontier"] = out["frontier_step"]
+    out["stream_dedupe"] = with_base("x AS (SELECT 1)\nSELECT DISTINCT domain, url FROM acc")
+    out["stream_domain_first"] = with_base("""cand AS (SELECT DISTINCT page_id, url, domain FROM acc),
+r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY page_id, url) AS rn FROM cand)
+SELECT page_id, url, domain, CAST(2 AS INTEGER) AS fetch_priority FROM r WHERE rn = 1""")
+    out["stream_domain_edges"] = out["domain_edges"]
+    out["hook_messages"] = with_base("""m AS (SELECT page_id, count(*) AS n FROM acc GROUP BY page_id)
+SELECT p.page_id, p.url, CAST(m.n AS BIGINT) AS n_urls FROM acc_pages p JOIN m USING (page_id)""")
     return out
 
 

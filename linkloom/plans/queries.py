@@ -100,7 +100,7 @@ def _frontier(spark, sf_dir, deny=None):
 
 
 def _published_cols(published: DataFrame) -> DataFrame:
-    return published.select(F.col("seq.page_id").alias("page_id"), "url", "domain",
+    return published.select(F.col("seq").alias("page_id"), "url", "domain",
                             "fetch_priority")
 
 
@@ -236,3 +236,87 @@ QUERIES = {
     "bloom_stats": q_bloom_stats,
     "messages_json": q_messages_json,
 }
+
+
+# ------------------------------------------------------------- streaming --
+# Each runs its stream over the stored pages until the input is consumed
+# (availableNow) and returns the sink table; the result must equal the batch
+# query of the same name without the ``stream_`` prefix.
+
+def q_stream_links_resolved(spark, sf_dir):
+    """Continuous extraction + resolution."""
+    from linkloom.streaming import jobs as T
+    links = A.explode_links(A.accepted(T.analyzed_stream(spark, sf_dir, glob="pages.parquet")))
+    out = T.run_to_table(links.select("page_id", "url", "domain"), "stream-links")
+    return spark.read.parquet(out)
+
+
+def q_stream_frontier(spark, sf_dir):
+    """Frontier per micro-batch against a table-backed seen set."""
+    from linkloom.session import scratch_path
+    from linkloom.streaming import jobs as T
+    seen_path = scratch_path(spark, "stream-seen")
+    seen_from_pages(spark, sf_dir).write.parquet(f"{seen_path}/batch_id=-1")
+    out_path = scratch_path(spark, "stream-frontier")
+    stream = T.analyzed_stream(spark, sf_dir, glob="pages.parquet")
+    T.run_to_table(stream, "stream-frontier-q", foreach_batch=T.frontier_batches(seen_path, out_path))
+    return _published_cols(spark.read.parquet(out_path).drop("batch_id"))
+
+
+def q_stream_dedupe(spark, sf_dir):
+    """Each linked (domain, url) once across the stream."""
+    from linkloom.streaming import jobs as T
+    links = A.explode_links(A.accepted(T.analyzed_stream(spark, sf_dir, glob="pages.parquet")))
+    out = T.run_to_table(T.dedupe_stream(links.select("domain", "url")), "stream-dedupe")
+    return spark.read.parquet(out)
+
+
+def q_stream_domain_first(spark, sf_dir):
+    """T4: first URL of each domain seen by the stream (priority 2)."""
+    from linkloom.streaming import jobs as T
+    cand = FR.page_candidates(A.accepted(T.analyzed_stream(spark, sf_dir, glob="pages.parquet")))
+    out = T.run_to_table(T.domain_first_stream(cand), "stream-domain-first")
+    return spark.read.parquet(out).select(F.col("seq").alias("page_id"), "url", "domain",
+                                          "fetch_priority")
+
+
+def q_stream_domain_edges(spark, sf_dir):
+    """T5: continuous graph log."""
+    from linkloom.streaming import jobs as T
+    edges = T.edges_stream(T.analyzed_stream(spark, sf_dir, glob="pages.parquet"), OBSERVED)
+    return spark.read.parquet(T.run_to_table(edges, "stream-edges"))
+
+
+class _LinkCounter:
+    """T6 sample hook: the logger's guard (url present, links present) and
+    the analyser's per-message link count."""
+
+    def on_start(self):
+        self.n = 0
+
+    def on_message(self, m):
+        urls = m["urls"]
+        if m["url"] is None or urls is None or len(urls) == 0:
+            return []
+        self.n += 1
+        return [{"page_id": m["page_id"], "url": m["url"], "n_urls": len(urls)}]
+
+    def on_stop(self):
+        return []
+
+
+def q_hook_messages(spark, sf_dir):
+    """A user hook over analysed pages through mapInPandas."""
+    from linkloom.streaming import jobs as T
+    return T.map_messages(accepted_pages(spark, sf_dir).select("page_id", "url", "urls"),
+                          _LinkCounter, "page_id long, url string, n_urls long")
+
+
+QUERIES.update({
+    "stream_links_resolved": q_stream_links_resolved,
+    "stream_frontier": q_stream_frontier,
+    "stream_dedupe": q_stream_dedupe,
+    "stream_domain_first": q_stream_domain_first,
+    "stream_domain_edges": q_stream_domain_edges,
+    "hook_messages": q_hook_messages,
+})
