@@ -115,15 +115,37 @@ def join_segments(base: Column, rel: Column) -> Column:
     return F.concat(parts, F.split(rel, "/"))
 
 
-def join_path_from(base: Column, rel: Column, segs: Column) -> Column:
-    """``urljoin(base_path, rel_path)`` given ``segs = join_segments(...)``
-    (a cheap reference: it is used more than once)."""
+_REL_PATH = r"^((?:.*/)?[^/;]*)"
+_REL_PARAMS = r"^(?:.*/)?[^/;]*;([^/]*)$"
+
+
+def rel_path(rel: Column) -> Column:
+    """The relative path without the ``;params`` of its last segment."""
+    return F.regexp_extract(rel, _REL_PATH, 1)
+
+
+def rel_params(rel: Column) -> Column:
+    """The ``;params`` text of the last segment ('' when none)."""
+    return F.regexp_extract(rel, _REL_PARAMS, 1)
+
+
+def join_path_from(base: Column, rel: Column, rpath: Column, rparams: Column,
+                   segs: Column) -> Column:
+    """``urljoin(base_path, rel)`` given ``rpath``/``rparams`` (the rel
+    path split at the last segment's ';') and ``segs =
+    join_segments(base, rpath)``; all arguments are cheap references.  Like
+    ``urljoin`` the params are set aside while segments resolve and put back
+    only when non-empty."""
     n = F.size(segs)
     middle_kept = F.filter(segs, lambda x, i: (i == 0) | (i == n - 1) | (x != lit("")))
+    resolved = F.when(rpath.startswith("/"), _dot_segments(F.split(rpath, "/"))) \
+        .otherwise(_dot_segments(middle_kept))
+    with_params = F.when(rparams != lit(""), F.concat(resolved, lit(";"), rparams)) \
+        .otherwise(resolved)
     return (F.when(base == lit(""), rel)
             .when(rel == lit(""), base)
-            .when(rel.startswith("/"), _dot_segments(F.split(rel, "/")))
-            .otherwise(_dot_segments(middle_kept)))
+            .when((rpath == lit("")) & (rparams == lit("")), base)
+            .otherwise(with_params))
 
 
 def unsplit(scheme: Column, net: Column, path: Column, query: Column,

@@ -67,12 +67,16 @@ def resolve_links(links: Column, o_scheme: Column, o_netloc: Column,
         .when(s["c"], o_netloc).otherwise(s["netloc"]).alias("netloc"),
         F.when(s["b"], F.regexp_extract(s["path"], r"^[^/?#]*(.*)$", 1))
         .otherwise(s["path"]).alias("rel"),
-        F.when(s["c"], U.join_segments(o_path, s["path"])).alias("segs"),
+        F.when(s["c"], U.rel_path(s["path"])).alias("rpath"),
+        F.when(s["c"], U.rel_params(s["path"])).alias("rparams"),
         F.when(s["b"], F.lit("")).otherwise(s["query"]).alias("query"),
         F.when(s["b"], F.lit("")).otherwise(s["fragment"]).alias("fragment"),
         (s["c"] | (s["netloc"] == o_netloc)).alias("match")])
+    parts = _stage(parts, ["scheme", "netloc", "rel", "rpath", "rparams", "query",
+                           "fragment", "match", "c"], lambda p: [
+        F.when(p["c"], U.join_segments(o_path, p["rpath"])).alias("segs")])
     return _stage(parts, ["scheme", "netloc", "query", "fragment", "match"], lambda p: [
-        F.when(p["c"], U.join_path_from(o_path, p["rel"], p["segs"]))
+        F.when(p["c"], U.join_path_from(o_path, p["rel"], p["rpath"], p["rparams"], p["segs"]))
         .otherwise(p["rel"]).alias("path"),
         (~p["match"] & ~U.is_ascii(p["netloc"])).alias("needs_udf")])
 

@@ -48,11 +48,13 @@ def exists_bulk(seen: DataFrame, probes: DataFrame) -> DataFrame:
     Every probe needs both parts; a probe missing one fails the query
     (error 2), as the reference does.
     """
-    checked = probes.select(
-        F.when(F.col("domain").isNull() | (F.col("domain") == "")
-               | F.col("url").isNull() | (F.col("url") == ""),
-               F.raise_error(F.lit("Must specify a domain and url.")))
-        .otherwise(F.col("domain")).alias("domain"), "url")
+    bad = (F.col("domain").isNull() | (F.col("domain") == "")
+           | F.col("url").isNull() | (F.col("url") == ""))
+    fail = F.raise_error(F.lit("Must specify a domain and url."))
+    # Both join keys carry the check, so the null filters Spark infers for
+    # the join evaluate it instead of dropping the bad probe silently.
+    checked = probes.select(F.when(bad, fail).otherwise(F.col("domain")).alias("domain"),
+                            F.when(bad, fail).otherwise(F.col("url")).alias("url"))
     return seen.select("domain", "url").join(checked, ["domain", "url"], "left_semi")
 
 

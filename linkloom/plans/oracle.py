@@ -63,13 +63,17 @@ def dots(segs: str) -> str:
 
 
 def join_path(base: str, rel: str) -> str:
+    rpath = f"regexp_extract({rel}, {s(U._REL_PATH)}, 1)"
+    rparams = f"regexp_extract({rel}, {s(U._REL_PARAMS)}, 1)"
     bs = f"string_split({base}, '/')"
     bparts = f"(CASE WHEN {bs}[len({bs})] <> '' THEN list_slice({bs}, 1, len({bs})-1) ELSE {bs} END)"
-    segs0 = f"list_concat({bparts}, string_split({rel}, '/'))"
+    segs0 = f"list_concat({bparts}, string_split({rpath}, '/'))"
     segs = f"list_filter({segs0}, lambda x, i: i = 1 OR i = len({segs0}) OR x <> '')"
+    resolved = (f"(CASE WHEN starts_with({rpath}, '/') THEN {dots(f'string_split({rpath}, {s(chr(47))})')} "
+                f"ELSE {dots(segs)} END)")
     return (f"(CASE WHEN {base} = '' THEN {rel} WHEN {rel} = '' THEN {base} "
-            f"WHEN starts_with({rel}, '/') THEN {dots(f'string_split({rel}, {s(chr(47))})')} "
-            f"ELSE {dots(segs)} END)")
+            f"WHEN {rpath} = '' AND {rparams} = '' THEN {base} "
+            f"WHEN {rparams} <> '' THEN {resolved} || ';' || {rparams} ELSE {resolved} END)")
 
 
 def unsplit(sc: str, net: str, path: str, query: str, frag: str) -> str:
