@@ -116,17 +116,18 @@ def join_segments(base: Column, rel: Column) -> Column:
 
 
 _REL_PATH = r"^((?:.*/)?[^/;]*)"
+_DOT_SEGMENT = r"(^|/)\.\.?(/|$)"
 _REL_PARAMS = r"^(?:.*/)?[^/;]*;([^/]*)$"
 
 
 def rel_path(rel: Column) -> Column:
     """The relative path without the ``;params`` of its last segment."""
-    return F.regexp_extract(rel, _REL_PATH, 1)
+    return F.when(rel.contains(";"), F.regexp_extract(rel, _REL_PATH, 1)).otherwise(rel)
 
 
 def rel_params(rel: Column) -> Column:
     """The ``;params`` text of the last segment ('' when none)."""
-    return F.regexp_extract(rel, _REL_PARAMS, 1)
+    return F.when(rel.contains(";"), F.regexp_extract(rel, _REL_PARAMS, 1)).otherwise(lit(""))
 
 
 def join_path_from(base: Column, rel: Column, rpath: Column, rparams: Column,
@@ -138,7 +139,9 @@ def join_path_from(base: Column, rel: Column, rpath: Column, rparams: Column,
     only when non-empty."""
     n = F.size(segs)
     middle_kept = F.filter(segs, lambda x, i: (i == 0) | (i == n - 1) | (x != lit("")))
-    resolved = F.when(rpath.startswith("/"), _dot_segments(F.split(rpath, "/"))) \
+    rooted = rpath.startswith("/")
+    resolved = F.when(rooted & ~rpath.rlike(_DOT_SEGMENT), rpath) \
+        .when(rooted, _dot_segments(F.split(rpath, "/"))) \
         .otherwise(_dot_segments(middle_kept))
     with_params = F.when(rparams != lit(""), F.concat(resolved, lit(";"), rparams)) \
         .otherwise(resolved)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import urls as U
-from linkloom.functions.idna import idna_hosts
+from linkloom.functions.idna import jvm_idna
 from linkloom.functions.links import extract_links, extract_links_simple
 
 # Error codes carried in the ``error`` column.
@@ -48,7 +48,7 @@ def _stage(arr: Column, keep, fn) -> Column:
 def resolve_links(links: Column, o_scheme: Column, o_netloc: Column,
                   o_path: Column) -> Column:
     """U4 rules 1-2 and U5 over an array of links: struct(scheme, netloc,
-    path, query, fragment, match, needs_udf) per link, before IDNA and
+    path, query, fragment, match, needs_idna) per link, before IDNA and
     encoding.  ``o_*`` are the page URL's parts (column references)."""
     split = F.transform(F.transform(links, U.clean), U.split_clean)
     base = ["scheme", "netloc", "path", "query", "fragment"]
@@ -74,23 +74,24 @@ def resolve_links(links: Column, o_scheme: Column, o_netloc: Column,
         (s["c"] | (s["netloc"] == o_netloc)).alias("match")])
     parts = _stage(parts, ["scheme", "netloc", "rel", "rpath", "rparams", "query",
                            "fragment", "match", "c"], lambda p: [
-        F.when(p["c"], U.join_segments(o_path, p["rpath"])).alias("segs")])
+        F.when(p["c"] & ~p["rpath"].startswith("/"), U.join_segments(o_path, p["rpath"]))
+        .alias("segs")])
     return _stage(parts, ["scheme", "netloc", "query", "fragment", "match"], lambda p: [
         F.when(p["c"], U.join_path_from(o_path, p["rel"], p["rpath"], p["rparams"], p["segs"]))
         .otherwise(p["rel"]).alias("path"),
-        (~p["match"] & ~U.is_ascii(p["netloc"])).alias("needs_udf")])
+        (~p["match"] & ~U.is_ascii(p["netloc"])).alias("needs_idna")])
 
 
-def finish_links(parts: Column, idna: Column, drop_fragments: bool,
-                 drop_query: bool) -> Column:
-    """struct(url, domain, bad) per link from parts + IDNA output."""
-    hosted = F.transform(parts, lambda p, i: F.struct(
+def finish_links(parts: Column, drop_fragments: bool, drop_query: bool) -> Column:
+    """struct(url, domain, bad) per link."""
+    coded = _stage(parts, ["scheme", "netloc", "path", "query", "fragment", "match",
+                           "needs_idna"], lambda p: [
+        F.when(p["needs_idna"], jvm_idna(p["netloc"])).alias("idna")])
+    hosted = F.transform(coded, lambda p: F.struct(
         p["scheme"].alias("scheme"),
-        F.coalesce(F.when(p["match"], p["netloc"])
-                   .when(p["needs_udf"], F.element_at(idna, i + 1))
+        F.coalesce(F.when(p["match"], p["netloc"]).when(p["needs_idna"], p["idna"])
                    .otherwise(p["netloc"]), F.lit("")).alias("host"),
-        F.when(p["match"], F.lit(False))
-        .when(p["needs_udf"], F.element_at(idna, i + 1).isNull())
+        F.when(p["match"], F.lit(False)).when(p["needs_idna"], p["idna"].isNull())
         .otherwise(U.host_label_error(p["netloc"])).alias("bad"),
         U.percent_encode(p["path"]).alias("path"),
         (F.lit("") if drop_query else U.percent_encode(p["query"], plus_spaces=True))
@@ -101,6 +102,19 @@ def finish_links(parts: Column, idna: Column, drop_fragments: bool,
         h["host"].alias("domain"), h["bad"].alias("bad")))
 
 
+def spread(pages: DataFrame, key: str) -> DataFrame:
+    """Hash-spread the pages when the scan yields fewer partitions than the
+    cluster has cores (a few large row groups), so the per-page regex work
+    runs on every core.  A large input already has many more partitions than
+    cores and is left as it is (no shuffle)."""
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    if pages.isStreaming:
+        return pages
+    if pages.rdd.getNumPartitions() >= cores:
+        return pages
+    return pages.repartition(cores, F.col(key))
+
+
 def analyze_pages(pages: DataFrame, url_col: str = "url", text_col: str = "html",
                   drop_fragments: bool = True, drop_query: bool = False,
                   exact: bool = True, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
@@ -112,6 +126,7 @@ def analyze_pages(pages: DataFrame, url_col: str = "url", text_col: str = "html"
     """
     extract = extract_links if exact else extract_links_simple
     keep = list(keep)
+    pages = spread(pages, url_col)
     df = pages.select(*keep, F.col(url_col).alias("url"), F.col(text_col).alias("_text"),
                       U.clean(F.col(url_col)).alias("_cu"))
     df = df.select(*keep, "url", U.netloc(F.col("url")).alias("domain"),
@@ -124,12 +139,8 @@ def analyze_pages(pages: DataFrame, url_col: str = "url", text_col: str = "html"
     df = df.select(*keep, "url", "domain", "_missing",
                    resolve_links(F.col("_links"), F.col("_os"), F.col("_on"), F.col("_op"))
                    .alias("_parts"))
-    idna_in = F.when(F.exists("_parts", lambda p: p["needs_udf"]),
-                     F.transform("_parts", lambda p: F.when(p["needs_udf"], p["netloc"])))
-    df = df.select("*", idna_hosts(idna_in).alias("_idna"))
     df = df.select(*keep, "url", "domain", "_missing",
-                   finish_links(F.col("_parts"), F.col("_idna"), drop_fragments,
-                                drop_query).alias("_res"))
+                   finish_links(F.col("_parts"), drop_fragments, drop_query).alias("_res"))
     return df.select(
         *keep, "url", "domain",
         F.transform("_res", lambda r: F.struct(r["url"].alias("url"),

@@ -105,3 +105,16 @@ def test_explode_positions(spark):
                                "page_id long, url string, html string")
     rows = explode_links(analyze_pages(df)).orderBy("pos").collect()
     assert [(r.pos, r.url) for r in rows] == [(0, "http://h.com/a"), (1, "http://h.com/b")]
+
+
+def test_jvm_idna_equals_python_codec(spark):
+    import random
+    from linkloom.functions.idna import idna_host, jvm_idna
+    rnd = random.Random(2)
+    alphabet = list("abcXYZ09-.") + list("初音ミクはかわいいüéßİıＡＢ。．ﬁ") + ["­", "‍", "😀", "ا", "ب", "́", "ς"]
+    hosts = ["初音ミク.com", "ex😀.com", "bücher.de.", "ü" * 70 + ".com", "．", "a。。b", "ΑΒΓ.gr", "初音ミク.com:80"]
+    hosts += ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 12))) for _ in range(1500)]
+    hosts = [h for h in hosts if not h.isascii()]
+    df = spark.createDataFrame([(h,) for h in hosts], "h string")
+    rows = df.select("h", jvm_idna(F.col("h")).alias("j"), idna_host(F.col("h")).alias("p")).collect()
+    assert [r.h for r in rows if r.j != r.p] == []
