@@ -11,10 +11,11 @@ that bound is under the broadcast threshold.
 
 Hash (B2), reference-compatible: 64-bit FNV-1 of the UTF-8 bytes; with
 ``hi`` = upper and ``lo`` = lower 32 bits, index i = ((hi + i*lo + i*i) mod
-2^32) mod m for i in 0..k-1.  It runs in an Arrow-batched pandas UDF with
-numpy uint64 arithmetic, because 64-bit wrap-around multiplication is not
-expressible in ANSI Spark SQL without overflow errors.  A string holding NUL
-is rejected (null indexes), as the reference does.
+2^32) mod m for i in 0..k-1.  The hash runs in an Arrow-batched pandas UDF
+with numpy uint64 arithmetic, because 64-bit wrap-around multiplication is
+not expressible in ANSI Spark SQL without overflow errors; the k indexes are
+then plain long arithmetic in Spark.  A string holding NUL is rejected (null
+indexes), as the reference does.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from decimal import Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -110,34 +112,50 @@ def error_rate(n: Column, params: BloomParams) -> Column:
 def fnv1_64_many(values) -> tuple[np.ndarray, np.ndarray]:
     """FNV-1 64 of many strings at once: (uint64 hashes, valid mask).
 
-    All bytes go into one flat buffer; step j updates every string longer
-    than j, so the work is one numpy operation per byte position.
+    The UTF-8 bytes are read straight from an Arrow string array (offsets +
+    data buffer, no per-row Python); step j updates every string longer than
+    j, so the work is one numpy operation per byte position.  Null strings
+    and strings holding NUL are invalid.
     """
-    enc = [None if v is None else v.encode("utf-8") for v in values]
-    n = len(enc)
-    valid = np.array([b is not None and b"\x00" not in b for b in enc], dtype=bool)
-    lens = np.array([len(b) if ok else 0 for b, ok in zip(enc, valid)], dtype=np.int64)
+    arr = values if isinstance(values, (pa.Array, pa.ChunkedArray)) \
+        else pa.array(values, type=pa.string())
+    if isinstance(arr, pa.ChunkedArray):
+        arr = arr.combine_chunks()
+    arr = arr.cast(pa.large_string())
+    n = len(arr)
     h = np.full(n, FNV64_OFFSET, dtype=np.uint64)
-    if n == 0 or lens.max(initial=0) == 0:
+    if n == 0:
+        return h, np.zeros(0, dtype=bool)
+    valid = ~np.asarray(arr.is_null().to_numpy(zero_copy_only=False), dtype=bool)
+    bufs = arr.buffers()
+    offsets = np.frombuffer(bufs[1], dtype=np.int64)[arr.offset:arr.offset + n + 1]
+    data = np.frombuffer(bufs[2], dtype=np.uint8) if bufs[2] is not None \
+        else np.zeros(0, dtype=np.uint8)
+    starts = offsets[:-1]
+    lens = np.where(valid, offsets[1:] - starts, 0)
+    if data.size:
+        zeros = np.flatnonzero(data[offsets[0]:offsets[-1]] == 0) + offsets[0]
+        if zeros.size:
+            rows = np.searchsorted(offsets, zeros, side="right") - 1
+            valid[rows] = False
+            lens[rows] = 0
+    if lens.max(initial=0) == 0:
         return h, valid
-    flat = np.frombuffer(b"".join(b for b, ok in zip(enc, valid) if ok), dtype=np.uint8)
-    starts = np.zeros(n, dtype=np.int64)
-    starts[1:] = np.cumsum(lens)[:-1]
     order = np.argsort(-lens, kind="stable")       # longest first: active set is a prefix
     sl = lens[order]
     ss = starts[order]
     hs = h[order]
     prime = np.uint64(FNV64_PRIME)
+    neg = -sl
     for j in range(int(sl[0])):
-        cnt = int(np.searchsorted(-sl, -j, side="left"))   # strings with len > j
-        act = slice(0, cnt)
-        hs[act] = (hs[act] * prime) ^ flat[ss[act] + j].astype(np.uint64)
+        cnt = int(np.searchsorted(neg, -j, side="left"))   # strings with len > j
+        hs[:cnt] = (hs[:cnt] * prime) ^ data[ss[:cnt] + j].astype(np.uint64)
     h[order] = hs
     return h, valid
 
 
 def composite_indexes(h: np.ndarray, k: int, m: int) -> np.ndarray:
-    """(n, k) int64 array of bit indexes from 64-bit hashes."""
+    """(n, k) int64 array of bit indexes from 64-bit hashes (numpy form)."""
     hi = h >> np.uint64(32)
     lo = h & np.uint64(0xFFFFFFFF)
     i = np.arange(k, dtype=np.uint64)[None, :]
@@ -145,30 +163,43 @@ def composite_indexes(h: np.ndarray, k: int, m: int) -> np.ndarray:
     return (v % np.uint64(m)).astype(np.int64)
 
 
-def bloom_indexes(col: Column, k: int, m: int) -> Column:
-    """B2: array of the k bit indexes of a string column (null if rejected)."""
-    @pandas_udf(ArrayType(LongType()))
-    def _idx(s: pd.Series) -> pd.Series:
-        h, valid = fnv1_64_many(s.tolist())
-        idx = composite_indexes(h, k, m)
-        return pd.Series([list(r) if ok else None for r, ok in zip(idx, valid)])
-    return _idx(col)
-
-
 @pandas_udf(LongType())
 def fnv1_64(s: pd.Series) -> pd.Series:
-    """FNV-1 64 as a signed long (two's complement of the uint64)."""
-    h, valid = fnv1_64_many(s.tolist())
-    out = pd.Series(h.view(np.int64))
-    out[~valid] = None
-    return out
+    """FNV-1 64 as a signed long (two's complement of the uint64); null for
+    a null string or one holding NUL."""
+    h, valid = fnv1_64_many(pa.Array.from_pandas(s, type=pa.string()))
+    return pd.Series(pd.arrays.IntegerArray(h.view(np.int64), ~valid))
+
+
+def indexes_from_hash(h: Column, k: int, m: int) -> Column:
+    """B2 composite: the k bit indexes of a 64-bit hash column (null stays
+    null).  Every term stays below 2^36, so nothing wraps."""
+    hi = F.shiftrightunsigned(h, 32)
+    lo = h.bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.when(h.isNotNull(), F.transform(
+        F.sequence(F.lit(0), F.lit(k - 1)),
+        lambda i: ((hi + i.cast("long") * lo + i.cast("long") * i.cast("long"))
+                   .bitwiseAND(F.lit(0xFFFFFFFF)) % F.lit(m)).cast("long")))
+
+
+def with_bloom_indexes(df: DataFrame, col: str, params: "BloomParams",
+                       name: str = "indexes") -> DataFrame:
+    """B2: add the k bit indexes of string column ``col`` (null if rejected).
+
+    Only the 64-bit hash comes from Python (its own projection, so the UDF
+    is evaluated once per row); the indexes are long arithmetic in Spark.
+    """
+    hashed = df.withColumn("_fnv", fnv1_64(F.col(col)))
+    return hashed.withColumn(name, indexes_from_hash(F.col("_fnv"), params.k, params.m)) \
+        .drop("_fnv")
 
 
 # --------------------------------------------------------- build / probe --
 
 def bloom_build(df: DataFrame, col: str, params: BloomParams) -> DataFrame:
     """The bit array of every (non-null) value of ``col``."""
-    idx = df.select(F.explode(bloom_indexes(F.col(col), params.k, params.m)).alias("i"))
+    idx = with_bloom_indexes(df.select(col), col, params, "_idx") \
+        .select(F.explode("_idx").alias("i"))
     return idx.groupBy(F.floor(F.col("i") / 64).cast("long").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(i % 64 as int))")).alias("bits"))
 
@@ -180,8 +211,8 @@ def bloom_contains(bloom: DataFrame, probes: DataFrame, col: str, params: BloomP
     No false negatives; false positives at about the designed rate.
     """
     keys = probes.select(F.col(col).alias("_key")).where(F.col("_key").isNotNull()).distinct()
-    exploded = keys.select("_key", F.explode(bloom_indexes(F.col("_key"), params.k, params.m))
-                           .alias("i"))
+    exploded = with_bloom_indexes(keys, "_key", params, "_idx") \
+        .select("_key", F.explode("_idx").alias("i"))
     exploded = exploded.select("_key", F.floor(F.col("i") / 64).cast("long").alias("word"),
                                (F.col("i") % 64).cast("int").alias("bit"))
     words = bloom.select("word", "bits")

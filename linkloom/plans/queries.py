@@ -151,8 +151,12 @@ def q_seen_bulk_exists(spark, sf_dir):
 
 
 def q_seen_add_status(spark, sf_dir):
-    """Bulk add of every (page, link) pair in page order: inserted or not."""
-    links = A.explode_links(accepted_pages(spark, sf_dir))
+    """Bulk add of every (page, link) pair in page order: inserted or not.
+
+    The rows are consumed twice (first occurrence per pair, then each row's
+    status), so the exploded links are written once to the checkpoint folder
+    instead of analysing the pages twice."""
+    links = A.explode_links(accepted_pages(spark, sf_dir)).checkpoint(eager=True)
     pairs = links.select(F.struct("page_id", "pos").alias("seq"), "page_id", "domain", "url")
     st = S.add_bulk_status(seen_from_pages(spark, sf_dir), pairs)
     return st.select("page_id", "domain", "url", "inserted")

@@ -35,7 +35,7 @@ def test_hash_vectors_in_spark(spark):
     df = spark.createDataFrame(rows, "i int, s string")
     for i, (max_n, p, _, exp) in enumerate(VECTORS):
         prm = B.BloomParams(max_n, p)
-        got = df.filter(F.col("i") == i).select(B.bloom_indexes(F.col("s"), prm.k, prm.m).alias("x")).first().x
+        got = B.with_bloom_indexes(df.filter(F.col("i") == i), "s", prm, "x").first().x
         assert list(got) == exp
 
 
@@ -49,9 +49,13 @@ def test_sizing_and_rate():
     assert small.capacity() == 10_000          # the 10,001st add fails with code 4
 
 
-def test_nul_is_rejected():
-    _, ok = B.fnv1_64_many(["a\x00b", "ab", None])
-    assert list(ok) == [False, True, False]
+def test_nul_is_rejected(spark):
+    h, ok = B.fnv1_64_many(["a\x00b", "ab", None, ""])
+    assert list(ok) == [False, True, False, True]
+    assert int(h[3]) == B.FNV64_OFFSET
+    df = spark.createDataFrame([("a\x00b",), ("ab",), (None,)], "s string")
+    rows = B.with_bloom_indexes(df, "s", B.BloomParams(1000, .01), "x").collect()
+    assert rows[0].x is None and len(rows[1].x) == 6 and rows[2].x is None
 
 
 def test_build_probe_no_false_negatives(spark):
