@@ -115,6 +115,23 @@ def spread(pages: DataFrame, key: str) -> DataFrame:
     return pages.repartition(cores, F.col(key))
 
 
+_COLUMN_MEMO: dict = {}
+
+
+def _memo(key, build):
+    """Build a large column expression once per process and parameters.
+
+    Column objects are immutable, unresolved expression trees; building the
+    resolution chain costs hundreds of JVM calls, which would otherwise be
+    paid again for every query that analyses pages.
+    """
+    from pyspark import SparkContext
+    key = (id(SparkContext._gateway),) + key
+    if key not in _COLUMN_MEMO:
+        _COLUMN_MEMO[key] = build()
+    return _COLUMN_MEMO[key]
+
+
 def analyze_pages(pages: DataFrame, url_col: str = "url", text_col: str = "html",
                   drop_fragments: bool = True, drop_query: bool = False,
                   exact: bool = True, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
@@ -129,18 +146,20 @@ def analyze_pages(pages: DataFrame, url_col: str = "url", text_col: str = "html"
     pages = spread(pages, url_col)
     df = pages.select(*keep, F.col(url_col).alias("url"), F.col(text_col).alias("_text"),
                       U.clean(F.col(url_col)).alias("_cu"))
+    links = _memo(("extract", exact), lambda: F.coalesce(
+        extract(F.col("_text")), F.array().cast("array<string>")))
     df = df.select(*keep, "url", U.netloc(F.col("url")).alias("domain"),
-                   F.coalesce(extract(F.col("_text")), F.array().cast("array<string>"))
-                   .alias("_links"),
+                   links.alias("_links"),
                    (F.col("url").isNull() | F.col("_text").isNull()).alias("_missing"),
                    F.lower(F.regexp_extract("_cu", U._SPLIT, 1)).alias("_os"),
                    F.regexp_extract("_cu", U._SPLIT, 2).alias("_on"),
                    F.regexp_extract("_cu", U._SPLIT, 3).alias("_op"))
-    df = df.select(*keep, "url", "domain", "_missing",
-                   resolve_links(F.col("_links"), F.col("_os"), F.col("_on"), F.col("_op"))
-                   .alias("_parts"))
-    df = df.select(*keep, "url", "domain", "_missing",
-                   finish_links(F.col("_parts"), drop_fragments, drop_query).alias("_res"))
+    parts = _memo(("resolve",), lambda: resolve_links(
+        F.col("_links"), F.col("_os"), F.col("_on"), F.col("_op")))
+    df = df.select(*keep, "url", "domain", "_missing", parts.alias("_parts"))
+    res = _memo(("finish", drop_fragments, drop_query),
+                lambda: finish_links(F.col("_parts"), drop_fragments, drop_query))
+    df = df.select(*keep, "url", "domain", "_missing", res.alias("_res"))
     return df.select(
         *keep, "url", "domain",
         F.transform("_res", lambda r: F.struct(r["url"].alias("url"),
