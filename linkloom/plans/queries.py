@@ -24,6 +24,7 @@ from linkloom.operators import fetchlog as R
 from linkloom.operators import frontier as FR
 from linkloom.operators import graph as G
 from linkloom.operators import seen as S
+from linkloom.session import reliable_checkpoint
 from linkloom.sources import io
 
 # Fixed query parameters.
@@ -156,7 +157,7 @@ def q_seen_add_status(spark, sf_dir):
     The rows are consumed twice (first occurrence per pair, then each row's
     status), so the exploded links are written once to the checkpoint folder
     instead of analysing the pages twice."""
-    links = A.explode_links(accepted_pages(spark, sf_dir)).checkpoint(eager=True)
+    links = reliable_checkpoint(A.explode_links(accepted_pages(spark, sf_dir)))
     pairs = links.select(F.struct("page_id", "pos").alias("seq"), "page_id", "domain", "url")
     st = S.add_bulk_status(seen_from_pages(spark, sf_dir), pairs)
     return st.select("page_id", "domain", "url", "inserted")

@@ -56,6 +56,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
+def reliable_checkpoint(df):
+    """``df.checkpoint()`` into the shared checkpoint folder (set first when
+    the session has none, as in tests): the data is written to storage that
+    survives executor loss and the lineage is cut."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint folder for a written table."""
     base = checkpoint_dir(spark)

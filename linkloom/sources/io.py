@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkloom.functions.urls import netloc
+from linkloom.session import reliable_checkpoint
 
 # Python's str.strip() whitespace: ASCII whitespace, separators and the
 # C0/C1 information separators.
@@ -87,6 +88,6 @@ def fan_out(df: DataFrame, sinks: Iterable[Callable[[DataFrame], None]]) -> None
     """Feed one result to several sinks.  The result is written once to
     the shared checkpoint folder (``checkpoint()``, which survives executor
     loss, unlike a cache) and each sink reads that copy."""
-    saved = df.checkpoint(eager=True)
+    saved = reliable_checkpoint(df)
     for sink in sinks:
         sink(saved)

@@ -36,7 +36,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from linkloom.operators import analyze as A
 from linkloom.operators import frontier as FR
 from linkloom.operators import graph as G
-from linkloom.session import checkpoint_dir, scratch_path
+from linkloom.session import checkpoint_dir, reliable_checkpoint, scratch_path
 
 PAGES_SCHEMA = T.StructType([
     T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()),
@@ -82,7 +82,7 @@ def frontier_batches(seen_path: str, out_path: str, deny=None) -> Callable:
         seen = _read_seen(spark, seen_path, batch_id)
         res = FR.frontier_step(FR.page_candidates(A.accepted(batch)), seen, deny=deny,
                                flagged=False)
-        saved = res.published.checkpoint(eager=True)
+        saved = reliable_checkpoint(res.published)
         saved.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
         saved.select("domain", "url").write.mode("overwrite") \
             .parquet(f"{seen_path}/batch_id={batch_id}")
