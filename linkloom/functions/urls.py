@@ -153,18 +153,19 @@ def join_path_from(base: Column, rel: Column, rpath: Column, rparams: Column,
 
 def unsplit(scheme: Column, net: Column, path: Column, query: Column,
             fragment: Column) -> Column:
-    """``urlunsplit`` of five string columns."""
-    p_net = F.concat(lit("//"), net,
-                     F.when((path != lit("")) & ~path.startswith("/"),
-                            F.concat(lit("/"), path)).otherwise(path))
-    body = (F.when(net != lit(""), p_net)
-            .when(path.startswith("//"), F.concat(lit("//"), path))
-            .when((scheme != lit("")) & scheme.isin(*USES_NETLOC)
-                  & ((path == lit("")) | path.startswith("/")), F.concat(lit("//"), path))
+    """``urlunsplit`` of five string columns (cheap references), built
+    as one concatenation of four parts."""
+    body = (F.when(net != lit(""), F.concat(
+                lit("//"), net, F.when((path != lit("")) & ~path.startswith("/"), lit("/"))
+                .otherwise(lit("")), path))
+            .when(path.startswith("//") | ((scheme != lit("")) & scheme.isin(*USES_NETLOC)
+                                           & ((path == lit("")) | path.startswith("/"))),
+                  F.concat(lit("//"), path))
             .otherwise(path))
-    u = F.when(scheme != lit(""), F.concat(scheme, lit(":"), body)).otherwise(body)
-    u = F.when(query != lit(""), F.concat(u, lit("?"), query)).otherwise(u)
-    return F.when(fragment != lit(""), F.concat(u, lit("#"), fragment)).otherwise(u)
+    return F.concat(F.when(scheme != lit(""), F.concat(scheme, lit(":"))).otherwise(lit("")),
+                    body,
+                    F.when(query != lit(""), F.concat(lit("?"), query)).otherwise(lit("")),
+                    F.when(fragment != lit(""), F.concat(lit("#"), fragment)).otherwise(lit("")))
 
 
 def endpoint(url: Column) -> Column:

@@ -84,22 +84,24 @@ def resolve_links(links: Column, o_scheme: Column, o_netloc: Column,
 
 def finish_links(parts: Column, drop_fragments: bool, drop_query: bool) -> Column:
     """struct(url, domain, bad) per link."""
-    coded = _stage(parts, ["scheme", "netloc", "path", "query", "fragment", "match",
-                           "needs_idna"], lambda p: [
-        F.when(p["needs_idna"], jvm_idna(p["netloc"])).alias("idna")])
-    hosted = F.transform(coded, lambda p: F.struct(
+    hosted = F.transform(parts, lambda p: F.struct(
         p["scheme"].alias("scheme"),
-        F.coalesce(F.when(p["match"], p["netloc"]).when(p["needs_idna"], p["idna"])
-                   .otherwise(p["netloc"]), F.lit("")).alias("host"),
-        F.when(p["match"], F.lit(False)).when(p["needs_idna"], p["idna"].isNull())
-        .otherwise(U.host_label_error(p["netloc"])).alias("bad"),
+        # null when IDNA fails
+        F.when(p["match"], p["netloc"]).when(p["needs_idna"], jvm_idna(p["netloc"]))
+        .otherwise(p["netloc"]).alias("host"),
+        p["needs_idna"].alias("needs_idna"),
+        (~p["match"] & ~p["needs_idna"] & U.host_label_error(p["netloc"])).alias("label_bad"),
         U.percent_encode(p["path"]).alias("path"),
         (F.lit("") if drop_query else U.percent_encode(p["query"], plus_spaces=True))
         .alias("query"),
         (F.lit("") if drop_fragments else U.percent_encode(p["fragment"])).alias("fragment")))
-    return F.transform(hosted, lambda h: F.struct(
-        U.unsplit(h["scheme"], h["host"], h["path"], h["query"], h["fragment"]).alias("url"),
-        h["host"].alias("domain"), h["bad"].alias("bad")))
+
+    def one(h):
+        host = F.coalesce(h["host"], F.lit(""))
+        return F.struct(U.unsplit(h["scheme"], host, h["path"], h["query"], h["fragment"])
+                        .alias("url"), host.alias("domain"),
+                        (h["label_bad"] | (h["needs_idna"] & h["host"].isNull())).alias("bad"))
+    return F.transform(hosted, one)
 
 
 def spread(pages: DataFrame, key: str) -> DataFrame:

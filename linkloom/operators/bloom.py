@@ -246,3 +246,19 @@ def bloom_stats(df: DataFrame, col: str, params: BloomParams) -> DataFrame:
         F.round(error_rate(F.col("n"), params), params.p_digits).alias("current_p"),
         F.lit(cap).cast("long").alias("capacity"),
         F.when(F.col("n") <= cap, 0).otherwise(over_status).cast("int").alias("status"))
+
+
+def two_tier_known(probes: DataFrame, col: str, bloom: DataFrame, stored: DataFrame,
+                   params: BloomParams) -> DataFrame:
+    """Distinct values of ``col`` with ``in_bloom`` and ``known``.
+
+    The Bloom filter answers "certainly not stored" for most new keys; only
+    the keys it may contain are confirmed against the stored table (a
+    left-semi join on the survivors).  ``known`` equals a plain lookup.
+    """
+    flags = bloom_contains(bloom, probes, col, params)
+    confirmed = flags.filter("in_bloom").select(col) \
+        .join(stored.select(col).distinct(), col, "left_semi") \
+        .withColumn("_known", F.lit(True))
+    return flags.join(confirmed, col, "left").select(
+        col, "in_bloom", F.coalesce("_known", F.lit(False)).alias("known"))

@@ -198,12 +198,7 @@ def q_bloom_probe(spark, sf_dir):
     confirmed against the seen set; ``known`` must equal the plain lookup."""
     seen = seen_from_pages(spark, sf_dir)
     bloom = B.bloom_build(seen, "url", URL_BLOOM)
-    flags = B.bloom_contains(bloom, _link_urls(spark, sf_dir), "url", URL_BLOOM)
-    maybe = flags.filter("in_bloom").select("url")
-    confirmed = maybe.join(seen.select("url").distinct(), "url", "left_semi") \
-        .withColumn("known", F.lit(True))
-    return flags.join(confirmed, "url", "left").select(
-        "url", "in_bloom", F.coalesce("known", F.lit(False)).alias("known"))
+    return B.two_tier_known(_link_urls(spark, sf_dir), "url", bloom, seen, URL_BLOOM)
 
 
 def q_bloom_stats(spark, sf_dir):

@@ -94,3 +94,21 @@ def test_page_work_has_no_shuffle_on_large_scans(spark):
     assert plan.count("Exchange") == 1       # only the test's own repartition
     edges = domain_edges(accepted(analyze_pages(many)), 1)
     assert edges._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_page_files_and_two_tier(spark):
+    from linkloom.operators import bloom as B
+    d = _tmp()
+    for i in range(3):
+        with open(os.path.join(d, f"p{i}.html"), "w") as f:
+            f.write(f"<p>page {i}</p>\n<a href='http://x{i}.org/a'>\n")
+    pages = io.read_page_files(spark, d).withColumn("page_id", F.monotonically_increasing_id())
+    a = accepted(analyze_pages(pages))
+    assert sorted(u.domain for r in a.collect() for u in r.urls) == ["x0.org", "x1.org", "x2.org"]
+    prm = B.BloomParams(1000, .01)
+    stored = spark.createDataFrame([("http://a/1",), ("http://a/2",)], "url string")
+    probes = spark.createDataFrame([("http://a/1",), ("http://b/1",), ("http://a/2",)], "url string")
+    got = {r.url: (r.in_bloom, r.known) for r in
+           B.two_tier_known(probes, "url", B.bloom_build(stored, "url", prm), stored, prm).collect()}
+    assert got["http://a/1"] == (True, True) and got["http://a/2"] == (True, True)
+    assert got["http://b/1"][1] is False
