@@ -197,3 +197,18 @@ def explode_links(analyzed: DataFrame, keep: tuple[str, ...] = ("page_id",)) ->
                            F.posexplode("urls").alias("pos", "_u")) \
         .select(*keep, "page_url", "pos", F.col("_u.url").alias("url"),
                 F.col("_u.domain").alias("domain"))
+
+
+def observe_links(analyzed: DataFrame, name: str = "links"):
+    """L5 as job metrics: returns (DataFrame, Observation).  After the
+    DataFrame's first action, ``observation.get`` holds pages, accepted
+    pages, rejected pages and links -- gathered by the same job, no extra
+    pass over the data."""
+    from pyspark.sql import Observation
+    obs = Observation(name)
+    df = analyzed.observe(
+        obs, F.count(F.lit(1)).alias("pages"),
+        F.count(F.when(F.col("error").isNull(), 1)).alias("accepted"),
+        F.count(F.when(F.col("error").isNotNull(), 1)).alias("rejected"),
+        F.sum(F.when(F.col("error").isNull(), F.col("n_links")).otherwise(0)).alias("links"))
+    return df, obs

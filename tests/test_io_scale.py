@@ -112,3 +112,13 @@ def test_page_files_and_two_tier(spark):
            B.two_tier_known(probes, "url", B.bloom_build(stored, "url", prm), stored, prm).collect()}
     assert got["http://a/1"] == (True, True) and got["http://a/2"] == (True, True)
     assert got["http://b/1"][1] is False
+
+
+def test_observed_link_metrics(spark):
+    from linkloom.operators.analyze import observe_links
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    df, obs = observe_links(analyze_pages(pages))
+    df.write.format("noop").mode("overwrite").save()
+    m = obs.get
+    assert m["pages"] == 250 and m["accepted"] == 250 and m["rejected"] == 0
+    assert m["links"] == 1404
