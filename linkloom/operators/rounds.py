@@ -8,8 +8,12 @@ a set of Spark jobs.  After each round the new seen pairs and the fetched
 pages are written to the shared checkpoint folder, so the lineage never grows
 with the number of rounds and a lost executor only repeats part of one round.
 
-On a cluster, store the snapshot bucketed by ``url`` so each round's join
-shuffles only the (small) frontier.
+The snapshot is never shuffled per round: once, before the first round, a
+slim index ``(url, page_id)`` is written bucketed by ``url``; each round
+joins the frontier to that index (only the frontier is shuffled, into the
+index's buckets) and then reads the fetched bodies by ``page_id``, a second
+bucketed table written once.  Later rounds therefore move the frontier and
+the pages it names, never the whole snapshot.
 """
 
 from __future__ import annotations
@@ -22,8 +26,19 @@ from linkloom.operators.frontier import frontier_step, page_candidates
 from linkloom.session import scratch_path
 
 
+def _bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
+    """Write ``df`` once as a table bucketed by ``key`` in the shared
+    checkpoint folder and read it back (joins on ``key`` then shuffle only
+    the other side)."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    df.write.bucketBy(n, key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def crawl_rounds(pages: DataFrame, seeds: DataFrame, seen: DataFrame | None = None,
-                 max_rounds: int = 100, deny=None) -> DataFrame:
+                 max_rounds: int = 100, deny=None, buckets: int | None = None) -> DataFrame:
     """Rows (round, page_id, url) of the pages fetched in each round.
 
     ``pages``: snapshot (page_id, url, html); ``seeds``: (url) to fetch in
@@ -36,9 +51,12 @@ def crawl_rounds(pages: DataFrame, seeds: DataFrame, seen: DataFrame | None = No
     base = seen if seen is not None else spark.createDataFrame([], "domain string, url string")
     base.select("domain", "url").write.parquet(f"{seen_path}/round=0")
     frontier = seeds.select("url").distinct()
-    snapshot = pages.select("page_id", "url", "html")
+    n = buckets or max(spark.sparkContext.defaultParallelism, pages.rdd.getNumPartitions())
+    index = _bucketed(pages.select("url", "page_id"), "url", n, "rounds-index")
+    bodies = _bucketed(pages.select("page_id", "url", "html"), "page_id", n, "rounds-bodies")
     for r in range(1, max_rounds + 1):
-        fetched = snapshot.join(frontier, "url", "left_semi")
+        ids = index.join(frontier, "url", "left_semi").select("page_id")
+        fetched = bodies.join(ids, "page_id", "left_semi")
         fetched.select(F.lit(r).alias("round"), "page_id", "url") \
             .write.parquet(f"{out_path}/r={r}")
         done = spark.read.parquet(f"{out_path}/r={r}")

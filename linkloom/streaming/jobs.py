@@ -57,11 +57,26 @@ def analyzed_stream(spark: SparkSession, folder: str, **kw) -> DataFrame:
     return A.analyze_pages(pages_stream(spark, folder, **kw))
 
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb_state(spark: SparkSession) -> None:
+    """Keyed streaming state (dedupe, per-domain state) in RocksDB: state is
+    partitioned by key across executors and spills to local disk instead of
+    living on the JVM heap; it is checkpointed with the query.  Only set when
+    the session has not chosen a provider."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    cur = spark.conf.get(key, None)
+    if not cur or cur.endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(key, ROCKSDB_PROVIDER)
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str = "append",
                  foreach_batch: Callable | None = None) -> str:
     """Run a stream until its input is consumed (availableNow) into a parquet
     folder under the shared checkpoint folder; returns that folder."""
     spark = stream.sparkSession
+    use_rocksdb_state(spark)
     out = scratch_path(spark, name)
     w = stream.writeStream.option("checkpointLocation", out + "-ckpt").trigger(availableNow=True)
     if foreach_batch is not None:
