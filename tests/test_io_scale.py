@@ -6,7 +6,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from linkloom.operators.analyze import accepted, analyze_pages
-from linkloom.operators.frontier import frontier_step, page_candidates
+from linkloom.operators.frontier import frontier_step
 from linkloom.operators.graph import append_edges, domain_edges, read_edges
 from linkloom.operators.seen import append_seen
 from linkloom.sources import io

@@ -2,7 +2,6 @@
 
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
 
 from linkloom.operators import seen as S
 
