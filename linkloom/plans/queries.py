@@ -256,7 +256,7 @@ def q_stream_frontier(spark, sf_dir):
     from linkloom.session import scratch_path
     from linkloom.streaming import jobs as T
     seen_path = scratch_path(spark, "stream-seen")
-    seen_from_pages(spark, sf_dir).write.parquet(f"{seen_path}/batch_id=-1")
+    T.write_seen_batch(seen_from_pages(spark, sf_dir), seen_path, -1)
     out_path = scratch_path(spark, "stream-frontier")
     stream = T.analyzed_stream(spark, sf_dir, glob="pages.parquet")
     T.run_to_table(stream, "stream-frontier-q", foreach_batch=T.frontier_batches(seen_path, out_path))

@@ -87,20 +87,45 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append",
     return out
 
 
+# The seen table is partitioned by a hash bucket of the domain, so a
+# micro-batch reads only the buckets its candidates fall in.
+DOMAIN_BUCKETS = 1024
+
+
+def domain_bucket(domain_col):
+    return F.pmod(F.xxhash64(domain_col), F.lit(DOMAIN_BUCKETS)).cast("int")
+
+
+def write_seen_batch(pairs: DataFrame, seen_path: str, batch_id: int) -> None:
+    """Write (domain, url) pairs as batch ``batch_id`` of the seen table
+    (overwrite: a replayed batch rewrites the same folder)."""
+    pairs.select("domain", "url", domain_bucket(F.col("domain")).alias("dbucket")) \
+        .write.mode("overwrite").partitionBy("dbucket") \
+        .parquet(f"{seen_path}/batch_id={int(batch_id)}")
+
+
 def frontier_batches(seen_path: str, out_path: str, deny=None) -> Callable:
     """The foreachBatch function for a stream of analysed pages.
 
-    ``seen_path`` holds the seen table partitioned by ``batch_id`` (an
-    initial set goes under ``batch_id=-1``)."""
+    ``seen_path`` holds the seen table partitioned by ``batch_id`` and
+    ``dbucket`` (see ``write_seen_batch``; an initial set goes under
+    ``batch_id=-1``).  Each batch's candidates are checkpointed once; the
+    list of their domain buckets (at most DOMAIN_BUCKETS small integers, a
+    fixed bound) becomes a partition filter, so the scan of the seen table
+    skips every other bucket folder."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        cand = reliable_checkpoint(FR.page_candidates(A.accepted(batch)))
         seen = _read_seen(spark, seen_path, batch_id)
-        res = FR.frontier_step(FR.page_candidates(A.accepted(batch)), seen, deny=deny,
-                               flagged=False)
+        if "dbucket" in seen.columns:
+            ids = [r[0] for r in cand.select(domain_bucket(F.col("domain")).alias("b"))
+                   .distinct().collect()]              # <= DOMAIN_BUCKETS ints
+            if len(ids) < DOMAIN_BUCKETS:
+                seen = seen.filter(F.col("dbucket").isin(ids))
+        res = FR.frontier_step(cand, seen.select("domain", "url"), deny=deny, flagged=False)
         saved = reliable_checkpoint(res.published)
         saved.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
-        saved.select("domain", "url").write.mode("overwrite") \
-            .parquet(f"{seen_path}/batch_id={batch_id}")
+        write_seen_batch(saved, seen_path, batch_id)
     return run
 
 
@@ -111,7 +136,7 @@ def _read_seen(spark: SparkSession, seen_path: str, batch_id: int) -> DataFrame:
         return spark.createDataFrame([], "domain string, url string")
     if "batch_id" in seen.columns:
         seen = seen.filter(F.col("batch_id") < batch_id)
-    return seen.select("domain", "url")
+    return seen
 
 
 def dedupe_stream(links: DataFrame) -> DataFrame:

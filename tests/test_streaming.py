@@ -33,7 +33,7 @@ def test_multi_batch_stream_equals_batch(spark):
 
     # Frontier per micro-batch against the seen table
     seen_path = scratch_path(spark, "t-seen")
-    seen.write.parquet(f"{seen_path}/batch_id=-1")
+    T.write_seen_batch(seen, seen_path, -1)
     out_path = scratch_path(spark, "t-out")
     stream = T.analyzed_stream(spark, d, glob="pages-*.parquet", max_files=1)
     T.run_to_table(stream, "t-frontier", foreach_batch=T.frontier_batches(seen_path, out_path))
