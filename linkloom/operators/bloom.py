@@ -248,6 +248,19 @@ def bloom_stats(df: DataFrame, col: str, params: BloomParams) -> DataFrame:
         F.when(F.col("n") <= cap, 0).otherwise(over_status).cast("int").alias("status"))
 
 
+def check_bounds(df: DataFrame, col: str, params: BloomParams) -> DataFrame:
+    """B7, strict: the ``bloom_stats`` row, failing the query (code 4 size
+    overflow, 5 error rate) when the items would not all fit."""
+    st = bloom_stats(df, col, params)
+    return st.withColumn("status", F.when(
+        F.col("status") != 0,
+        F.raise_error(F.concat(F.lit("Bloom filter bounds exceeded, code "),
+                               F.col("status").cast("string"), F.lit(": n="),
+                               F.col("n").cast("string"), F.lit(", capacity="),
+                               F.col("capacity").cast("string"))))
+        .otherwise(F.col("status")).cast("int"))
+
+
 def two_tier_known(probes: DataFrame, col: str, bloom: DataFrame, stored: DataFrame,
                    params: BloomParams) -> DataFrame:
     """Distinct values of ``col`` with ``in_bloom`` and ``known``.

@@ -77,3 +77,12 @@ def test_stats_status(spark):
     assert st.n == 150 and st.status == 4 and st.capacity == 100
     ok = B.bloom_stats(df.limit(10), "u", prm).first()
     assert ok.status == 0
+
+
+def test_strict_bounds_raise(spark):
+    from pyspark.errors import PySparkException
+    prm = B.BloomParams(100, .1)
+    df = spark.range(150).select(F.col("id").cast("string").alias("u"))
+    with pytest.raises(PySparkException):
+        B.check_bounds(df, "u", prm).collect()
+    assert B.check_bounds(df.limit(50), "u", prm).first().status == 0
