@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from linkloom.functions import urls as U
 from linkloom.functions.idna import jvm_idna
 from linkloom.functions.links import extract_links, extract_links_simple
+from linkloom.sources.io import text_mode
 
 # Error codes carried in the ``error`` column.
 ERR_FILE_NOT_FOUND = 12
@@ -146,7 +147,8 @@ def analyze_pages(pages: DataFrame, url_col: str = "url", text_col: str = "html"
     extract = extract_links if exact else extract_links_simple
     keep = list(keep)
     pages = spread(pages, url_col)
-    df = pages.select(*keep, F.col(url_col).alias("url"), F.col(text_col).alias("_text"),
+    df = pages.select(*keep, F.col(url_col).alias("url"),
+                      text_mode(F.col(text_col)).alias("_text"),
                       U.clean(F.col(url_col)).alias("_cu"))
     links = _memo(("extract", exact), lambda: F.coalesce(
         extract(F.col("_text")), F.array().cast("array<string>")))

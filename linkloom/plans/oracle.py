@@ -100,7 +100,9 @@ def extract(html: str) -> str:
 # Pages -> links -> resolved links, as CTEs.
 BASE_CTES = f"""
 pl0 AS (
-  SELECT page_id, url, html, {extract('html')} AS l0 FROM pages
+  SELECT page_id, url, html,
+    {extract("replace(replace(html, chr(13) || chr(10), chr(10)), chr(13), chr(10))")} AS l0
+  FROM pages
 ),
 pl AS (
   SELECT page_id, url, html, list_filter(l0, lambda x, i: list_position(l0, x) = i) AS links

@@ -57,13 +57,13 @@ def accepted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_links_extract(spark, sf_dir):
     """L1 + L4: distinct raw links per page, one row each."""
     p = pages(spark, sf_dir)
-    return p.select("page_id", F.explode(extract_links(F.col("html"))).alias("link"))
+    return p.select("page_id", F.explode(extract_links(io.text_mode(F.col("html")))).alias("link"))
 
 
 def q_links_per_page(spark, sf_dir):
     """Number of distinct links per page."""
     p = pages(spark, sf_dir)
-    return p.select("page_id", F.size(extract_links(F.col("html"))).cast("long")
+    return p.select("page_id", F.size(extract_links(io.text_mode(F.col("html")))).cast("long")
                     .alias("n_links"))
 
 

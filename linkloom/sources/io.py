@@ -43,6 +43,15 @@ FETCH_RESULT_SCHEMA = T.StructType([
 ])
 
 
+def text_mode(body):
+    """A stored body as the analyser reads it: text mode with universal
+    newlines, so CRLF and a lone CR become LF.  Bodies without CR pass
+    unchanged after one containment check."""
+    return F.when(body.contains("\r"),
+                  F.translate(F.replace(body, F.lit("\r\n"), F.lit("\n")), "\r", "\n")) \
+        .otherwise(body)
+
+
 def strip(col):
     return F.regexp_replace(col, _STRIP, "")
 

@@ -90,3 +90,13 @@ def test_pages_two_pass_equals_model(spark, sf):
     assert sum(len(r.l) for r in rows) == 1404
     for r in rows:
         assert list(r.l) == scan_links(r.html)
+
+
+def test_text_mode_newlines(spark):
+    from linkloom.sources.io import text_mode
+    docs = ["<a href='x\r\ny'> http://a.b/c\rd <a href='p\rq'>", "plain\n<a href='u'>"]
+    df = spark.createDataFrame(list(enumerate(docs)), "id long, html string")
+    rows = {r.id: list(r.l) for r in
+            df.select("id", extract_links(text_mode(F.col("html"))).alias("l")).collect()}
+    assert rows[0] == ["x\ny", "http://a.b/c", "p\nq"]
+    assert rows[1] == ["u"]
