@@ -120,6 +120,22 @@ _DOT_SEGMENT = r"(^|/)\.\.?(/|$)"
 _REL_PARAMS = r"^(?:.*/)?[^/;]*;([^/]*)$"
 
 
+def lstrip_c0(s: Column) -> Column:
+    """Drop leading C0 controls and spaces (how ``urljoin`` re-reads a path)."""
+    return F.regexp_replace(s, r"^[\x00-\x20]+", "")
+
+
+def netloc_relative(rel: Column) -> Column:
+    """``urljoin`` of a path starting '//': the text up to the next '/' is
+    a netloc and the rest a path whose last segment loses an empty
+    ``;params`` (so '//x/a;' gives '//x/a')."""
+    net = F.regexp_extract(rel, r"^//([^/]*)", 1)
+    path = F.regexp_extract(rel, r"^//[^/]*(.*)$", 1)
+    params = rel_params(path)
+    return F.concat(lit("//"), net, rel_path(path),
+                    F.when(params != lit(""), F.concat(lit(";"), params)).otherwise(lit("")))
+
+
 def rel_path(rel: Column) -> Column:
     """The relative path without the ``;params`` of its last segment."""
     return F.when(rel.contains(";"), F.regexp_extract(rel, _REL_PATH, 1)).otherwise(rel)
@@ -192,6 +208,38 @@ def endpoint(url: Column) -> Column:
         F.when(bad, lit(13)).cast("int").alias("error"))
 
 
+_HEX4 = "[0-9a-fA-F]{1,4}"
+_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_IPV4_TAIL = f"(^|:)({_OCTET}\\.){{3}}{_OCTET}$"
+_IPV6_FULL = f"^({_HEX4}:){{7}}{_HEX4}$"
+_IPV6_GAP = f"^(({_HEX4}:)*{_HEX4})?::(({_HEX4}:)*{_HEX4})?$"
+_IPV_FUTURE = r"^v[a-fA-F0-9]+\..+$"
+
+
+def _ipv6_ok(addr: Column) -> Column:
+    """IPv6 literal as Python's ``ipaddress`` reads it: eight hextets, or
+    fewer around one '::'; an IPv4 dotted quad may stand for the last two;
+    an optional non-empty ``%scope``."""
+    scope = F.regexp_extract(addr, "%(.*)$", 1)
+    has_scope = addr.contains("%")
+    core = F.regexp_replace(addr, "%.*$", "")
+    scope_ok = ~has_scope | ((scope != lit("")) & ~scope.contains("%"))
+    tail_ok = ~core.contains(".") | core.rlike(_IPV4_TAIL)
+    a = F.regexp_replace(core, _IPV4_TAIL, "$10:0")
+    hextets = F.size(F.filter(F.split(a, ":"), lambda x: x != lit("")))
+    shape = a.rlike(_IPV6_FULL) | (a.rlike(_IPV6_GAP) & (hextets <= 7))
+    return scope_ok & tail_ok & shape
+
+
+def netloc_invalid(net: Column) -> Column:
+    """``urlsplit`` refuses a netloc with an unbalanced '[' or ']', or whose
+    bracketed host is neither an IPv6 literal nor ``v<hex>.<text>``."""
+    opened, closed = net.contains("["), net.contains("]")
+    inner = F.regexp_extract(net, r"^[^\[]*\[([^\]]*)", 1)
+    ok = F.when(inner.startswith("v"), inner.rlike(_IPV_FUTURE)).otherwise(_ipv6_ok(inner))
+    return (opened != closed) | (opened & ~ok)
+
+
 def host_label_error(host: Column) -> Column:
     """IDNA check for an ASCII host: an empty label (other than a trailing
     one) or a label of 64+ characters is an error."""

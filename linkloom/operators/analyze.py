@@ -46,6 +46,11 @@ def _stage(arr: Column, keep, fn) -> Column:
     return F.transform(arr, lambda p: F.struct(*_fields(p, keep), *fn(p)))
 
 
+def _after_empty_netloc(j: Column) -> Column:
+    # '//' + '' netloc: urljoin continues with the path after it
+    return F.when(j.startswith("//"), F.regexp_extract(j, r"^//(.*)$", 1)).otherwise(j)
+
+
 def resolve_links(links: Column, o_scheme: Column, o_netloc: Column,
                   o_path: Column) -> Column:
     """U4 rules 1-2 and U5 over an array of links: struct(scheme, netloc,
@@ -59,7 +64,9 @@ def resolve_links(links: Column, o_scheme: Column, o_netloc: Column,
          & s["path"].contains(".")).alias("b"),
         ((s["netloc"] == "") & ~(s["path"].contains(":")
                                  | (s["path"].contains("/") & s["path"].contains("."))))
-        .alias("c")])
+        .alias("c"),
+        # urljoin re-reads the relative path, dropping leading blanks
+        U.lstrip_c0(s["path"]).alias("jpath")])
     parts = _stage(flags, ["c"], lambda s: [
         F.when(s["b"], F.lit("http")).when(s["scheme"] != "", s["scheme"])
         .when(s["c"] | (s["netloc"] == o_netloc), o_scheme).otherwise(F.lit("http"))
@@ -68,17 +75,27 @@ def resolve_links(links: Column, o_scheme: Column, o_netloc: Column,
         .when(s["c"], o_netloc).otherwise(s["netloc"]).alias("netloc"),
         F.when(s["b"], F.regexp_extract(s["path"], r"^[^/?#]*(.*)$", 1))
         .otherwise(s["path"]).alias("rel"),
-        F.when(s["c"], U.rel_path(s["path"])).alias("rpath"),
-        F.when(s["c"], U.rel_params(s["path"])).alias("rparams"),
+        F.when(s["c"], U.rel_path(_after_empty_netloc(s["jpath"]))).alias("rpath"),
+        # a joined path starting '//x' is read by urljoin as netloc + path
+        F.when(s["c"] & s["jpath"].startswith("//")
+               & (F.regexp_extract(s["jpath"], r"^//([^/]*)", 1) != ""),
+               U.netloc_relative(s["jpath"])).alias("nrel"),
+        F.when(s["c"], U.rel_params(_after_empty_netloc(s["jpath"]))).alias("rparams"),
         F.when(s["b"], F.lit("")).otherwise(s["query"]).alias("query"),
         F.when(s["b"], F.lit("")).otherwise(s["fragment"]).alias("fragment"),
-        (s["c"] | (s["netloc"] == o_netloc)).alias("match")])
-    parts = _stage(parts, ["scheme", "netloc", "rel", "rpath", "rparams", "query",
-                           "fragment", "match", "c"], lambda p: [
+        (s["c"] | (s["netloc"] == o_netloc)).alias("match"),
+        # the link's own split, or the re-split of case b, must accept its netloc
+        (U.netloc_invalid(s["netloc"])
+         | (s["b"] & U.netloc_invalid(F.regexp_extract(s["path"], r"^([^/?#]*)", 1))))
+        .alias("split_bad")])
+    parts = _stage(parts, ["scheme", "netloc", "rel", "rpath", "rparams", "nrel", "query",
+                           "fragment", "match", "c", "split_bad"], lambda p: [
         F.when(p["c"] & ~p["rpath"].startswith("/"), U.join_segments(o_path, p["rpath"]))
         .alias("segs")])
-    return _stage(parts, ["scheme", "netloc", "query", "fragment", "match"], lambda p: [
-        F.when(p["c"], U.join_path_from(o_path, p["rel"], p["rpath"], p["rparams"], p["segs"]))
+    return _stage(parts, ["scheme", "netloc", "query", "fragment", "match", "split_bad"],
+                  lambda p: [
+        F.when(p["c"] & p["nrel"].isNotNull() & (o_path != ""), p["nrel"])
+        .when(p["c"], U.join_path_from(o_path, p["rel"], p["rpath"], p["rparams"], p["segs"]))
         .otherwise(p["rel"]).alias("path"),
         (~p["match"] & ~U.is_ascii(p["netloc"])).alias("needs_idna")])
 
@@ -91,7 +108,8 @@ def finish_links(parts: Column, drop_fragments: bool, drop_query: bool) -> Colum
         F.when(p["match"], p["netloc"]).when(p["needs_idna"], jvm_idna(p["netloc"]))
         .otherwise(p["netloc"]).alias("host"),
         p["needs_idna"].alias("needs_idna"),
-        (~p["match"] & ~p["needs_idna"] & U.host_label_error(p["netloc"])).alias("label_bad"),
+        (p["split_bad"] | (~p["match"] & ~p["needs_idna"] & U.host_label_error(p["netloc"])))
+        .alias("label_bad"),
         U.percent_encode(p["path"]).alias("path"),
         (F.lit("") if drop_query else U.percent_encode(p["query"], plus_spaces=True))
         .alias("query"),
@@ -158,18 +176,20 @@ def analyze_pages(pages: DataFrame, url_col: str = "url", text_col: str = "html"
                    F.lower(F.regexp_extract("_cu", U._SPLIT, 1)).alias("_os"),
                    F.regexp_extract("_cu", U._SPLIT, 2).alias("_on"),
                    F.regexp_extract("_cu", U._SPLIT, 3).alias("_op"))
+    df = df.withColumn("_origin_bad", F.coalesce(U.netloc_invalid(F.col("_on")), F.lit(False)))
     parts = _memo(("resolve",), lambda: resolve_links(
         F.col("_links"), F.col("_os"), F.col("_on"), F.col("_op")))
-    df = df.select(*keep, "url", "domain", "_missing", parts.alias("_parts"))
+    df = df.select(*keep, "url", "domain", "_missing", "_origin_bad", parts.alias("_parts"))
     res = _memo(("finish", drop_fragments, drop_query),
                 lambda: finish_links(F.col("_parts"), drop_fragments, drop_query))
-    df = df.select(*keep, "url", "domain", "_missing", res.alias("_res"))
+    df = df.select(*keep, "url", "domain", "_missing", "_origin_bad", res.alias("_res"))
     return df.select(
         *keep, "url", "domain",
         F.transform("_res", lambda r: F.struct(r["url"].alias("url"),
                                                r["domain"].alias("domain"))).alias("urls"),
         F.size("_res").alias("n_links"),
         F.when(F.col("_missing"), F.lit(ERR_FILE_NOT_FOUND))
+        .when(F.col("_origin_bad"), F.lit(ERR_PARSE))
         .when(F.exists("_res", lambda r: r["bad"]), F.lit(ERR_PARSE)).cast("int")
         .alias("error"))
 
