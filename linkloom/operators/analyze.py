@@ -65,8 +65,10 @@ def resolve_links(links: Column, o_scheme: Column, o_netloc: Column,
         ((s["netloc"] == "") & ~(s["path"].contains(":")
                                  | (s["path"].contains("/") & s["path"].contains("."))))
         .alias("c"),
-        # urljoin re-reads the relative path, dropping leading blanks
-        U.lstrip_c0(s["path"]).alias("jpath")])
+        # urljoin re-reads the relative path, dropping leading blanks (only
+        # joined paths need it)
+        F.when((s["netloc"] == "") & ~s["path"].contains(":"), U.lstrip_c0(s["path"]))
+        .alias("jpath")])
     parts = _stage(flags, ["c"], lambda s: [
         F.when(s["b"], F.lit("http")).when(s["scheme"] != "", s["scheme"])
         .when(s["c"] | (s["netloc"] == o_netloc), o_scheme).otherwise(F.lit("http"))
