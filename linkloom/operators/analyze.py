@@ -18,6 +18,13 @@ Resolution rules (applied in order to each extracted link):
 4. Scheme: the link's; else the page's when ``match``; else ``http``.
 5. Path and fragment are percent-encoded, the query likewise with '+' for
    spaces; the fragment is dropped by default, the query optionally.
+
+Split and join follow Python's ``urllib.parse`` (which the reference calls)
+down to its corners, checked by random tests against the stdlib: the join
+re-reads the relative path (leading blanks dropped, a leading '//x' is a
+netloc, ``;params`` of the last segment set aside), and a netloc with
+unbalanced brackets or a bracketed host that is not an IPv6 literal is
+refused, which rejects the page like an IDNA failure.
 """
 
 from __future__ import annotations
@@ -162,7 +169,8 @@ def analyze_pages(pages: DataFrame, url_col: str = "url", text_col: str = "html"
 
     Columns: ``keep`` columns, ``url``, ``domain`` (page netloc),
     ``urls: array<struct<url, domain>>``, ``n_links`` (L5) and ``error``
-    (null when accepted; 12 no body or URL, 13 a host failed IDNA).
+    (null when accepted; 12 no body or URL; 13 a host failed IDNA or a
+    netloc of the page or a link is refused by the URL split).
     """
     extract = extract_links if exact else extract_links_simple
     keep = list(keep)

@@ -4,8 +4,10 @@ Each statement re-derives its answer from the raw tables in plain SQL: the
 same extraction patterns (RE2 accepts them unchanged), the resolution rules
 as CASE expressions, and the frontier in its *sequential* form (window
 ranks: first row of a pair / of a domain in page order) rather than the
-aggregate form the Spark plan uses.  Non-ASCII host names are not
-IDNA-encoded here (no such hosts occur in the test tables).
+aggregate form the Spark plan uses.  The resolution rules are stated for
+the URL forms that occur in the test tables; stdlib corners (non-ASCII
+IDNA, bracketed hosts, blanks or '//' at the start of a joined path) are
+checked by the unit tests against Python's ``urllib`` instead.
 """
 
 from __future__ import annotations
