@@ -324,6 +324,15 @@ FROM cnt""")
 SELECT p.page_id, to_json(struct_pack(url := p.url, domain := """ + netloc("p.url") + """,
   urls := coalesce(m.urls, []))) AS message
 FROM acc_pages p LEFT JOIN m USING (page_id)""")
+    # Rounds 1 and 2: round 1 fetches every seeded page; with an empty seen
+    # set its frontier publishes every distinct resolved link, and round 2
+    # fetches the stored pages among them (none in the test tables, so the
+    # crawl stops there; a later round would show up as a mismatch).
+    out["crawl_rounds"] = with_base("""second AS (
+  SELECT page_id, url FROM pages WHERE url IN (SELECT url FROM acc))
+SELECT CAST(1 AS INTEGER) AS round, page_id, url FROM pages
+UNION ALL
+SELECT CAST(2 AS INTEGER) AS round, page_id, url FROM second""")
     out["stream_links_resolved"] = out["links_resolved"]
     out["stream_frontier"] = out["frontier_step"]
     out["stream_dedupe"] = with_base("x AS (SELECT 1)\nSELECT DISTINCT domain, url FROM acc")

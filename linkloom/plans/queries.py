@@ -207,6 +207,15 @@ def q_bloom_stats(spark, sf_dir):
     return st.withColumn("current_p_float", F.round("current_p_float", 12))
 
 
+def q_crawl_rounds(spark, sf_dir):
+    """crawl rounds over the stored snapshot, seeded with every stored
+    page URL, up to 100 rounds; each round fetches the frontier URLs that
+    are stored pages."""
+    from linkloom.operators.rounds import crawl_rounds
+    p = pages(spark, sf_dir)
+    return crawl_rounds(p, p.select("url"), max_rounds=100)
+
+
 def q_messages_json(spark, sf_dir):
     """S3: analysed pages as JSON messages."""
     a = accepted_pages(spark, sf_dir)
@@ -235,6 +244,7 @@ QUERIES = {
     "bloom_probe": q_bloom_probe,
     "bloom_stats": q_bloom_stats,
     "messages_json": q_messages_json,
+    "crawl_rounds": q_crawl_rounds,
 }
 
 
