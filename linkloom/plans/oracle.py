@@ -242,6 +242,7 @@ FROM pages"""
     out["frontier_deny"] = with_base(frontier_ctes(
         [d for d in Q.DENY_LIST.split(",") if d]).strip() + "\nSELECT * FROM published")
     out["frontier_additions"] = with_base(fr.strip() + "\nSELECT domain, url FROM published")
+    out["seen_add_single"] = out["frontier_additions"]
     out["frontier_counts"] = with_base(
         fr.strip() + "\nSELECT page_id, count(*) AS published FROM published GROUP BY page_id")
     out["frontier_top"] = with_base(

@@ -163,6 +163,12 @@ def q_seen_add_status(spark, sf_dir):
     return st.select("page_id", "domain", "url", "inserted")
 
 
+def q_seen_add_single(spark, sf_dir):
+    """Insert the frontier step's new pairs with the key check (a pair
+    already stored or repeated would fail the query)."""
+    return S.add_single(seen_from_pages(spark, sf_dir), _frontier(spark, sf_dir).additions)
+
+
 def q_domain_edges(spark, sf_dir):
     """G1 + G2: page host -> distinct linked hosts, one batch timestamp."""
     return G.domain_edges(accepted_pages(spark, sf_dir), OBSERVED)
@@ -237,6 +243,7 @@ QUERIES = {
     "seen_exists": q_seen_exists,
     "seen_bulk_exists": q_seen_bulk_exists,
     "seen_add_status": q_seen_add_status,
+    "seen_add_single": q_seen_add_single,
     "domain_edges": q_domain_edges,
     "fetch_outcome": q_fetch_outcome,
     "response_outcome": q_response_outcome,
