@@ -187,12 +187,15 @@ def analyze_pages(pages: DataFrame, url_col: str = "url", text_col: str = "html"
                    F.regexp_extract("_cu", U._SPLIT, 2).alias("_on"),
                    F.regexp_extract("_cu", U._SPLIT, 3).alias("_op"))
     df = df.withColumn("_origin_bad", F.coalesce(U.netloc_invalid(F.col("_on")), F.lit(False)))
-    parts = _memo(("resolve",), lambda: resolve_links(
-        F.col("_links"), F.col("_os"), F.col("_on"), F.col("_op")))
-    df = df.select(*keep, "url", "domain", "_missing", "_origin_bad", parts.alias("_parts"))
-    res = _memo(("finish", drop_fragments, drop_query),
-                lambda: finish_links(F.col("_parts"), drop_fragments, drop_query))
-    df = df.select(*keep, "url", "domain", "_missing", "_origin_bad", res.alias("_res"))
+    cols = [*keep, "url", "domain", "_missing", "_origin_bad", "_os", "_on", "_op"]
+    df = df.select(*cols, _memo(("tag",), _tag_links).alias("_tagged"))
+    df = df.select(*cols, _memo(("plain",), _plain_links).alias("_plain"),
+                   F.filter("_tagged", lambda t: ~t["plain"]).alias("_others"))
+    done = _memo(("staged", drop_fragments, drop_query), lambda: finish_links(
+        resolve_links(F.transform("_others", lambda t: t["l"]), F.col("_os"), F.col("_on"),
+                      F.col("_op")), drop_fragments, drop_query))
+    df = df.select(*cols, "_plain", "_others", done.alias("_done"))
+    df = df.select(*cols[:5], _memo(("merge",), _merge_links).alias("_res"))
     return df.select(
         *keep, "url", "domain",
         F.transform("_res", lambda r: F.struct(r["url"].alias("url"),
@@ -204,6 +207,35 @@ def analyze_pages(pages: DataFrame, url_col: str = "url", text_col: str = "html"
         .alias("error"))
 
 
+# A link that is a plain rooted path -- legal characters only, and none of
+# '.', ':', ';', '?', '#', '[', ']' -- resolves to <page scheme>://<page
+# netloc><path> unchanged (no split, join, IDNA or escaping can alter it)
+# on an http(s) page with a host.  Such links skip the staged resolution.
+_PLAIN_ROOTED = r"^/(?!/)[A-Za-z0-9\-_~/!$&'()*+,=@%]*$"
+
+
+def _tag_links() -> Column:
+    plain_page = F.col("_os").isin("http", "https") & (F.col("_on") != "")
+    return F.transform("_links", lambda l, i: F.struct(
+        i.alias("i"), l.alias("l"), (plain_page & l.rlike(_PLAIN_ROOTED)).alias("plain")))
+
+
+def _plain_links() -> Column:
+    return F.transform(F.filter("_tagged", lambda t: t["plain"]), lambda t: F.struct(
+        t["i"].alias("i"),
+        F.concat(F.col("_os"), F.lit("://"), F.col("_on"), t["l"]).alias("url"),
+        F.col("_on").alias("domain"), F.lit(False).alias("bad")))
+
+
+def _merge_links() -> Column:
+    """Both parts back in link order (by position)."""
+    rest = F.zip_with("_others", "_done", lambda t, r: F.struct(
+        t["i"].alias("i"), r["url"].alias("url"), r["domain"].alias("domain"),
+        r["bad"].alias("bad")))
+    return F.transform(F.array_sort(F.concat(F.col("_plain"), rest)), lambda x: F.struct(
+        x["url"].alias("url"), x["domain"].alias("domain"), x["bad"].alias("bad")))
+
+
 def _keep_where(analyzed: DataFrame, cond: Column, cols) -> DataFrame:
     # A filter on ``error`` would be pushed below the projections that compute
     # it, and the optimizer would then derive every page's links twice (once
