@@ -111,6 +111,23 @@ def deny_filter(df: DataFrame, deny) -> DataFrame:
     return df.filter(~F.col("domain").isin(deny) | F.col("domain").isNull())
 
 
+def write_seen_table(pairs: DataFrame, path: str, buckets: int | None = None,
+                     name: str | None = None) -> DataFrame:
+    """Store the seen set bucketed by (domain, url) and return it as a table.
+
+    With as many buckets as ``spark.sql.shuffle.partitions``, the frontier's
+    pair join and the J1-J4 pair lookups read it in place: only the batch side
+    is shuffled, never the (large, growing) seen set.  The table lives at
+    ``path`` (the shared checkpoint folder or a warehouse location).
+    """
+    spark = pairs.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = name or "seen_" + path.rstrip("/").rsplit("/", 1)[-1].replace("-", "_")
+    pairs.select("domain", "url").write.bucketBy(n, "domain", "url") \
+        .option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def append_seen(additions: DataFrame, path: str, batch_id: int | None = None) -> None:
     """Append new pairs to the seen table; with ``batch_id`` the write
     replaces exactly that batch's folder, so a replayed batch is idempotent."""

@@ -122,3 +122,28 @@ def test_observed_link_metrics(spark):
     m = obs.get
     assert m["pages"] == 250 and m["accepted"] == 250 and m["rejected"] == 0
     assert m["links"] == 1404
+
+
+def test_bucketed_seen_is_read_in_place(spark):
+    from linkloom.operators.seen import write_seen_table
+    from linkloom.session import scratch_path
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        seen = spark.range(2000).select(F.concat(F.lit("d"), (F.col("id") % 50).cast("string")).alias("domain"),
+                                        F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"))
+        st = write_seen_table(seen, scratch_path(spark, "seen-t"))
+        cand = spark.range(500).select(F.col("id").alias("seq"),
+                                       F.concat(F.lit("u"), (F.col("id") * 7).cast("string")).alias("url"),
+                                       F.concat(F.lit("d"), (F.col("id") * 7 % 50).cast("string")).alias("domain"))
+        res = frontier_step(cand, st, flagged=False)
+        plan = res.published._jdf.queryExecution().executedPlan().toString()
+        lines = plan.split("\n")
+        scan = [i for i, l in enumerate(lines) if "Bucketed: true" in l]
+        assert scan, plan
+        # the line above the bucketed scan is the join input, not an exchange
+        assert "Exchange" not in lines[scan[0] - 1]
+        exp = {(i, f"u{i * 7}") for i in range(500) if i * 7 >= 2000}   # urls not stored
+        assert {(r.seq, r.url) for r in res.published.collect()} == exp
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
