@@ -76,7 +76,7 @@ def read_page_files(spark: SparkSession, path: str) -> DataFrame:
     """S2 for a folder of stored bodies: one row per file, ``url`` is the
     file path; a missing path fails the read (error 12 in the reference)."""
     return spark.read.option("wholetext", True).text(path) \
-        .select(F.input_file_name().alias("url"), F.col("value").alias("html"))
+        .select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"))
 
 
 def to_messages(analyzed: DataFrame) -> DataFrame:
