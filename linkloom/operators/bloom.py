@@ -42,9 +42,15 @@ ERR_BLOOM_ERROR_RATE = 5
 
 @dataclass(frozen=True)
 class BloomParams:
-    """B1: sizing for ``max_n`` items at error rate ``p``."""
+    """B1: sizing for ``max_n`` items at error rate ``p``.
+
+    ``hash`` is ``"fnv1"`` (the reference's bits, via a vectorised pandas
+    UDF) or ``"xxhash64"`` (Spark's built-in 64-bit hash, all in the JVM;
+    same composite-index formula, different bits, same guarantees).
+    """
     max_n: int
     p: float
+    hash: str = "fnv1"
 
     @property
     def m_float(self) -> float:
@@ -189,6 +195,12 @@ def with_bloom_indexes(df: DataFrame, col: str, params: "BloomParams",
     Only the 64-bit hash comes from Python (its own projection, so the UDF
     is evaluated once per row); the indexes are long arithmetic in Spark.
     """
+    if params.hash == "xxhash64":
+        c = F.col(col)
+        h = F.when(~c.contains("\x00"), F.xxhash64(c))
+        return df.withColumn(name, indexes_from_hash(h, params.k, params.m))
+    if params.hash != "fnv1":
+        raise ValueError(f"unknown Bloom hash {params.hash!r}")
     hashed = df.withColumn("_fnv", fnv1_64(F.col(col)))
     return hashed.withColumn(name, indexes_from_hash(F.col("_fnv"), params.k, params.m)) \
         .drop("_fnv")

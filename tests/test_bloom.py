@@ -86,3 +86,16 @@ def test_strict_bounds_raise(spark):
     with pytest.raises(PySparkException):
         B.check_bounds(df, "u", prm).collect()
     assert B.check_bounds(df.limit(50), "u", prm).first().status == 0
+
+
+def test_jvm_hash_mode(spark):
+    prm = B.BloomParams(2000, .05, hash="xxhash64")
+    members = spark.range(1500).select(F.concat(F.lit("http://m/"), F.col("id").cast("string")).alias("u"))
+    others = spark.range(4000).select(F.concat(F.lit("http://o/"), F.col("id").cast("string")).alias("u"))
+    bloom = B.bloom_build(members, "u", prm)
+    plan = bloom._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan
+    assert B.bloom_contains(bloom, members, "u", prm).filter(~F.col("in_bloom")).count() == 0
+    assert B.bloom_contains(bloom, others, "u", prm).filter("in_bloom").count() / 4000 < 0.1
+    nul = spark.createDataFrame([("a\x00b",)], "u string")
+    assert B.with_bloom_indexes(nul, "u", prm, "x").first().x is None
