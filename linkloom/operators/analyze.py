@@ -190,7 +190,7 @@ def analyze_pages(pages: DataFrame, url_col: str = "url", text_col: str = "html"
     cols = [*keep, "url", "domain", "_missing", "_origin_bad", "_os", "_on", "_op"]
     df = df.select(*cols, _memo(("tag",), _tag_links).alias("_tagged"))
     df = df.select(*cols, _memo(("plain",), _plain_links).alias("_plain"),
-                   F.filter("_tagged", lambda t: ~t["plain"]).alias("_others"))
+                   F.filter("_tagged", lambda t: t["kind"] == 0).alias("_others"))
     done = _memo(("staged", drop_fragments, drop_query), lambda: finish_links(
         resolve_links(F.transform("_others", lambda t: t["l"]), F.col("_os"), F.col("_on"),
                       F.col("_op")), drop_fragments, drop_query))
@@ -207,24 +207,36 @@ def analyze_pages(pages: DataFrame, url_col: str = "url", text_col: str = "html"
         .alias("error"))
 
 
-# A link that is a plain rooted path -- legal characters only, and none of
-# '.', ':', ';', '?', '#', '[', ']' -- resolves to <page scheme>://<page
-# netloc><path> unchanged (no split, join, IDNA or escaping can alter it)
-# on an http(s) page with a host.  Such links skip the staged resolution.
+# Links that need no staged resolution (checked against urllib by the
+# random tests):
+# * a plain rooted path -- legal characters only, and none of '.', ':', ';',
+#   '?', '#', '[', ']' -- becomes <page scheme>://<page netloc><path> on an
+#   http(s) page with a host;
+# * a plain absolute http(s) URL -- host of ASCII labels (1-63 letters,
+#   digits, '-'), no port or user, path without '?', '#', '[', ']' -- stays
+#   as it is with the scheme lower-cased, and its host is the domain.
 _PLAIN_ROOTED = r"^/(?!/)[A-Za-z0-9\-_~/!$&'()*+,=@%]*$"
+_PLAIN_ABSOLUTE = (r"^([Hh][Tt][Tt][Pp][Ss]?)://([A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})*\.?)"
+                   r"(/[A-Za-z0-9\-._~:/@!$&'()*+,;=%]*)?$")
 
 
 def _tag_links() -> Column:
     plain_page = F.col("_os").isin("http", "https") & (F.col("_on") != "")
     return F.transform("_links", lambda l, i: F.struct(
-        i.alias("i"), l.alias("l"), (plain_page & l.rlike(_PLAIN_ROOTED)).alias("plain")))
+        i.alias("i"), l.alias("l"),
+        F.when(plain_page & l.rlike(_PLAIN_ROOTED), F.lit(1))
+        .when(l.rlike(_PLAIN_ABSOLUTE), F.lit(2)).otherwise(F.lit(0)).alias("kind")))
 
 
 def _plain_links() -> Column:
-    return F.transform(F.filter("_tagged", lambda t: t["plain"]), lambda t: F.struct(
+    return F.transform(F.filter("_tagged", lambda t: t["kind"] > 0), lambda t: F.struct(
         t["i"].alias("i"),
-        F.concat(F.col("_os"), F.lit("://"), F.col("_on"), t["l"]).alias("url"),
-        F.col("_on").alias("domain"), F.lit(False).alias("bad")))
+        F.when(t["kind"] == 1, F.concat(F.col("_os"), F.lit("://"), F.col("_on"), t["l"]))
+        .otherwise(F.concat(F.lower(F.regexp_extract(t["l"], "^([A-Za-z]+)", 1)),
+                            F.regexp_extract(t["l"], "^[A-Za-z]+(://.*)$", 1))).alias("url"),
+        F.when(t["kind"] == 1, F.col("_on"))
+        .otherwise(F.regexp_extract(t["l"], _PLAIN_ABSOLUTE, 2)).alias("domain"),
+        F.lit(False).alias("bad")))
 
 
 def _merge_links() -> Column:
