@@ -120,3 +120,28 @@ def test_jvm_idna_equals_python_codec(spark):
     df = spark.createDataFrame([(h,) for h in hosts], "h string")
     rows = df.select("h", jvm_idna(F.col("h")).alias("j"), idna_host(F.col("h")).alias("p")).collect()
     assert [r.h for r in rows if r.j != r.p] == []
+
+
+def test_random_absolute_links_match_model(spark):
+    rnd = random.Random(6)
+    schemes = ["http", "https", "HTTP", "Https", "ftp"]
+    hostp = ["a", "b-c", "x" * 63, "x" * 64, ".", "..", "h.com", "H.COM", "ü", ":80", "@u", "[", "1", "-"]
+    pathp = ["/", "a", ".", "..", ";", "=", "?", "#", "%20", " ", "é", "[", ":", "@", "~"]
+    links = []
+    for _ in range(1500):
+        h = "".join(rnd.choice(hostp) for _ in range(rnd.randint(1, 4)))
+        pth = "" if rnd.random() < 0.2 else "/" + "".join(rnd.choice(pathp) for _ in range(rnd.randint(0, 6)))
+        links.append(rnd.choice(schemes) + "://" + h + pth)
+    origin = "http://h.com/p/q"
+    got = _resolve(spark, [(origin, l) for l in links])
+    for i, l in enumerate(links):
+        try:
+            exp, err = resolve(origin, l), None
+        except (UnicodeError, ValueError):
+            exp, err = None, 13
+        r = got[i]
+        if not r.urls:
+            continue
+        assert r.error == err, l
+        if err is None:
+            assert (r.urls[0].url, r.urls[0].domain) == exp, l
