@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
 # IDNA label separators (full stop, ideographic full stop,
 # full-width full stop, half-width ideographic full stop).
@@ -43,19 +43,8 @@ def _encode_host(host: str, memo: dict) -> str | None:
     return out
 
 
-@pandas_udf(ArrayType(StringType()))
-def idna_hosts(hosts: pd.Series) -> pd.Series:
-    memo: dict = {}
-
-    def one(arr):
-        if arr is None:
-            return None
-        return [None if h is None else _encode_host(h, memo) for h in arr]
-
-    return hosts.map(one)
-
-
 @pandas_udf(StringType())
 def idna_host(hosts: pd.Series) -> pd.Series:
+    """The standard Python codec over a column of hosts (null on failure)."""
     memo: dict = {}
     return hosts.map(lambda h: None if h is None else _encode_host(h, memo))
