@@ -1,7 +1,8 @@
 """Crawl frontier (F1-F6) in set form.
 
 The reference decides candidate by candidate against a mutable seen set.
-Processed in ``seq`` order, after the deny filter, that loop is equivalent to:
+Processed in (seq, url, domain) order, after the deny filter, that loop is
+equivalent to:
 
     domain_known = domain stored   OR an earlier candidate had this domain
     url_known    = pair stored     OR an earlier candidate had this pair
@@ -13,8 +14,10 @@ Processed in ``seq`` order, after the deny filter, that loop is equivalent to:
 because the first candidate of any pair is always added, and with it its
 domain.  So only first occurrences matter, and those are minimum aggregates:
 
-* ``pairs``: min(seq, flags) per (domain, url) -- partial aggregation, so a
-  domain holding a third of all rows is combined map-side;
+* ``pairs``: min(seq) per (domain, url) -- a hash aggregate with partial
+  aggregation, so a domain holding a third of all rows is combined map-side
+  (with override/recrawl candidates the first row's flags come along, as
+  min of a struct);
 * ``doms``: min(first seq, url) per domain over ``pairs`` (one row per pair,
   already combined), minus stored domains -- names the one pair per new
   domain that gets priority 2;
