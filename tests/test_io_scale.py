@@ -147,3 +147,13 @@ def test_bucketed_seen_is_read_in_place(spark):
         assert {(r.seq, r.url) for r in res.published.collect()} == exp
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_command_line(spark, capsys):
+    from linkloom.__main__ import main
+    assert main(["list"]) == 0
+    assert "frontier_step" in capsys.readouterr().out
+    out = os.path.join(_tmp(), "seeds")
+    assert main(["run", "seeds", "/root/testdata/sf0.001", out]) == 0
+    assert spark.read.parquet(out).count() == 50
+    assert main(["run", "no_such_query", "/root/testdata/sf0.001", out]) == 2
