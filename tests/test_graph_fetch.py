@@ -58,3 +58,13 @@ def test_head_has_no_body(spark):
     df = spark.createDataFrame([("u", "HTTP/1.1 200 OK\r\n\r\nxyz", "HEAD")], "url string, raw string, m string")
     r = R.response_outcome(df, method_col="m").first()
     assert r.body_bytes == 0 and r.md5 == hashlib.md5(b"").hexdigest()
+
+
+def test_binary_raw_response(spark):
+    body = "科学の限界".encode("utf-8")
+    raw = b"HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\n\r\n" + body
+    df = spark.createDataFrame([("u", bytearray(raw))], "url string, raw binary")
+    r = R.response_outcome(df).first()
+    assert r.success and r.http_code == 200 and r.body_bytes == len(body)
+    assert r.md5 == hashlib.md5(body).hexdigest()
+    assert r.headers["Content-Type"] == "text/plain"
