@@ -4,10 +4,9 @@ Each statement re-derives its answer from the raw tables in plain SQL: the
 same extraction patterns (RE2 accepts them unchanged), the resolution rules
 as CASE expressions, and the frontier in its *sequential* form (window
 ranks: first row of a pair / of a domain in page order) rather than the
-aggregate form the Spark plan uses.  The resolution rules are stated for
-the URL forms that occur in the test tables; stdlib corners (non-ASCII
-IDNA, bracketed hosts, blanks or '//' at the start of a joined path) are
-checked by the unit tests against Python's ``urllib`` instead.
+aggregate form the Spark plan uses.  Non-ASCII IDNA and urlsplit's
+bracketed-host checks are not restated here (no such hosts occur in the
+test tables); the unit tests check them against Python's ``urllib``.
 """
 
 from __future__ import annotations
@@ -64,16 +63,26 @@ def dots(segs: str) -> str:
     return f"(CASE WHEN array_to_string({fixed}, '/') = '' THEN '/' ELSE array_to_string({fixed}, '/') END)"
 
 
-def join_path(base: str, rel: str) -> str:
+def join_path(base: str, rel_raw: str) -> str:
+    """urljoin(base, rel): the relative path is re-read (leading blanks
+    dropped; '//x...' is a netloc; an empty '//' netloc is skipped)."""
+    j0 = f"regexp_replace({rel_raw}, {s('^[\x00-\x20]+')}, '')"
+    jnet = f"regexp_extract({j0}, {s('^//([^/]*)')}, 1)"
+    rel = f"(CASE WHEN starts_with({j0}, '//') THEN regexp_extract({j0}, {s('^//(.*)$')}, 1) ELSE {j0} END)"
     rpath = f"regexp_extract({rel}, {s(U._REL_PATH)}, 1)"
     rparams = f"regexp_extract({rel}, {s(U._REL_PARAMS)}, 1)"
+    npath = f"regexp_extract({j0}, {s('^//[^/]*(.*)$')}, 1)"
+    nparams = f"regexp_extract({npath}, {s(U._REL_PARAMS)}, 1)"
+    nrel = (f"('//' || {jnet} || regexp_extract({npath}, {s(U._REL_PATH)}, 1) || "
+            f"(CASE WHEN {nparams} <> '' THEN ';' || {nparams} ELSE '' END))")
     bs = f"string_split({base}, '/')"
     bparts = f"(CASE WHEN {bs}[len({bs})] <> '' THEN list_slice({bs}, 1, len({bs})-1) ELSE {bs} END)"
     segs0 = f"list_concat({bparts}, string_split({rpath}, '/'))"
     segs = f"list_filter({segs0}, lambda x, i: i = 1 OR i = len({segs0}) OR x <> '')"
     resolved = (f"(CASE WHEN starts_with({rpath}, '/') THEN {dots(f'string_split({rpath}, {s(chr(47))})')} "
                 f"ELSE {dots(segs)} END)")
-    return (f"(CASE WHEN {base} = '' THEN {rel} WHEN {rel} = '' THEN {base} "
+    return (f"(CASE WHEN {base} = '' THEN {rel_raw} WHEN {rel_raw} = '' THEN {base} "
+            f"WHEN starts_with({j0}, '//') AND {jnet} <> '' THEN {nrel} "
             f"WHEN {rpath} = '' AND {rparams} = '' THEN {base} "
             f"WHEN {rparams} <> '' THEN {resolved} || ';' || {rparams} ELSE {resolved} END)")
 
