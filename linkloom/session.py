@@ -44,12 +44,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and lineage-cutting tables.
 
     On a cluster this is whatever ``spark.checkpoint.dir`` names (a shared
-    file system).  Only when it is unset -- local tests -- a fresh temporary
-    folder is taken and registered.
+    file system).  Only a session whose master is local, as in tests, may leave
+    it unset: a fresh temporary folder is then taken and registered.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="linkloom-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
