@@ -68,9 +68,10 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0]:off[-1]], off - off[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch where the text of ``column`` passes ``limit`` bytes (one
-    row at least, so a text is never cut)."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, rows: int = 1024
+           ) -> Iterator[pa.RecordBatch]:
+    """Cut a batch where the text of ``column`` passes ``limit`` bytes or
+    ``rows`` rows (one row at least, so a text is never cut)."""
     if not batch.num_rows:
         return
     col = batch.column(batch.schema.get_field_index(column))
@@ -78,19 +79,21 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     first = 0
     while first < batch.num_rows:
         last = int(np.searchsorted(off, off[first] + limit, side="right")) - 1
-        last = min(max(last, first + 1), batch.num_rows)
+        last = min(max(last, first + 1), first + rows, batch.num_rows)
         yield batch.slice(first, last - first)
         first = last
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None
+                ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first): byte ranges of all words, and for each text the
-    index of its first word (with the total at the end)."""
+    index of its first word (with the total at the end).  ``inside`` marks the
+    bytes of words where they are not simply those that are no separators."""
     n = len(data)
     if not n:
         e = np.empty(0, np.int64)
         return e, e, np.zeros(len(offsets), np.int64)
-    inside = ~_IS_SPACE[data]
+    inside = ~_IS_SPACE[data] if inside is None else inside
     head = inside.copy()
     head[1:] &= ~inside[:-1]
     tail = inside.copy()
@@ -162,3 +165,14 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
+
+
+def per_text(marks: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sum of ``marks`` within each text's range."""
+    sums = np.concatenate(([0], np.cumsum(marks)))
+    return sums[offsets[1:]] - sums[offsets[:-1]]
+
+
+def texts_of(first: np.ndarray) -> np.ndarray:
+    """Index of the text of each word, from the texts' first words."""
+    return np.repeat(np.arange(len(first) - 1), np.diff(first))

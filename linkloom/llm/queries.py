@@ -13,7 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from linkloom.llm.common import table
 from linkloom.llm.exact_dedup import exact_dedup
+from linkloom.llm.language import identify
 from linkloom.llm.packing import pack_documents
+from linkloom.llm.quality import quality_scores
+from linkloom.llm.secret_scan import secret_scan
+from linkloom.llm.toxicity import toxicity_scores
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,9 +34,25 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op3_packing": op3_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_language": op7_language,
+    "op8_secrets": op8_secrets,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
