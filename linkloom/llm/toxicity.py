@@ -30,9 +30,11 @@ from linkloom.llm.common import (crc32_remainder, lower_ascii, slices, texts_of,
                                  word_hashes)
 
 BUCKETS = 1 << 18
-TERMS = 512
+TERMS = 1024
 FOLDS = 5
-LEAST_Z = 4.0
+LEAST_Z = 3.5
+#: Training weight of a toxic row over a plain one.
+TOXIC_WEIGHT = 4.0
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -88,15 +90,15 @@ class FactorizationMachine:
         squares = np.bincount(text, weights=(self.factors ** 2).sum(axis=1)[term], minlength=n)
         return out + 0.5 * ((sums ** 2).sum(axis=1) - squares), sums
 
-    def fit(self, text: np.ndarray, term: np.ndarray, label: np.ndarray, steps: int = 250, rate: float = 0.1,
-            decay: float = 1e-4) -> "FactorizationMachine":
+    def fit(self, text: np.ndarray, term: np.ndarray, label: np.ndarray, steps: int = 300, rate: float = 0.1,
+            decay: float = 3e-5) -> "FactorizationMachine":
         """Logistic loss with weight decay, by Adam over the whole sample."""
         n, size = len(label), len(self.weights)
         state = {k: [0.0, 0.0] for k in ("bias", "weights", "factors")}
         self.bias = float(np.log((label.mean() + 1e-3) / (1 - label.mean() + 1e-3)))
         for step in range(1, steps + 1):
             raw, sums = self.raw(text, term, n)
-            err = (1 / (1 + np.exp(-np.clip(raw, -35, 35))) - label) / n
+            err = (1 / (1 + np.exp(-np.clip(raw, -35, 35))) - label) * np.where(label > 0, TOXIC_WEIGHT, 1.0) / n
             e = err[text]
             grads = {"bias": err.sum(), "weights": np.bincount(term, weights=e, minlength=size) + decay * self.weights}
             own = np.bincount(term, weights=e, minlength=size)[:, None] * self.factors
