@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from linkloom.llm.common import table
 from linkloom.llm.exact_dedup import exact_dedup
 from linkloom.llm.language import identify
+from linkloom.llm.ngram_join import ngram_join
 from linkloom.llm.packing import pack_documents
 from linkloom.llm.quality import quality_scores
 from linkloom.llm.secret_scan import secret_scan
@@ -34,6 +35,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_ngram_join": op6_ngram_join,
     "op7_language": op7_language,
     "op8_secrets": op8_secrets,
     "op10_toxicity": op10_toxicity,
