@@ -18,6 +18,7 @@ from linkloom.llm.ngram_join import ngram_join
 from linkloom.llm.packing import pack_documents
 from linkloom.llm.quality import quality_scores
 from linkloom.llm.secret_scan import secret_scan
+from linkloom.llm.substring_dedup import substring_dedup
 from linkloom.llm.toxicity import toxicity_scores
 
 
@@ -31,6 +32,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                           json_path=public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_ngram_join": op6_ngram_join,
     "op7_language": op7_language,
