@@ -10,8 +10,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from linkloom.llm import license_scan as licenses
 from linkloom.llm.common import table
+from linkloom.llm.decontaminate import contaminated
 from linkloom.llm.exact_dedup import exact_dedup
 from linkloom.llm.language import identify
 from linkloom.llm.ngram_join import ngram_join
@@ -22,6 +25,10 @@ from linkloom.llm.substring_dedup import substring_dedup
 from linkloom.llm.toxicity import toxicity_scores
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,11 +59,18 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all documents; the table has no paths, so a document's is source/lang/doc_id."""
+    return licenses.license_scan(table(spark, sf_dir, "documents"),
+                                 path=F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
     "op4_substring_dedup": op4_substring_dedup,
@@ -64,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ngram_join": op6_ngram_join,
     "op7_language": op7_language,
     "op8_secrets": op8_secrets,
+    "op9_licenses": op9_licenses,
     "op10_toxicity": op10_toxicity,
 }
 
@@ -74,4 +89,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)""",
+    "op9_licenses": licenses.oracle_sql("concat_ws('/', source, lang, CAST(doc_id AS VARCHAR))"),
 }
