@@ -284,10 +284,13 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     points = scratch_table(equal.union(single), "points")
     release(spark)
 
-    owner = Window.partitionBy("owner", "owner_version")
-    copies = F.ceil(F.count(F.lit(1)).over(owner) / SPANS_A_COPY).cast("int")
-    points = points.withColumn("copies", copies).withColumn(
-        "copy", F.pmod(F.xxhash64("doc", "version"), F.col("copies")).cast("int"))
+    # Only owners with many spans have copies; both sides are plain tables, so
+    # adaptive execution can broadcast the few or split the hot.
+    hot = scratch_table(points.groupBy("owner", "owner_version")
+                        .agg(F.ceil(F.count(F.lit(1)) / SPANS_A_COPY).cast("int").alias("copies"))
+                        .where("copies > 1"), "hot-owners")
+    points = points.join(hot, ["owner", "owner_version"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    points = points.withColumn("copy", F.pmod(F.xxhash64("doc", "version"), F.col("copies")).cast("int"))
     later = points.groupBy("doc", "version").agg(
         F.collect_list(F.struct("start", "n", "owner", "owner_version", "copy")).alias("later"))
     own = points.groupBy(F.col("owner").alias("doc"), F.col("owner_version").alias("version")).agg(
