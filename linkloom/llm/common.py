@@ -2,14 +2,14 @@
 folder, and numpy views of the words of an Arrow batch.
 
 Scratch tables are written under the folder that ``spark.checkpoint.dir``
-names.  They survive lost executors and cut the lineage; whoever owns the
-folder clears it, since results that are still unread may need them.
+names.  They survive lost executors and cut the lineage.  ``settled`` drops the
+tables that a result no longer needs; whoever owns the folder clears the rest.
 """
 
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +34,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_written: list[str] = []
+
+
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it from there."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The result of ``make`` as a written table, without the scratch tables
+    that ``make`` wrote on the way."""
+    before = len(_written)
+    out = scratch_table(make(), name)
+    for path in _written[before:-1]:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    del _written[before:-1]
+    release(spark)
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of plans nobody holds any more
     (it acts when the driver's garbage is collected)."""

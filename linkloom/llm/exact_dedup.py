@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import SLICE_BYTES, scratch_table, slices
+from linkloom.llm.common import SLICE_BYTES, scratch_table, settled, slices
 
 _GAPS = re.compile("[ \t-\r]+")
 _LAST = (1 << 63) - 1
@@ -78,6 +78,10 @@ def _combine_chunks(chunk_bytes: int):
 def exact_dedup(docs: DataFrame, salts: int = 16, chunk_bytes: int = 16 << 20) -> DataFrame:
     """One row per document: doc_id, keep_id (smallest doc_id of its text),
     group_size, kept, text_sha256 (of the normalised text)."""
+    return settled(docs.sparkSession, "exact", lambda: _exact_dedup(docs, salts, chunk_bytes))
+
+
+def _exact_dedup(docs: DataFrame, salts: int, chunk_bytes: int) -> DataFrame:
     local = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
              .mapInArrow(_combine_chunks(chunk_bytes), _LOCAL)
              .withColumn("row", F.monotonically_increasing_id()))

@@ -30,6 +30,7 @@ from linkloom.llm.common import crc32_remainder, lower_ascii, slices, utf8
 
 FEATURES = 1 << 11
 FOLDS, HELD_OUT = 3, 1
+SALTS = 32
 UNDETERMINED = "und"
 FAMILIES = {"germanic": ("en", "de", "nl", "sv", "da", "no", "is", "af"),
             "romance": ("fr", "es", "it", "pt", "ro", "ca", "gl"),
@@ -141,12 +142,28 @@ def _predict(model: Hierarchy | None):
     return predict
 
 
+def _keep(model: Hierarchy | None):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = part.column(part.schema.get_field_index("text"))
+                known = np.array([has_letter(t) for t in texts.to_pylist()])
+                if model is None:
+                    known[:] = False
+                elif known.any():
+                    known &= model.predict(trigrams(texts))[0] != UNDETERMINED
+                yield part.filter(pa.array(known))
+    return keep
+
+
 def fit(docs: DataFrame, per_language: int, families: dict[str, tuple[str, ...]]) -> Hierarchy | None:
     keyed = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang")
              .where(F.col("lang").isNotNull() & (crc32_remainder(F.col("doc_id"), FOLDS) != HELD_OUT)))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = (keyed.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language)
-              .select("doc_id").distinct())
+    picked = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)))
+    for group in (["lang", "salt"], ["lang"]):  # a task sees at most SALTS x per_language rows of a language
+        order = Window.partitionBy(*group).orderBy(F.xxhash64("doc_id"), "doc_id")
+        picked = picked.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language)
+    picked = picked.select("doc_id").distinct()
     # At most per_language ids for each language, so the broadcast is bounded.
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
             .where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -167,3 +184,9 @@ def identify(docs: DataFrame, per_language: int = 800, families: dict[str, tuple
             .mapInArrow(_predict(model), "doc_id long, lang_pred string, score double")
             .select("doc_id", (crc32_remainder(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"),
                     "lang_pred", "score"))
+
+
+def identified_documents(docs: DataFrame, per_language: int = 800,
+                         families: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is not ``und``."""
+    return docs.mapInArrow(_keep(fit(docs, per_language, families or FAMILIES)), docs.schema)

@@ -40,8 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import (gram_hashes, lower_ascii, mix, release, scratch_table, signed, slices, texts_of,
-                                 utf8, word_bounds, word_hashes)
+from linkloom.llm.common import (gram_hashes, lower_ascii, mix, release, scratch_table, settled, signed, slices,
+                                 texts_of, utf8, word_bounds, word_hashes)
 from linkloom.llm.components import components
 
 BUCKET = 512
@@ -290,6 +290,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id
     reachable by links)."""
+    return settled(docs.sparkSession, "ngram-join", lambda: _ngram_join(docs, words, percent))
+
+
+def _ngram_join(docs: DataFrame, words: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = scratch_table(docs.mapInArrow(_describe(words, percent),

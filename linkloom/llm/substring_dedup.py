@@ -35,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import (gram_hashes, range_hashes, release, scratch_table, signed, slices, texts_of, utf8,
-                                 word_bounds, word_hashes)
+from linkloom.llm.common import (gram_hashes, range_hashes, release, scratch_table, settled, signed, slices,
+                                 texts_of, utf8, word_bounds, word_hashes)
 
 GRAM = 16
 SPANS_A_COPY = 1024
@@ -250,6 +250,10 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     """(doc, version, start, end): the word ranges to remove, of rows (doc, version, text)."""
+    return settled(docs.sparkSession, "spans", lambda: _repeated_spans(docs, window))
+
+
+def _repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     spark = docs.sparkSession
     runs = scratch_table(docs.mapInArrow(
         _runs(window), "least long, run long, doc long, version long, start long, n long"), "runs")
@@ -301,12 +305,9 @@ def repeated_spans(docs: DataFrame, window: int) -> DataFrame:
              .select("doc", "version", "text", "own", "copies", "later")
              .mapInArrow(_spans(window), "owner long, owner_version long, copy int, role int, doc long, version long, "
                                          "start long, words binary"))
-    found = (spans.repartition("owner", "owner_version", "copy")
-             .sortWithinPartitions("owner", "owner_version", "copy", "role")
-             .mapInArrow(_read_shards(window), "doc long, version long, start long, end long"))
-    found = scratch_table(found, "spans")
-    release(spark)
-    return found
+    return (spans.repartition("owner", "owner_version", "copy")
+            .sortWithinPartitions("owner", "owner_version", "copy", "role")
+            .mapInArrow(_read_shards(window), "doc long, version long, start long, end long"))
 
 
 def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
