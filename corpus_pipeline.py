@@ -24,19 +24,13 @@ from pyspark.sql import functions as F
 from linkloom.llm.common import scratch_table
 from linkloom.llm.decontaminate import clean_documents
 from linkloom.llm.exact_dedup import exact_dedup
-from linkloom.llm.language import UNDETERMINED, identify
+from linkloom.llm.language import identified_documents
 from linkloom.llm.ngram_join import ngram_join
 from linkloom.llm.packing import pack_documents
 
 
-def _matching(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id (null included) is in ``ids``."""
-    d, k = docs.alias("d"), ids.select(F.col("doc_id").alias("kept_id")).distinct().alias("k")
-    return d.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.kept_id")), "left_semi")
-
-
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _matching(docs, identify(docs).where(F.col("lang_pred") != UNDETERMINED))
+    return identified_documents(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +44,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     joined = ngram_join(docs, words=5, percent=80)
-    return _matching(docs, joined.where(F.col("component_id").eqNullSafe(F.col("doc_id"))))
+    kept = joined.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept_id"))
+    return docs.alias("d").join(kept.distinct().alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.kept_id")),
+                                "left_semi")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
