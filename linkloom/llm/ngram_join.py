@@ -13,7 +13,8 @@ odd number of members: differing cells never exceed d.
   (band, block, XOR).  The E spare blocks let a document leave out up to E
   blocks that hold less than two shingles and would meet by chance; a document
   with more such blocks sends all.  Nothing is lost either way.
-* *Filter.*  Within a bucket the Hamming distance of the whole bit sketches
+* *Filter.*  The blocks that share their smallest class make up a bucket.
+  Within it the Hamming distance of the whole bit sketches
   lower-bounds d and drops most pairs that are no links.
 * *Contract, verify.*  A bucket sends only a spanning forest of the pairs left.
   They are verified on the full sets and give components; then the pairs left
@@ -140,10 +141,10 @@ def _block_keys(hashes: np.ndarray, first: np.ndarray, percent: int) -> tuple[np
 
 
 def _sketches(hashes: np.ndarray, first: np.ndarray, percent: int) -> list[bytes]:
-    """The parity bits of each set, a power of two of at least 16 D cells."""
+    """The parity bits of each set, a power of two of at least 8 D cells."""
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-        cells = 1 << max(7, int(16 * ((100 - percent) * (b - a) // percent + 1) - 1).bit_length())
+        cells = 1 << max(7, int(8 * ((100 - percent) * (b - a) // percent + 1) - 1).bit_length())
         odd = np.bincount((mix(hashes[a:b]) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
         out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
     return out
@@ -302,24 +303,22 @@ def _ngram_join(docs: DataFrame, words: int, percent: int) -> DataFrame:
     classes = scratch_table(described.where("n > 0").groupBy("class").agg(
         F.min(order).alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "classes")
 
-    # Buckets of two classes or more; equal buckets (as near copies have) count once.
+    # A bucket is the union of the blocks that have one smallest class: near copies
+    # meet in many blocks, and so each of them is sent to a bucket once.
     key = Window.partitionBy("key")
     indexed = docs.select("text").mapInArrow(_index(words, percent), "key long, class long")
-    met = (indexed.select("key", "class", F.min("class").over(key).alias("least"),
-                          F.max("class").over(key).alias("most"), F.count(F.lit(1)).over(key).alias("held"))
-           .where(F.col("least") != F.col("most")))
-    parts = F.ceil(F.col("held") / BUCKET).cast("int")
-    part = F.pmod(F.xxhash64("class"), parts).cast("int")
+    met = (indexed.select("class", F.min("class").over(key).alias("lead"), F.max("class").over(key).alias("most"))
+           .where(F.col("lead") != F.col("most")).select("lead", "class").distinct())
+    met = scratch_table(met, "met")
+    release(spark)
+    sizes = met.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("parts"))
+    parts, part = F.col("parts"), F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
     meets = F.when(parts == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(
         F.filter(F.sequence(F.lit(0), parts - 1), lambda p: p != part),
         lambda p: F.least(p, part).cast("long") * 1_000_000 + F.greatest(p, part)))
-    buckets = (met.select("key", "class", F.explode(meets).alias("meet")).groupBy("key", "meet")
-               .agg(F.array_sort(F.collect_set("class")).alias("members")).where(F.size("members") > 1)
-               .select("members").distinct())
-    buckets = scratch_table(buckets.withColumn("bucket", F.monotonically_increasing_id()), "buckets")
-    release(spark)
-
-    members = buckets.select("bucket", F.explode("members").alias("class")).join(classes.drop("rep"), "class")
+    buckets = scratch_table(met.join(sizes, "lead").select("lead", "class", F.explode(meets).alias("meet"))
+                            .select(F.xxhash64("lead", "meet").alias("bucket"), "class"), "buckets")
+    members = buckets.join(classes.drop("rep"), "class")
 
     def pairs_of(rows: DataFrame, grouped: bool) -> DataFrame:
         rows = rows.select("bucket", "class", "n", "sketch", *(["c"] if grouped else []))
