@@ -10,12 +10,12 @@ odd number of members: differing cells never exceed d.
 * *Candidates.*  Per size band the hash range is cut into k = D + 1 + E blocks,
   D bounding d within the band.  At most D blocks of a linked pair differ, so
   1 + E or more have the same XOR of 64-bit shingle hashes and meet in a join on
-  (band, block, XOR).  The E spare blocks let a document leave out up to E
-  blocks that hold less than two shingles and would meet by chance; a document
-  with more such blocks sends all.  Nothing is lost either way.
+  (band, block, XOR).  The E spare blocks let a document leave out up to E empty
+  blocks, which would meet by chance; a document with more of them sends all.
+  Nothing is lost either way.
 * *Filter.*  The blocks that share their smallest class make up a bucket.
-  Within it the Hamming distance of the whole bit sketches
-  lower-bounds d and drops most pairs that are no links.
+  Within it the Hamming distance of the whole bit sketches lower-bounds d and
+  drops most pairs that are no links.
 * *Contract, verify.*  A bucket sends only a spanning forest of the pairs left.
   They are verified on the full sets and give components; then the pairs left
   between different components are all verified as well.  A group of g mutual
@@ -99,7 +99,7 @@ def _bands(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         upper.append(max(upper[-1] + 1, upper[-1] * 7 // 5))
     size = np.array(upper, dtype=np.int64)
     most = rest * size // percent
-    spare = np.where(most >= 16, most // 5 + 3, 0)
+    spare = most // 10 + 2
     return size, most + 1 + spare, spare
 
 
@@ -125,10 +125,9 @@ def _block_keys(hashes: np.ndarray, first: np.ndarray, percent: int) -> tuple[np
         heads = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
         value = np.zeros(k.sum(), dtype=np.uint64)
         value[block[heads]] = np.bitwise_xor.reduceat(mix(h), heads)
-        held = np.zeros(k.sum(), dtype=np.int64)
-        held[block[heads]] = np.diff(np.append(heads, len(h)))
+        poor = np.ones(k.sum(), dtype=bool)
+        poor[block[heads]] = False
         of = np.repeat(np.arange(len(sets)), k)
-        poor = held < 2
         all_sent = np.bincount(of, weights=poor, minlength=len(sets)) > spare[band[sets]]
         send = np.flatnonzero(~poor | all_sent[of])
         of = of[send]
