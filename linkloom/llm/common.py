@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from linkloom.session import scratch_path
 
 #: Bytes of text handled at once by the numpy word scans.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 #: The word separators of every contract here: blank, tab .. carriage return.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -85,7 +85,7 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0]:off[-1]], off - off[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, rows: int = 1024
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, rows: int = 256
            ) -> Iterator[pa.RecordBatch]:
     """Cut a batch where the text of ``column`` passes ``limit`` bytes or
     ``rows`` rows (one row at least, so a text is never cut)."""
@@ -137,11 +137,11 @@ _powers: dict[int, np.ndarray] = {}
 def _power_table(base: np.uint64, n: int) -> np.ndarray:
     have = _powers.get(int(base))
     if have is None or len(have) < n:
-        size = max(n, 1 << 16)
+        size = max(n, SLICE_BYTES + 1)
         have = np.full(size, base, dtype=np.uint64)
         have[0] = 1
         np.cumprod(have, out=have)
-        if size <= 4 * SLICE_BYTES:
+        if size <= 2 * SLICE_BYTES:
             _powers[int(base)] = have
     return have[:n]
 

@@ -75,7 +75,7 @@ def _combine_chunks(chunk_bytes: int):
     return combine
 
 
-def exact_dedup(docs: DataFrame, salts: int = 16, chunk_bytes: int = 16 << 20) -> DataFrame:
+def exact_dedup(docs: DataFrame, salts: int = 16, chunk_bytes: int = 8 << 20) -> DataFrame:
     """One row per document: doc_id, keep_id (smallest doc_id of its text),
     group_size, kept, text_sha256 (of the normalised text)."""
     return settled(docs.sparkSession, "exact", lambda: _exact_dedup(docs, salts, chunk_bytes))

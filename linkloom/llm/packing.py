@@ -44,20 +44,23 @@ def _encoder(ranks_path: str, json_path: str):
     spells a special token goes to the JSON tokenizer itself."""
     if ranks_path not in _encoders:
         import base64
+        import json
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                                  special_tokens={})
-        full = Tokenizer.from_file(json_path)
-        special = [t.content for t in full.get_added_tokens_decoder().values()]
+        with open(json_path, encoding="utf-8") as file:
+            special = [t["content"] for t in json.load(file)["added_tokens"]]
 
         def encode(text: str) -> list[int]:
             if any(s in text for s in special):
+                from tokenizers import Tokenizer
+
+                full = Tokenizer.from_file(json_path)
                 return full.encode(text, add_special_tokens=False).ids
             return fast.encode_ordinary(text)
 
