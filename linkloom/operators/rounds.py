@@ -18,6 +18,9 @@ the pages it names, never the whole snapshot.
 
 from __future__ import annotations
 
+import warnings
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,22 +31,23 @@ from linkloom.session import scratch_path
 
 def _bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
     """Write ``df`` once as a table bucketed by ``key`` in the shared
-    checkpoint folder and read it back (joins on ``key`` then shuffle only
-    the other side)."""
+    checkpoint folder, one file a bucket, and read it back (joins on ``key``
+    then shuffle only the other side)."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     table = path.rsplit("/", 1)[-1].replace("-", "_")
-    df.write.bucketBy(n, key).option("path", path).saveAsTable(table)
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(table)
     return spark.table(table)
 
 
 def crawl_rounds(pages: DataFrame, seeds: DataFrame, seen: DataFrame | None = None,
-                 max_rounds: int = 100, deny=None, buckets: int | None = None) -> DataFrame:
+                 max_rounds: int | None = None, deny=None, buckets: int | None = None) -> DataFrame:
     """Rows (round, page_id, url) of the pages fetched in each round.
 
     ``pages``: snapshot (page_id, url, html); ``seeds``: (url) to fetch in
     round 1 (not added to the seen set, as the reference's seeder bypasses
-    the filter); stops when a round fetches nothing or at ``max_rounds``.
+    the filter); runs until a round fetches nothing.  A caller may bound the
+    rounds; a run that the bound ends early warns that it is incomplete.
     """
     spark = pages.sparkSession
     seen_path = scratch_path(spark, "rounds-seen")
@@ -51,10 +55,14 @@ def crawl_rounds(pages: DataFrame, seeds: DataFrame, seen: DataFrame | None = No
     base = seen if seen is not None else spark.createDataFrame([], "domain string, url string")
     base.select("domain", "url").write.parquet(f"{seen_path}/round=0")
     frontier = seeds.select("url").distinct()
-    n = buckets or max(spark.sparkContext.defaultParallelism, pages.rdd.getNumPartitions())
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     index = _bucketed(pages.select("url", "page_id"), "url", n, "rounds-index")
     bodies = _bucketed(pages.select("page_id", "url", "html"), "page_id", n, "rounds-bodies")
-    for r in range(1, max_rounds + 1):
+    for r in count(1):
+        if max_rounds is not None and r > max_rounds:
+            if not index.join(frontier, "url", "left_semi").isEmpty():
+                warnings.warn(f"crawl_rounds stopped at max_rounds={max_rounds}; pages are left", stacklevel=2)
+            break
         ids = index.join(frontier, "url", "left_semi").select("page_id")
         fetched = bodies.join(ids, "page_id", "left_semi")
         fetched.select(F.lit(r).alias("round"), "page_id", "url") \

@@ -219,7 +219,7 @@ def q_crawl_rounds(spark, sf_dir):
     are stored pages."""
     from linkloom.operators.rounds import crawl_rounds
     p = pages(spark, sf_dir)
-    return crawl_rounds(p, p.select("url"), max_rounds=100)
+    return crawl_rounds(p, p.select("url"))
 
 
 def q_messages_json(spark, sf_dir):
@@ -260,10 +260,19 @@ QUERIES = {
 # (availableNow) and returns the sink table; the result must equal the batch
 # query of the same name without the ``stream_`` prefix.
 
+def _page_files(spark, sf_dir):
+    """(folder, file pattern) of the pages table, one file or a folder of them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/pages.parquet")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.getFileStatus(path).isDirectory():
+        return f"{sf_dir}/pages.parquet", "*.parquet"
+    return sf_dir, "pages.parquet"
+
+
 def q_stream_links_resolved(spark, sf_dir):
     """Continuous extraction + resolution."""
     from linkloom.streaming import jobs as T
-    links = A.explode_links(A.accepted(T.analyzed_stream(spark, sf_dir, glob="pages.parquet")))
+    links = A.explode_links(A.accepted(T.analyzed_stream(spark, *_page_files(spark, sf_dir))))
     out = T.run_to_table(links.select("page_id", "url", "domain"), "stream-links")
     return spark.read.parquet(out)
 
@@ -275,7 +284,7 @@ def q_stream_frontier(spark, sf_dir):
     seen_path = scratch_path(spark, "stream-seen")
     T.write_seen_batch(seen_from_pages(spark, sf_dir), seen_path, -1)
     out_path = scratch_path(spark, "stream-frontier")
-    stream = T.analyzed_stream(spark, sf_dir, glob="pages.parquet")
+    stream = T.analyzed_stream(spark, *_page_files(spark, sf_dir))
     T.run_to_table(stream, "stream-frontier-q", foreach_batch=T.frontier_batches(seen_path, out_path))
     return _published_cols(spark.read.parquet(out_path).drop("batch_id"))
 
@@ -283,7 +292,7 @@ def q_stream_frontier(spark, sf_dir):
 def q_stream_dedupe(spark, sf_dir):
     """Each linked (domain, url) once across the stream."""
     from linkloom.streaming import jobs as T
-    links = A.explode_links(A.accepted(T.analyzed_stream(spark, sf_dir, glob="pages.parquet")))
+    links = A.explode_links(A.accepted(T.analyzed_stream(spark, *_page_files(spark, sf_dir))))
     out = T.run_to_table(T.dedupe_stream(links.select("domain", "url")), "stream-dedupe")
     return spark.read.parquet(out)
 
@@ -291,7 +300,7 @@ def q_stream_dedupe(spark, sf_dir):
 def q_stream_domain_first(spark, sf_dir):
     """T4: first URL of each domain seen by the stream (priority 2)."""
     from linkloom.streaming import jobs as T
-    cand = FR.page_candidates(A.accepted(T.analyzed_stream(spark, sf_dir, glob="pages.parquet")))
+    cand = FR.page_candidates(A.accepted(T.analyzed_stream(spark, *_page_files(spark, sf_dir))))
     out = T.run_to_table(T.domain_first_stream(cand), "stream-domain-first")
     return spark.read.parquet(out).select(F.col("seq").alias("page_id"), "url", "domain",
                                           "fetch_priority")
@@ -300,7 +309,7 @@ def q_stream_domain_first(spark, sf_dir):
 def q_stream_domain_edges(spark, sf_dir):
     """T5: continuous graph log."""
     from linkloom.streaming import jobs as T
-    edges = T.edges_stream(T.analyzed_stream(spark, sf_dir, glob="pages.parquet"), OBSERVED)
+    edges = T.edges_stream(T.analyzed_stream(spark, *_page_files(spark, sf_dir)), OBSERVED)
     return spark.read.parquet(T.run_to_table(edges, "stream-edges"))
 
 

@@ -37,9 +37,28 @@ def get_session(master: str | None = None, app: str = "linkloom",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, for sessions
+    whose workers don't have it on their path."""
+    import shutil
+    import tempfile
+
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="linkloom-"), "linkloom"), "zip",
+                                   os.path.dirname(package), os.path.basename(package))
+        sc.addPyFile(made)  # the driver serves the file, so its folder need not be shared
+        _shipped.add(sc.applicationId)
+
+
+_shipped: set[str] = set()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and lineage-cutting tables.
 

@@ -52,9 +52,9 @@ def pages_stream(spark: SparkSession, folder: str, glob: str = "pages*.parquet",
     return r.parquet(folder)
 
 
-def analyzed_stream(spark: SparkSession, folder: str, **kw) -> DataFrame:
+def analyzed_stream(spark: SparkSession, folder: str, *args, **kw) -> DataFrame:
     """Continuous link extraction and resolution."""
-    return A.analyze_pages(pages_stream(spark, folder, **kw))
+    return A.analyze_pages(pages_stream(spark, folder, *args, **kw))
 
 
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
