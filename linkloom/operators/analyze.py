@@ -132,19 +132,6 @@ def finish_links(parts: Column, drop_fragments: bool, drop_query: bool) -> Colum
     return F.transform(hosted, one)
 
 
-def spread(pages: DataFrame, key: str) -> DataFrame:
-    """Hash-spread the pages when the scan yields fewer partitions than the
-    cluster has cores (a few large row groups), so the per-page regex work
-    runs on every core.  A large input already has many more partitions than
-    cores and is left as it is (no shuffle)."""
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    if pages.isStreaming:
-        return pages
-    if pages.rdd.getNumPartitions() >= cores:
-        return pages
-    return pages.repartition(cores, F.col(key))
-
-
 _COLUMN_MEMO: dict = {}
 
 
@@ -156,10 +143,12 @@ def _memo(key, build):
     paid again for every query that analyses pages.
     """
     from pyspark import SparkContext
-    key = (id(SparkContext._gateway),) + key
-    if key not in _COLUMN_MEMO:
-        _COLUMN_MEMO[key] = build()
-    return _COLUMN_MEMO[key]
+    gateway = SparkContext._gateway
+    held, column = _COLUMN_MEMO.get(key, (None, None))
+    if column is None or held is not gateway:
+        column = build()
+        _COLUMN_MEMO[key] = (gateway, column)
+    return column
 
 
 def analyze_pages(pages: DataFrame, url_col: str = "url", text_col: str = "html",
@@ -174,7 +163,6 @@ def analyze_pages(pages: DataFrame, url_col: str = "url", text_col: str = "html"
     """
     extract = extract_links if exact else extract_links_simple
     keep = list(keep)
-    pages = spread(pages, url_col)
     df = pages.select(*keep, F.col(url_col).alias("url"),
                       text_mode(F.col(text_col)).alias("_text"),
                       U.clean(F.col(url_col)).alias("_cu"))

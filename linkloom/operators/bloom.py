@@ -6,16 +6,16 @@ explode-indexes -> ``groupBy(word).agg(bit_or(...))`` (partial aggregation on
 every map task, so no item ever travels more than once and no driver collect);
 probing is explode-indexes -> join on ``word`` -> ``min(bit set)`` per key.
 The bit array has at most ``ceil(m / 64)`` rows, a bound known from the
-parameters before any data is read, so the probe join broadcasts it only when
-that bound is under the broadcast threshold.
+parameters before any data is read; the probe join leaves it to Spark whether
+its measured size allows a broadcast.
 
 Hash (B2), reference-compatible: 64-bit FNV-1 of the UTF-8 bytes; with
 ``hi`` = upper and ``lo`` = lower 32 bits, index i = ((hi + i*lo + i*i) mod
 2^32) mod m for i in 0..k-1.  The hash runs in an Arrow-batched pandas UDF
 with numpy uint64 arithmetic, because 64-bit wrap-around multiplication is
 not expressible in ANSI Spark SQL without overflow errors; the k indexes are
-then plain long arithmetic in Spark.  A string holding NUL is rejected (null
-indexes), as the reference does.
+then plain long arithmetic in Spark.  A string holding NUL has no hash: the
+build refuses it, and a probe keeps it with a null flag.
 """
 
 from __future__ import annotations
@@ -76,6 +76,12 @@ class BloomParams:
     def words(self) -> int:
         return (self.m + 63) // 64
 
+    @classmethod
+    def for_items(cls, n: int, p: float, hash: str = "fnv1") -> "BloomParams":
+        """Sized for a measured number of items with room for as many again
+        (never under 1,000)."""
+        return cls(max(1000, 2 * n), p, hash)
+
     def error_rate(self, n: int) -> float:
         """B6, unrounded: (1 - e^(-k(n + .5)/(m - 1)))^k with untruncated m, k."""
         return pow(1 - pow(math.e, -self.k_float * (n + .5) / (self.m_float - 1)), self.k_float)
@@ -98,6 +104,10 @@ class BloomParams:
         return lo + 1
 
 
+def _over(params: BloomParams) -> int:
+    return ERR_BLOOM_SIZE_OVERFLOW if params.capacity() >= params.max_n else ERR_BLOOM_ERROR_RATE
+
+
 def optimal_m(n: Column, p: Column) -> Column:
     """B1 as an expression: ``int(-(n ln p) / (ln 2)^2)``."""
     return (-(n * F.log(p)) / F.pow(F.log(F.lit(2.0)), 2)).cast("long")
@@ -209,41 +219,46 @@ def with_bloom_indexes(df: DataFrame, col: str, params: "BloomParams",
 # --------------------------------------------------------- build / probe --
 
 def bloom_build(df: DataFrame, col: str, params: BloomParams) -> DataFrame:
-    """The bit array of every (non-null) value of ``col``."""
-    idx = with_bloom_indexes(df.select(col), col, params, "_idx") \
+    """B3 + B7: the bit array of every (non-null) value of ``col``.
+
+    The query fails when a value holds NUL (it has no hash) and, with code 4 or
+    5, when there are more values (repeats included) than the parameters allow.
+    The values are counted by a subquery, so ``df`` is read twice: give it a
+    stored table or a checkpoint.
+    """
+    c = F.col(col)
+    checked = df.select(F.when(c.contains("\x00"), F.raise_error(F.lit("Bloom filter: NUL in a value")))
+                        .otherwise(c).alias(col))
+    idx = with_bloom_indexes(checked, col, params, "_idx") \
         .select(F.explode("_idx").alias("i"))
-    return idx.groupBy(F.floor(F.col("i") / 64).cast("long").alias("word")).agg(
+    words = idx.groupBy(F.floor(F.col("i") / 64).cast("long").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(i % 64 as int))")).alias("bits"))
+    n = df.agg(F.count(col)).scalar()
+    fail = F.raise_error(F.concat(F.lit(f"Bloom filter bounds exceeded, code {_over(params)}: n="),
+                                  n.cast("string"), F.lit(f", capacity={params.capacity()}")))
+    return words.select("word", F.when(n > params.capacity(), fail).otherwise(F.col("bits")).alias("bits"))
 
 
 def bloom_contains(bloom: DataFrame, probes: DataFrame, col: str, params: BloomParams,
                    name: str = "in_bloom") -> DataFrame:
     """Distinct values of ``col`` with boolean ``name`` (all k bits set).
 
-    No false negatives; false positives at about the designed rate.
+    No false negatives; false positives at about the designed rate.  A value
+    holding NUL has no hash: it is kept with a null flag.  The bit table has at
+    most ``params.words`` rows, and Spark broadcasts it when its measured size
+    allows.
     """
     keys = probes.select(F.col(col).alias("_key")).where(F.col("_key").isNotNull()).distinct()
     exploded = with_bloom_indexes(keys, "_key", params, "_idx") \
-        .select("_key", F.explode("_idx").alias("i"))
+        .select("_key", F.explode_outer("_idx").alias("i"))
     exploded = exploded.select("_key", F.floor(F.col("i") / 64).cast("long").alias("word"),
                                (F.col("i") % 64).cast("int").alias("bit"))
-    words = bloom.select("word", "bits")
-    if params.words * 16 <= _broadcast_limit(probes):
-        words = F.broadcast(words)
-    hit = exploded.join(words, "word", "left").select(
+    hit = exploded.join(bloom.select("word", "bits"), "word", "left").select(
         "_key", F.expr("(coalesce(bits, 0L) & shiftleft(1L, bit)) != 0").alias("_set"))
     return hit.groupBy(F.col("_key").alias(col)).agg(F.min(F.col("_set").cast("int"))
                                                       .cast("boolean").alias(name))
 
 
-def _broadcast_limit(df: DataFrame) -> int:
-    v = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    try:
-        return int(str(v).rstrip("bB"))
-    except ValueError:
-        return 10 * 1024 * 1024
-
-
 def bloom_stats(df: DataFrame, col: str, params: BloomParams) -> DataFrame:
     """One row with n (inserts, repeats included), m, k, the current
     error rate (raw and rounded to the digits of p) and the bounds status:
@@ -251,7 +266,7 @@ def bloom_stats(df: DataFrame, col: str, params: BloomParams) -> DataFrame:
     cap = params.capacity()
     n = F.count(F.col(col))
     rate = error_rate(n, params)
-    over_status = ERR_BLOOM_SIZE_OVERFLOW if cap >= params.max_n else ERR_BLOOM_ERROR_RATE
+    over_status = _over(params)
     return df.agg(n.alias("n")).select(
         F.lit(params.m).cast("long").alias("m"), F.lit(params.k).cast("int").alias("k"),
         "n", error_rate(F.col("n"), params).alias("current_p_float"),
@@ -279,11 +294,33 @@ def two_tier_known(probes: DataFrame, col: str, bloom: DataFrame, stored: DataFr
 
     The Bloom filter answers "certainly not stored" for most new keys; only
     the keys it may contain are confirmed against the stored table (a
-    left-semi join on the survivors).  ``known`` equals a plain lookup.
+    left-semi join on the survivors).  ``known`` equals a plain lookup; a key
+    holding NUL (null ``in_bloom``) is looked up plainly.
     """
     flags = bloom_contains(bloom, probes, col, params)
-    confirmed = flags.filter("in_bloom").select(col) \
+    confirmed = flags.filter("coalesce(in_bloom, true)").select(col) \
         .join(stored.select(col).distinct(), col, "left_semi") \
         .withColumn("_known", F.lit(True))
     return flags.join(confirmed, col, "left").select(
         col, "in_bloom", F.coalesce("_known", F.lit(False)).alias("known"))
+
+
+def two_tier_pairs(probes: DataFrame, domains: DataFrame, urls: DataFrame, stored: DataFrame,
+                   domain_params: BloomParams, url_params: BloomParams) -> DataFrame:
+    """J7 by pair: distinct (domain, url) probes with ``domain_known`` and
+    ``pair_known``.
+
+    Tier one asks the Bloom filter of domains, tier two that of URLs; a key that
+    a filter may contain is confirmed against the stored (domain, url) table, so
+    both flags equal plain lookups.  A pair is known only within a known domain.
+    """
+    pairs = probes.select("domain", "url").distinct()
+    hosts = two_tier_known(pairs, "domain", domains, stored, domain_params) \
+        .select("domain", F.col("known").alias("domain_known"))
+    maybe = bloom_contains(urls, pairs, "url", url_params, "_maybe").where("coalesce(_maybe, true)")
+    sure = pairs.join(maybe.select("url"), "url", "left_semi") \
+        .join(stored.select("domain", "url"), ["domain", "url"], "left_semi") \
+        .withColumn("_pair", F.lit(True))
+    return pairs.join(sure, ["domain", "url"], "left").join(hosts, "domain", "left").select(
+        "domain", "url", F.coalesce("domain_known", F.lit(False)).alias("domain_known"),
+        F.coalesce("_pair", F.lit(False)).alias("pair_known"))

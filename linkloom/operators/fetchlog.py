@@ -34,11 +34,11 @@ def body_cutoff(body: Column, max_bytes: int) -> Column:
     """struct(ok, kept_bytes).  Not ok when the bytes written reach
     ``max_bytes``; then the kept part ends at the first line end at or after
     the limit (or the end of the body)."""
-    b = as_bytes_text(body)
-    total = F.length(b)
-    nl = F.locate("\n", b, max(int(max_bytes), 1))
+    total = F.octet_length(body)
+    # the byte view is built only for bodies over the limit
+    nl = F.locate("\n", as_bytes_text(body), max(int(max_bytes), 1))
     kept = F.when(total < max_bytes, total) \
-        .when(nl > 0, F.least(nl, total)).otherwise(total)
+        .otherwise(F.coalesce(F.nullif(nl, F.lit(0)), total))
     return F.struct((total < max_bytes).alias("ok"), kept.cast("long").alias("kept_bytes"))
 
 
@@ -62,27 +62,57 @@ def split_response(raw: Column, method: Column | str = "GET") -> Column:
                     F.when(has_body & (m != F.lit("HEAD")), body).alias("body"))
 
 
-_STATUS = r"^\s*(HTTP/\S*)\s+([0-9]{3})(?:\s[^\n]*)?\n?$"
-_HEADER_LINE = r"^([^:\r\n]+):[ \t]*(.*?)\r?$"
+# A status line: version, code 100-999, optional reason, set apart by blanks.
+_STATUS = r"\A[ \t\x0B\f\r]*(HTTP/\S*)[ \t\x0B\f\r]+0*([1-9][0-9]{2})(?:[ \t\x0B\f\r][^\n]*)?\n?\z"
+_VERSION = r"\AHTTP/(?:0\.9|1\..*)\z"
+# Interim answers (100 and its headers, at most 100 lines) before the final one.
+_INTERIM = (r"\A(?:[ \t\x0B\f\r]*HTTP/\S*[ \t\x0B\f\r]+0*100(?:[ \t\x0B\f\r][^\n]*+)?\n"
+            r"(?:(?!\r?\n)[^\n]++\n){0,99}+(?:\r?\n|\z))++")
+_LINE_ENDS = r"(?<=\n)|(?<=\r)(?!\n)"
+_NAMED = r"\A[!-9;-~]*:|\A[ \t]|\AFrom "
+MAX_HEADER_LINES = 100   # Fixed value: more header lines make a response invalid
+MAX_LINE = 65536         # Fixed value: a longer line makes it invalid
 
 
 def status_and_headers(header: Column) -> Column:
     """struct(headers_valid, http_code, headers map<string,string>).
 
-    Valid when the status line is ``HTTP/<v> <3 digits> [reason]``; header
-    lines are ``name: value``; a repeated name keeps its first value.
+    As Python's ``http.client`` reads a header block: interim 100 answers are
+    passed over; the version must be ``HTTP/0.9`` or ``HTTP/1.x``; the headers
+    end at the first blank line, or at a line that is neither a header nor a
+    continuation; a line that starts with a blank continues the one before it;
+    names are compared without case, and the first value of a name holds for
+    every spelling of it.
     """
-    lines = F.split(header, "\n")
-    status_line = F.concat(F.element_at(lines, 1), F.lit("\n"))
-    valid = status_line.rlike(_STATUS) & (F.regexp_extract(status_line, _STATUS, 2) >= "100")
+    final = F.regexp_replace(header, _INTERIM, "")
+    lines = F.split(final, "\n")
+    status_line = F.element_at(lines, 1)
+    ended = F.transform(F.slice(lines, 2, F.size(lines)), lambda x: F.concat(x, F.lit("\n")))
+    blank = F.array_position(F.transform(ended, lambda x: x.isin("\n", "\r\n")), True)
+    block = F.when(blank > 0, F.slice(ended, F.lit(1), F.greatest(blank.cast("int") - 1, F.lit(0)))).otherwise(ended)
+    valid = (status_line.rlike(_STATUS) & F.regexp_extract(status_line, _STATUS, 1).rlike(_VERSION)
+             & (F.length(status_line) < MAX_LINE) & (F.size(block) < MAX_HEADER_LINES)
+             & ~F.exists(block, lambda x: F.length(x) > MAX_LINE))
     code = F.when(valid, F.regexp_extract(status_line, _STATUS, 2).cast("int"))
-    rest = F.filter(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1))),
-                    lambda x: x.rlike(_HEADER_LINE))
-    entries = F.transform(rest, lambda x: F.struct(
-        F.regexp_extract(x, _HEADER_LINE, 1).alias("key"),
-        F.regexp_extract(x, _HEADER_LINE, 2).alias("value")))
-    names = F.transform(entries, lambda e: e["key"])
-    firsts = F.filter(entries, lambda e, i: F.array_position(names, e["key"]) == i + 1)
+    pieces = F.filter(F.split(F.array_join(block, ""), _LINE_ENDS), lambda x: x != "")
+    stop = F.array_position(F.transform(pieces, lambda x: x.rlike(_NAMED)), False)
+    heads = F.filter(pieces, lambda x, i: (stop == 0) | (i + 1 < stop))
+
+    def fold(acc, x):
+        # '' stands for a line that is passed over, with its continuations.
+        last = F.when(F.size(acc) > 0, F.element_at(acc, -1)).otherwise("")
+        goes_on = x.rlike(r"\A[ \t]")
+        return (F.when(~goes_on, F.concat(acc, F.array(F.when(x.rlike(r"\A:|\AFrom "), "").otherwise(x))))
+                .when(last == "", acc)
+                .otherwise(F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(last, x)))))
+
+    folded = F.filter(F.aggregate(heads, F.array().cast("array<string>"), fold), lambda x: x != "")
+    entries = F.transform(folded, lambda x: F.struct(
+        F.regexp_extract(x, r"\A([^:]*):", 1).alias("key"),
+        F.regexp_replace(F.regexp_replace(x, r"\A[^:]*:[ \t]*", ""), r"[\r\n]+\z", "").alias("value")))
+    names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    firsts = F.transform(names, lambda n: F.struct(n.alias("key"), F.element_at(
+        F.filter(entries, lambda e: F.lower(e["key"]) == F.lower(n)), 1)["value"].alias("value")))
     return F.struct(valid.alias("headers_valid"), code.alias("http_code"),
                     F.when(valid, F.map_from_entries(firsts)).alias("headers"))
 
@@ -110,7 +140,9 @@ def response_outcome(responses: DataFrame, max_response_size: int = MAX_RESPONSE
                      keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """R2-R6 over raw responses (binary or ISO-8859-1 string): header split,
     header and body cutoffs, status and headers, md5 of the body bytes.
-    A non-2xx status is still a success."""
+    A non-2xx status is still a success.  A response whose header block is
+    invalid keeps its row: its body was read, so ``success`` holds, and
+    ``headers_valid`` is false with a null code and null headers."""
     raw = F.col(raw_col)
     if dict(responses.dtypes)[raw_col] == "binary":
         raw = F.decode(raw, "ISO-8859-1")

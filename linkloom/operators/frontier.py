@@ -16,16 +16,21 @@ domain.  So only first occurrences matter, and those are minimum aggregates:
 
 * ``pairs``: min(seq) per (domain, url) -- a hash aggregate with partial
   aggregation, so a domain holding a third of all rows is combined map-side
-  (with override/recrawl candidates the first row's flags come along, as
-  min of a struct);
+  (with override/recrawl candidates, min(seq) per combination of flags);
 * ``doms``: min(first seq, url) per domain over ``pairs`` (one row per pair,
   already combined), minus stored domains -- names the one pair per new
   domain that gets priority 2;
 * published = first occurrences of unstored pairs (priority 2 or 3, or 1/4
-  from their own flags) plus every other override/recrawl candidate (1/4).
+  from their own flags) plus every other override/recrawl candidate (1/4),
+  repeated rows included.
 
-All joins are on (domain, url) or on one-row-per-domain tables; nothing is
-windowed over a domain.
+The order is total: rows that agree in (seq, url, domain) follow their flags,
+plain rows first, and the rows left equal are interchangeable.  Give ``seq`` as
+a struct (message, position) to order the candidates of one message.
+
+The joins are on (domain, url), on one-row-per-domain tables, or, for flagged
+rows, on the whole order key, so a pair named by a third of all rows is spread
+over its messages; nothing is windowed over a domain.
 """
 
 from __future__ import annotations
@@ -39,7 +44,7 @@ from linkloom.operators.seen import deny_filter
 
 
 class FrontierResult(NamedTuple):
-    published: DataFrame   # seq, url, domain, override, recrawl, fetch_priority
+    published: DataFrame   # seq, url, domain, override, recrawl, fetch_priority, added
     additions: DataFrame   # domain, url: pairs to append to the seen set
     rejects: DataFrame     # candidates without url or domain
 
@@ -53,12 +58,12 @@ def priority(override: Column, domain_known: Column, recrawl: Column,
 
 def should_ignore(domain_known: Column, url_known: Column, override: Column,
                   recrawl: Column) -> Column:
-    """F1."""
+    """F1, candidate by candidate."""
     return domain_known & url_known & ~(override | recrawl)
 
 
 def should_add(domain_known: Column, url_known: Column) -> Column:
-    """F2 (reduces to NOT url_known)."""
+    """F2, candidate by candidate (reduces to NOT url_known)."""
     return ~(domain_known & url_known) & ~url_known
 
 
@@ -98,12 +103,15 @@ def frontier_step(cand: DataFrame, seen: DataFrame, deny=None, seq: str = "seq",
     c = deny_filter(c.filter(F.col("url").isNotNull() & F.col("domain").isNotNull()), deny)
 
     # First occurrence of every pair (within a pair, url and domain are fixed,
-    # so the order's tie-breakers need not be aggregated).
+    # so of the order's tie-breakers only the flags need aggregating).
     if flagged:
-        pairs = c.groupBy("domain", "url").agg(
-            F.min(F.struct("seq", "override", "recrawl")).alias("_f")).select(
-            "domain", "url", F.col("_f.seq").alias("first"),
-            F.col("_f.override").alias("f_override"), F.col("_f.recrawl").alias("f_recrawl"))
+        code = F.col("override").cast("int") * 2 + F.col("recrawl").cast("int")
+        firsts = [F.min(F.when(code == i, F.col("seq"))).alias(f"_f{i}") for i in range(4)]
+        pairs = c.groupBy("domain", "url").agg(*firsts) \
+            .withColumn("first", F.least(*[F.col(f"_f{i}") for i in range(4)]))
+        lowest = F.coalesce(*[F.when(F.col(f"_f{i}") == F.col("first"), F.lit(i)) for i in range(4)])
+        pairs = pairs.select("domain", "url", "first", (lowest >= 2).alias("f_override"),
+                             (lowest % 2 == 1).alias("f_recrawl"))
     else:
         pairs = c.groupBy("domain", "url").agg(F.min("seq").alias("first")).select(
             "domain", "url", "first", F.lit(False).alias("f_override"),
@@ -122,29 +130,39 @@ def frontier_step(cand: DataFrame, seen: DataFrame, deny=None, seq: str = "seq",
         F.col("first").alias("seq"), "url", "domain",
         F.col("f_override").alias("override"), F.col("f_recrawl").alias("recrawl"),
         priority(F.col("f_override"), ~F.coalesce(F.col("_dom_first"), F.lit(False)),
-                 F.col("f_recrawl"), F.lit(False)).alias("fetch_priority"))
+                 F.col("f_recrawl"), F.lit(False)).alias("fetch_priority"),
+        F.lit(True).alias("added"))
     additions = first_new.select("domain", "url")
 
     published = a
     if flagged:
-        fl = c.filter(F.col("override") | F.col("recrawl")).join(
-            pairs.select("domain", "url", "first", "_pair_stored"), ["domain", "url"])
-        b = fl.filter(F.col("_pair_stored").isNotNull() | (F.col("seq") != F.col("first"))) \
-            .select("seq", "url", "domain", "override", "recrawl",
-                    priority(F.col("override"), F.lit(True), F.col("recrawl"), F.lit(True))
-                    .alias("fetch_priority"))
+        key = ["domain", "url", "seq", "override", "recrawl"]
+        rows = c.filter(F.col("override") | F.col("recrawl")).groupBy(*key).agg(
+            F.count(F.lit(1)).alias("_n"))
+        fl = rows.join(a.select(*key, F.lit(1).alias("_taken")), key, "left")
+        again = F.col("_n") - F.coalesce(F.col("_taken"), F.lit(0))
+        b = fl.select("seq", "url", "domain", "override", "recrawl",
+                      priority(F.col("override"), F.lit(True), F.col("recrawl"), F.lit(True))
+                      .alias("fetch_priority"), F.lit(False).alias("added"),
+                      F.explode(F.array_repeat(F.lit(1), again.cast("int"))).alias("_copy")).drop("_copy")
         published = a.unionByName(b)
     return FrontierResult(published, additions, rejects)
 
 
-def page_candidates(analyzed: DataFrame) -> DataFrame:
-    """Candidates from analysed pages (accepted rows): one per distinct link
-    of a page -- later copies in the same page would be ignored anyway -- with
-    ``seq`` = page_id, so the order is (page_id, url, domain).  Deduplicated
-    inside the page's own array: no shuffle."""
-    return analyzed.select(F.col("page_id").alias("seq"),
-                           F.explode(F.array_distinct("urls")).alias("_u")) \
-        .select("seq", F.col("_u.url").alias("url"), F.col("_u.domain").alias("domain"))
+def page_candidates(analyzed: DataFrame, override: Column | None = None,
+                    recrawl: Column | None = None) -> DataFrame:
+    """Candidates from analysed pages (accepted rows), with ``seq`` = page_id,
+    so the order is (page_id, url, domain).  Without flags, one per distinct
+    link of a page -- later copies in the same page would be ignored anyway --
+    deduplicated inside the page's own array: no shuffle.  With ``override``
+    or ``recrawl`` (conditions on the page's columns) every link counts."""
+    flags = [] if override is None and recrawl is None else [
+        F.coalesce(F.lit(False) if x is None else x, F.lit(False)).alias(name)
+        for name, x in (("override", override), ("recrawl", recrawl))]
+    links = F.col("urls") if flags else F.array_distinct("urls")
+    out = [F.col("_u.url").alias("url"), F.col("_u.domain").alias("domain")]
+    return analyzed.select(F.col("page_id").alias("seq"), *flags, F.explode(links).alias("_u")) \
+        .select("seq", *out, *(["override", "recrawl"] if flags else []))
 
 
 def published_per_message(published: DataFrame) -> DataFrame:

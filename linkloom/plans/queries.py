@@ -5,9 +5,13 @@ sampled or capped except the top-k report, whose limit is the feature.
 
 Derived inputs, stated once:
 
-* ``seen`` -- the pages already fetched: the stripped page URLs with their
-  netloc (S1 applied to ``pages.url``).  Links that point back at a stored
-  page, or at a host with a stored page, are therefore known.
+* ``seen`` -- a crawl that has fetched the https pages (S1 applied to their
+  URLs) and has met every hosted link that occurs more than once.  So links
+  are known by pair, by host only, or not at all.  Like any seen set it is a
+  stored table, written once per session and table folder.
+* ``override``/``recrawl`` -- links of a page whose URL has a query are
+  override candidates, links of a page whose URL has a fragment recrawl ones.
+* chain -- the pages with a link to the next page added, in chains of four.
 * ``observed`` -- one fixed batch timestamp for edges, so reruns agree.
 """
 
@@ -24,13 +28,13 @@ from linkloom.operators import fetchlog as R
 from linkloom.operators import frontier as FR
 from linkloom.operators import graph as G
 from linkloom.operators import seen as S
-from linkloom.session import reliable_checkpoint
+from linkloom.session import reliable_checkpoint, scratch_path
 from linkloom.sources import io
 
 # Fixed query parameters.
 OBSERVED = 1_700_000_000               # edge batch timestamp (epoch seconds)
 FETCH_LIMIT_BYTES = 16384              # body cutoff for the fetch-outcome report
-URL_BLOOM = B.BloomParams(100_000, 0.01)
+BLOOM_RATE = 0.01                      # designed error rate of the Bloom queries
 TOP_K = 100
 DENY_LIST = "ththre.example.com,m.ththth.example.net"
 
@@ -39,9 +43,19 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.read_pages(spark, f"{sf_dir}/pages.parquet")
 
 
+_SEEN_TABLES: dict[tuple[str, str], str] = {}
+
+
 def seen_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return io.seeds_from_lines(pages(spark, sf_dir), "url") \
-        .filter(F.col("url").isNotNull()).distinct()
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SEEN_TABLES:
+        fetched = io.seeds_from_lines(pages(spark, sf_dir).filter(F.col("url").startswith("https:")), "url")
+        links = A.explode_links(accepted_pages(spark, sf_dir)).filter(F.col("domain") != "")
+        met = links.groupBy("url", "domain").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        path = scratch_path(spark, "seen")
+        fetched.unionByName(met).distinct().write.parquet(path)
+        _SEEN_TABLES[key] = path
+    return spark.read.parquet(_SEEN_TABLES[key])
 
 
 def analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +129,16 @@ def q_frontier_deny(spark, sf_dir):
     return _published_cols(_frontier(spark, sf_dir, S.parse_deny_list(DENY_LIST)).published)
 
 
+def _flags():
+    return F.col("url").contains("?"), F.col("url").contains("#")
+
+
+def q_frontier_flagged(spark, sf_dir):
+    """F1-F4 with override and recrawl candidates: all four priorities."""
+    cand = FR.page_candidates(accepted_pages(spark, sf_dir), *_flags())
+    return _published_cols(FR.frontier_step(cand, seen_from_pages(spark, sf_dir)).published)
+
+
 def q_frontier_additions(spark, sf_dir):
     """Pairs the step adds to the seen set."""
     return _frontier(spark, sf_dir).additions
@@ -194,40 +218,108 @@ def _link_urls(spark, sf_dir):
     return A.explode_links(accepted_pages(spark, sf_dir)).select("url")
 
 
+def _sized(df):
+    """A stored copy of the items (read by the count and by the build) and
+    parameters for their number."""
+    items = reliable_checkpoint(df)
+    return items, B.BloomParams.for_items(items.count(), BLOOM_RATE)
+
+
 def q_bloom_build(spark, sf_dir):
     """B2 + B3: bit array of the distinct linked URLs."""
-    return B.bloom_build(_link_urls(spark, sf_dir).distinct(), "url", URL_BLOOM)
+    urls, params = _sized(_link_urls(spark, sf_dir).distinct())
+    return B.bloom_build(urls, "url", params)
 
 
 def q_bloom_probe(spark, sf_dir):
     """B4 + J7 + B8: Bloom of the seen set, probed with every linked URL, then
     confirmed against the seen set; ``known`` must equal the plain lookup."""
+    seen, params = _sized(seen_from_pages(spark, sf_dir).select("url").distinct())
+    bloom = B.bloom_build(seen, "url", params)
+    return B.two_tier_known(_link_urls(spark, sf_dir), "url", bloom, seen, params)
+
+
+def q_bloom_pairs(spark, sf_dir):
+    """J7 by pair: a Bloom tier of domains, one of URLs, both confirmed."""
     seen = seen_from_pages(spark, sf_dir)
-    bloom = B.bloom_build(seen, "url", URL_BLOOM)
-    return B.two_tier_known(_link_urls(spark, sf_dir), "url", bloom, seen, URL_BLOOM)
+    domains, by_domain = _sized(seen.select("domain").distinct())
+    urls, by_url = _sized(seen.select("url").distinct())
+    return B.two_tier_pairs(_link_pairs(spark, sf_dir), B.bloom_build(domains, "domain", by_domain),
+                            B.bloom_build(urls, "url", by_url), seen, by_domain, by_url)
 
 
 def q_bloom_stats(spark, sf_dir):
     """B1 + B5-B7: size, count, error rate and bounds of the URL Bloom."""
-    st = B.bloom_stats(_link_urls(spark, sf_dir).distinct(), "url", URL_BLOOM)
+    urls, params = _sized(_link_urls(spark, sf_dir).distinct())
+    st = B.bloom_stats(urls, "url", params)
     return st.withColumn("current_p_float", F.round("current_p_float", 12))
 
 
 def q_crawl_rounds(spark, sf_dir):
     """crawl rounds over the stored snapshot, seeded with every stored
-    page URL, up to 100 rounds; each round fetches the frontier URLs that
-    are stored pages."""
+    page URL, until a round fetches nothing; each round fetches the frontier
+    URLs that are stored pages."""
     from linkloom.operators.rounds import crawl_rounds
     p = pages(spark, sf_dir)
     return crawl_rounds(p, p.select("url"))
 
 
+CHAIN = 4
+
+
+def q_crawl_chain(spark, sf_dir):
+    """F7 over several rounds: every page links to the next one by page_id
+    within its chain of four; the crawl starts at the chains' first pages and
+    at URLs with a fragment, which no resolved link can name."""
+    from linkloom.operators.rounds import crawl_rounds
+    p = pages(spark, sf_dir).select("page_id", "url", "html")
+    follower = p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("_next")) \
+        .filter((F.col("page_id") + 1) % CHAIN != 0)
+    linked = p.join(follower, "page_id", "left").select(
+        "page_id", "url", F.concat("html", F.coalesce(F.concat(F.lit('\n<a href="'), "_next", F.lit('">')),
+                                                      F.lit(""))).alias("html"))
+    seeds = p.filter((F.col("page_id") % CHAIN == 0) | F.col("url").contains("#")).select("url")
+    return crawl_rounds(linked, seeds)
+
+
 def q_messages_json(spark, sf_dir):
     """S3: analysed pages as JSON messages."""
     a = accepted_pages(spark, sf_dir)
     return a.select("page_id", F.to_json(F.struct("url", "domain", "urls")).alias("message"))
 
 
+def q_messages_read(spark, sf_dir):
+    """S3 written and read back, through S7's fan-out beside the edge log."""
+    path = scratch_path(spark, "messages")
+    log = scratch_path(spark, "message-edges")
+    io.fan_out(accepted_pages(spark, sf_dir), [
+        lambda a: io.write_messages(a, path),
+        lambda a: G.append_edges(G.domain_edges(a, OBSERVED), log)])
+    edges = G.read_edges(spark, log).groupBy("source").agg(F.count(F.lit(1)).alias("n_edges"))
+    sent = io.read_messages(spark, path).groupBy(F.col("domain").alias("source")).agg(
+        F.count(F.lit(1)).alias("n_messages"), F.sum(F.size("urls")).alias("n_urls"))
+    return sent.join(edges, "source", "left").select(
+        "source", "n_messages", "n_urls", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
+
+
+def q_edges_log(spark, sf_dir):
+    """S4 + S5: the edges appended to a log and scanned."""
+    path = scratch_path(spark, "edges")
+    G.append_edges(q_domain_edges(spark, sf_dir), path)
+    return G.read_edges(spark, path)
+
+
+def q_seen_log(spark, sf_dir):
+    """The frontier's additions appended as a batch, written again as a
+    replay would, beside the stored pairs; the seen set read back."""
+    path = scratch_path(spark, "seen-log")
+    S.append_seen(seen_from_pages(spark, sf_dir), path, 0)
+    new = reliable_checkpoint(_frontier(spark, sf_dir).additions)
+    for _ in range(2):
+        S.append_seen(new, path, 1)
+    return spark.read.parquet(path).select("domain", "url")
+
+
 QUERIES = {
     "links_extract": q_links_extract,
     "links_per_page": q_links_per_page,
@@ -237,6 +329,7 @@ QUERIES = {
     "seeds": q_seeds,
     "frontier_step": q_frontier_step,
     "frontier_deny": q_frontier_deny,
+    "frontier_flagged": q_frontier_flagged,
     "frontier_additions": q_frontier_additions,
     "frontier_counts": q_frontier_counts,
     "frontier_top": q_frontier_top,
@@ -249,9 +342,14 @@ QUERIES = {
     "response_outcome": q_response_outcome,
     "bloom_build": q_bloom_build,
     "bloom_probe": q_bloom_probe,
+    "bloom_pairs": q_bloom_pairs,
     "bloom_stats": q_bloom_stats,
     "messages_json": q_messages_json,
+    "messages_read": q_messages_read,
+    "edges_log": q_edges_log,
+    "seen_log": q_seen_log,
     "crawl_rounds": q_crawl_rounds,
+    "crawl_chain": q_crawl_chain,
 }
 
 
@@ -279,7 +377,6 @@ def q_stream_links_resolved(spark, sf_dir):
 
 def q_stream_frontier(spark, sf_dir):
     """Frontier per micro-batch against a table-backed seen set."""
-    from linkloom.session import scratch_path
     from linkloom.streaming import jobs as T
     seen_path = scratch_path(spark, "stream-seen")
     T.write_seen_batch(seen_from_pages(spark, sf_dir), seen_path, -1)
@@ -289,6 +386,28 @@ def q_stream_frontier(spark, sf_dir):
     return _published_cols(spark.read.parquet(out_path).drop("batch_id"))
 
 
+def _frontier_stream(spark, sf_dir, name, make, **flags):
+    from linkloom.streaming import jobs as T
+    state, out = scratch_path(spark, name + "-state"), scratch_path(spark, name)
+    stream = T.analyzed_stream(spark, *_page_files(spark, sf_dir))
+    T.run_to_table(stream, name + "-q", foreach_batch=make(state, out, **flags))
+    return _published_cols(spark.read.parquet(out))
+
+
+def q_stream_frontier_flagged(spark, sf_dir):
+    """T2 with override and recrawl candidates, from an empty seen set."""
+    from linkloom.streaming import jobs as T
+    override, recrawl = _flags()
+    return _frontier_stream(spark, sf_dir, "stream-flagged", T.frontier_batches,
+                            override=override, recrawl=recrawl)
+
+
+def q_stream_domain_priority(spark, sf_dir):
+    """T4: every new URL, priority 2 where its domain is new, else 3."""
+    from linkloom.streaming import jobs as T
+    return _frontier_stream(spark, sf_dir, "stream-priority", T.domain_priority_batches)
+
+
 def q_stream_dedupe(spark, sf_dir):
     """Each linked (domain, url) once across the stream."""
     from linkloom.streaming import jobs as T
@@ -298,7 +417,7 @@ def q_stream_dedupe(spark, sf_dir):
 
 
 def q_stream_domain_first(spark, sf_dir):
-    """T4: first URL of each domain seen by the stream (priority 2)."""
+    """T4, priority-2 rows from keyed state: first URL of each domain."""
     from linkloom.streaming import jobs as T
     cand = FR.page_candidates(A.accepted(T.analyzed_stream(spark, *_page_files(spark, sf_dir))))
     out = T.run_to_table(T.domain_first_stream(cand), "stream-domain-first")
@@ -341,6 +460,8 @@ def q_hook_messages(spark, sf_dir):
 QUERIES.update({
     "stream_links_resolved": q_stream_links_resolved,
     "stream_frontier": q_stream_frontier,
+    "stream_frontier_flagged": q_stream_frontier_flagged,
+    "stream_domain_priority": q_stream_domain_priority,
     "stream_dedupe": q_stream_dedupe,
     "stream_domain_first": q_stream_domain_first,
     "stream_domain_edges": q_stream_domain_edges,

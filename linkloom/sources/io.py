@@ -68,8 +68,15 @@ def read_seeds(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Stored pages as parquet (page_id, url, html)."""
-    return spark.read.parquet(path)
+    """Stored pages as parquet (page_id, url, html).
+
+    A table of fewer row groups than the cluster has cores (a small one) is
+    dealt evenly over the cores, so the per-page work uses them all; a larger
+    scan keeps its own splits.  The split count comes from the file listing: no
+    job runs."""
+    pages = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
 
 
 def read_page_files(spark: SparkSession, path: str) -> DataFrame:

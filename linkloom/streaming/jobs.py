@@ -12,10 +12,11 @@ The same DataFrame functions as batch run on streams:
   a table, not executor memory.
 * T3 ``dedupe_stream``: ``dropDuplicates`` on (domain, url) -- state keyed
   and partitioned by pair.
-* T4 ``domain_first_stream``: per-domain state (known or not) with
-  ``applyInPandasWithState``: the first URL of an unknown domain gets
-  priority 2, the rest 3.  State is one boolean per domain; the rows of a
-  micro-batch are consumed chunk by chunk.
+* T4 ``domain_priority_batches``: every new URL of the stream with priority 2
+  (first of its domain) or 3, against the domains and pairs stored by earlier
+  micro-batches; ``domain_first_stream`` is the keyed-state form of its
+  priority-2 rows (one boolean per domain, ``applyInPandasWithState``), each
+  partition's rows reduced to one per domain before they are shuffled.
 * T5 ``edges_stream``: analysed pages -> domain edges -> parquet sink.
 * T6 ``map_messages``: the user hook -- a class with ``on_start``,
   ``on_message`` (returns 0..n records) and ``on_stop`` run per partition
@@ -90,6 +91,7 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append",
 # The seen table is partitioned by a hash bucket of the domain, so a
 # micro-batch reads only the buckets its candidates fall in.
 DOMAIN_BUCKETS = 1024
+FILES_PER_BUCKET = 4
 
 
 def domain_bucket(domain_col):
@@ -99,13 +101,18 @@ def domain_bucket(domain_col):
 def write_seen_batch(pairs: DataFrame, seen_path: str, batch_id: int) -> None:
     """Write (domain, url) pairs as batch ``batch_id`` of the seen table
     (overwrite: a replayed batch rewrites the same folder)."""
+    # Rows of one bucket go to at most FILES_PER_BUCKET tasks, so a batch never
+    # writes tasks x buckets files, and a hot domain is not one task.
     pairs.select("domain", "url", domain_bucket(F.col("domain")).alias("dbucket")) \
-        .write.mode("overwrite").partitionBy("dbucket") \
+        .repartition(F.col("dbucket"), F.pmod(F.xxhash64("url"), F.lit(FILES_PER_BUCKET))).write.mode("overwrite").partitionBy("dbucket") \
         .parquet(f"{seen_path}/batch_id={int(batch_id)}")
 
 
-def frontier_batches(seen_path: str, out_path: str, deny=None) -> Callable:
+def frontier_batches(seen_path: str, out_path: str, deny=None, override=None,
+                     recrawl=None) -> Callable:
     """The foreachBatch function for a stream of analysed pages.
+    ``override``/``recrawl`` are conditions on a page's columns whose links
+    are fetched again (see ``frontier.page_candidates``).
 
     ``seen_path`` holds the seen table partitioned by ``batch_id`` and
     ``dbucket`` (see ``write_seen_batch``; an initial set goes under
@@ -115,20 +122,29 @@ def frontier_batches(seen_path: str, out_path: str, deny=None) -> Callable:
     skips every other bucket folder."""
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        cand = reliable_checkpoint(FR.page_candidates(A.accepted(batch)))
+        cand = reliable_checkpoint(FR.page_candidates(A.accepted(batch), override, recrawl))
         seen = _read_seen(spark, seen_path, batch_id)
         if "dbucket" in seen.columns:
             ids = [r[0] for r in cand.select(domain_bucket(F.col("domain")).alias("b"))
                    .distinct().collect()]              # <= DOMAIN_BUCKETS ints
             if len(ids) < DOMAIN_BUCKETS:
                 seen = seen.filter(F.col("dbucket").isin(ids))
-        res = FR.frontier_step(cand, seen.select("domain", "url"), deny=deny, flagged=False)
+        res = FR.frontier_step(cand, seen.select("domain", "url"), deny=deny)
         saved = reliable_checkpoint(res.published)
         saved.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
-        write_seen_batch(saved, seen_path, batch_id)
+        write_seen_batch(saved.filter("added"), seen_path, batch_id)
     return run
 
 
+def domain_priority_batches(state_path: str, out_path: str) -> Callable:
+    """T4: the foreachBatch function that gives every new URL of a stream of
+    analysed pages its priority: 2 for the first URL of a domain the stream
+    has not met, 3 for the rest.  The state (domains and pairs met) is the
+    table at ``state_path``, empty at the start.  A domain's rows are reduced
+    by partial aggregates, so a hot domain is no single group."""
+    return frontier_batches(state_path, out_path)
+
+
 def _read_seen(spark: SparkSession, seen_path: str, batch_id: int) -> DataFrame:
     try:
         seen = spark.read.parquet(seen_path)
@@ -164,11 +180,18 @@ def _domain_first(key, chunks: Iterator[pd.DataFrame], state: GroupState):
         yield out.astype({"fetch_priority": "int32"})
 
 
+def _one_per_domain(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for c in chunks:
+        yield c.sort_values(["seq", "url"]).drop_duplicates("domain")
+
+
 def domain_first_stream(candidates: DataFrame) -> DataFrame:
-    """T4: per-domain state; emits the first URL of each domain not seen
-    before in the stream (priority 2).  Later URLs of the domain are the
-    priority-3 rows of ``dedupe_stream`` minus these."""
-    return candidates.groupBy("domain").applyInPandasWithState(
+    """T4, priority-2 rows only, from keyed state: the first URL of each
+    domain not seen before in the stream.  Each batch of rows is reduced to
+    one row per domain before the shuffle; ``domain_priority_batches`` gives
+    all rows."""
+    c = candidates.select("seq", "url", "domain")
+    return c.mapInPandas(_one_per_domain, c.schema).groupBy("domain").applyInPandasWithState(
         _domain_first, _T4_OUT, _T4_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
