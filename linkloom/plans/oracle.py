@@ -263,6 +263,17 @@ def _sql() -> dict[str, str]:
     out["analyze_rejects"] = with_base(
         "x AS (SELECT 1)\nSELECT page_id, CAST(error AS INTEGER) AS error FROM page_err "
         "WHERE error IS NOT NULL")
+    # The non-ASCII label is stated in its ASCII form.
+    foreign = BASE_CTES.replace("FROM pages", "FROM foreign_pages").strip()
+    foreign = f"""WITH foreign_pages AS (
+  SELECT page_id, url, html || chr(10) || '<a href="http://' || CASE WHEN contains(url, '#')
+    THEN 'no..' || {netloc('url')} || '/' ELSE 'xn--bcher-kva.' || {netloc('url')} || '/x' END || '">' AS html
+  FROM pages),
+{foreign}
+"""
+    out["foreign_links"] = foreign + "SELECT page_id, url, domain FROM acc"
+    out["foreign_rejects"] = foreign + ("SELECT page_id, CAST(error AS INTEGER) AS error FROM page_err "
+                                        "WHERE error IS NOT NULL")
     ep_host = (f"lower(regexp_replace(regexp_extract({part('url', 2)}, "
                f"{s(r'^(?:.*@)?(\[[^\]]*\]|[^:]*)(?::(.*))?$')}, 1), {s(r'^\[|\]$')}, '', 'g'))")
     ep_port = f"regexp_extract({part('url', 2)}, {s(r'^(?:.*@)?(?:\[[^\]]*\]|[^:]*)(?::(.*))?$')}, 1)"

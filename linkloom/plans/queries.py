@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions.links import extract_links
-from linkloom.functions.urls import endpoint, split_url
+from linkloom.functions.urls import endpoint, netloc, split_url
 from linkloom.operators import analyze as A
 from linkloom.operators import bloom as B
 from linkloom.operators import fetchlog as R
@@ -92,6 +92,27 @@ def q_analyze_rejects(spark, sf_dir):
     return A.rejected(analyzed(spark, sf_dir)).select("page_id", "error")
 
 
+def _foreign_pages(spark, sf_dir):
+    """The pages with one more link each: to a host with a non-ASCII label, or,
+    where the page's URL has a fragment, to a host with an empty label."""
+    host = netloc(F.col("url"))
+    link = F.when(F.col("url").contains("#"), F.concat(F.lit("http://no.."), host, F.lit("/"))) \
+        .otherwise(F.concat(F.lit("http://b\u00fccher."), host, F.lit("/x")))
+    return pages(spark, sf_dir).select("page_id", "url", F.concat(
+        "html", F.lit('\n<a href="'), link, F.lit('">')).alias("html"))
+
+
+def q_foreign_links(spark, sf_dir):
+    """U4-U10 with non-ASCII hosts (U6): the resolved links of ``_foreign_pages``."""
+    a = A.accepted(A.analyze_pages(_foreign_pages(spark, sf_dir)))
+    return A.explode_links(a).select("page_id", "url", "domain")
+
+
+def q_foreign_rejects(spark, sf_dir):
+    """U6 failures: the pages of ``_foreign_pages`` that the analyser rejects."""
+    return A.rejected(A.analyze_pages(_foreign_pages(spark, sf_dir))).select("page_id", "error")
+
+
 def q_url_parts(spark, sf_dir):
     """U2 + U3: split and fetch endpoint of every page URL."""
     p = pages(spark, sf_dir)
@@ -325,6 +346,8 @@ QUERIES = {
     "links_per_page": q_links_per_page,
     "links_resolved": q_links_resolved,
     "analyze_rejects": q_analyze_rejects,
+    "foreign_links": q_foreign_links,
+    "foreign_rejects": q_foreign_rejects,
     "url_parts": q_url_parts,
     "seeds": q_seeds,
     "frontier_step": q_frontier_step,

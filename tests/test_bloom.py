@@ -99,3 +99,16 @@ def test_jvm_hash_mode(spark):
     assert B.bloom_contains(bloom, others, "u", prm).filter("in_bloom").count() / 4000 < 0.1
     nul = spark.createDataFrame([("a\x00b",)], "u string")
     assert B.with_bloom_indexes(nul, "u", prm, "x").first().x is None
+
+
+def test_overfull_build_and_nul_fail(spark):
+    params = B.BloomParams(100, 0.01)
+    ids = spark.range(1000).select(F.col("id").cast("string").alias("u"))
+    with pytest.raises(Exception, match="code 4"):
+        B.bloom_build(ids, "u", params).collect()
+    nul = spark.createDataFrame([("a",), ("b\x00",)], "u string")
+    with pytest.raises(Exception, match="NUL"):
+        B.bloom_build(nul, "u", params).collect()
+    few = ids.limit(50)
+    got = {r.u: r for r in B.two_tier_known(nul, "u", B.bloom_build(few, "u", params), nul, params).collect()}
+    assert got["b\x00"].in_bloom is None and got["b\x00"].known and set(got) == {"a", "b\x00"}

@@ -55,3 +55,22 @@ def test_multi_batch_stream_equals_batch(spark):
     firsts = spark.read.parquet(T.run_to_table(T.domain_first_stream(c), "t-first"))
     assert {(r.seq, r.url, r.domain) for r in firsts.collect()} == \
         {(s, u, dm) for s, u, dm, p in exp if p == 2}
+
+    # T4, all rows: priorities 2 and 3 across batches
+    out_path = scratch_path(spark, "t-priority")
+    stream = T.analyzed_stream(spark, d, glob="pages-*.parquet", max_files=1)
+    T.run_to_table(stream, "t-priority-q", foreach_batch=T.domain_priority_batches(
+        scratch_path(spark, "t-priority-state"), out_path))
+    assert {(r.seq, r.url, r.domain, r.fetch_priority) for r in spark.read.parquet(out_path).collect()} == exp
+    assert {p for *_, p in exp} == {2, 3}
+
+    # T2 with flags across batches
+    flags = F.col("url").contains("?"), F.col("url").contains("#")
+    out_path = scratch_path(spark, "t-flagged")
+    stream = T.analyzed_stream(spark, d, glob="pages-*.parquet", max_files=1)
+    T.run_to_table(stream, "t-flagged-q", foreach_batch=T.frontier_batches(
+        scratch_path(spark, "t-flagged-seen"), out_path, override=flags[0], recrawl=flags[1]))
+    cand = FR.page_candidates(A.accepted(A.analyze_pages(pages)), *flags)
+    key = ("seq", "url", "domain", "fetch_priority")
+    assert sorted(tuple(r[k] for k in key) for r in spark.read.parquet(out_path).collect()) == \
+        sorted(tuple(r[k] for k in key) for r in FR.frontier_step(cand, seen).published.collect())
