@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import (gram_hashes, range_hashes, release, scratch_table, settled, signed, slices,
@@ -257,13 +257,17 @@ def _repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     spark = docs.sparkSession
     runs = scratch_table(docs.mapInArrow(
         _runs(window), "least long, run long, doc long, version long, start long, n long"), "runs")
-    by_run = runs.groupBy("least", "run").agg(F.min(F.struct("doc", "version", "start", "n")).alias("first"),
-                                              F.max("doc").alias("last"))
-    least = Window.partitionBy("least")
-    by_run = (by_run.select("*", F.count(F.lit(1)).over(least).alias("runs"),
-                            F.min("first.doc").over(least).alias("low"), F.max("last").over(least).alias("high"))
-              .where(F.col("low") != F.col("high")))
-    by_run = scratch_table(by_run, "shared-runs")
+    # Minimizers of several documents, and whether their runs differ.  Both joined
+    # sides are written tables, so adaptive execution can split a hot minimizer.
+    shared = scratch_table(runs.groupBy("least").agg(
+        F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("run").alias("a"), F.max("run").alias("b"))
+        .where(F.col("low") != F.col("high")).select("least", (F.col("a") != F.col("b")).alias("differ")),
+        "shared-minimizers")
+    runs = scratch_table(runs.join(shared, "least"), "shared-runs")
+    release(spark)
+    by_run = scratch_table(runs.groupBy("least", "run").agg(
+        F.min(F.struct("doc", "version", "start", "n")).alias("first"), F.max("doc").alias("last"),
+        F.max("differ").alias("differ")), "run-owners")
     release(spark)
 
     # Equal runs: the smallest document owns them.
@@ -272,7 +276,7 @@ def _repeated_spans(docs: DataFrame, window: int) -> DataFrame:
              .select("doc", "version", "start", "n", F.col("first.doc").alias("owner"),
                      F.col("first.version").alias("owner_version"), F.col("first.start").alias("owner_start")))
     # Different runs of one minimizer: window by window, over the owners of the runs.
-    asked = (by_run.where("runs > 1").select("first.*", "least").groupBy("doc", "version")
+    asked = (by_run.where("differ").select("first.*", "least").groupBy("doc", "version")
              .agg(F.collect_list(F.struct("start", "n", "least")).alias("asked")))
     windows = scratch_table(docs.join(asked, ["doc", "version"]).dropDuplicates(["doc", "version"])
                             .select("doc", "version", "text", "asked")
