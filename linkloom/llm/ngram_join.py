@@ -211,26 +211,21 @@ def bucket_pairs(sizes: np.ndarray, sketches: list[bytes], groups: list[int] | N
     them; otherwise all that lie in two different groups."""
     rows = _folded(sketches)
     limit = 100 - percent
-    parent = list(range(len(sizes)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    apart = np.asarray(groups) if groups is not None else None
+    label = np.arange(len(sizes)) if groups is None else np.asarray(groups)
     out = []
     for i in range(len(sizes) - 1):
-        differ = np.bitwise_count(rows[i + 1:] ^ rows[i]).sum(axis=1, dtype=np.int64)
-        near = differ * (100 + percent) <= limit * (sizes[i] + sizes[i + 1:])
-        if apart is not None:
-            near &= apart[i + 1:] != apart[i]
-        for j in (np.flatnonzero(near) + i + 1).tolist():
-            if apart is not None:
+        # Only what is not yet in one tree (one group) is compared, so g mutual
+        # near copies of a bucket cost one pass and not one each.
+        rest = np.flatnonzero(label[i + 1:] != label[i]) + i + 1
+        if not len(rest):
+            continue
+        differ = np.bitwise_count(rows[rest] ^ rows[i]).sum(axis=1, dtype=np.int64)
+        near = rest[differ * (100 + percent) <= limit * (sizes[i] + sizes[rest])].tolist()
+        for j in near:
+            if groups is not None:
                 out.append((i, j))
-            elif (a := root(i)) != (b := root(j)):
-                parent[b] = a
+            elif label[j] != label[i]:
+                label[label == label[j]] = label[i]
                 out.append((i, j))
     return out
 
