@@ -305,12 +305,16 @@ def _ngram_join(docs: DataFrame, words: int, percent: int) -> DataFrame:
            .where(F.col("lead") != F.col("most")).select("lead", "class").distinct())
     met = scratch_table(met, "met")
     release(spark)
-    sizes = met.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("parts"))
+    # Only the leads of large buckets; both sides of the join are plain tables, so
+    # adaptive execution can broadcast the few or split a hot one.
+    large = scratch_table(met.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("parts"))
+                          .where("parts > 1"), "large-buckets")
+    met = met.join(large, "lead", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     parts, part = F.col("parts"), F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
     meets = F.when(parts == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(
         F.filter(F.sequence(F.lit(0), parts - 1), lambda p: p != part),
         lambda p: F.least(p, part).cast("long") * 1_000_000 + F.greatest(p, part)))
-    buckets = scratch_table(met.join(sizes, "lead").select("lead", "class", F.explode(meets).alias("meet"))
+    buckets = scratch_table(met.select("lead", "class", F.explode(meets).alias("meet"))
                             .select(F.xxhash64("lead", "meet").alias("bucket"), "class"), "buckets")
     members = buckets.join(classes.drop("rep"), "class")
 
