@@ -155,6 +155,16 @@ def test_packing(spark):
     assert len(held) <= -(-sum(r.length for r in rows) // 2048) + 1
 
 
+def test_ids_equal_the_json_tokenizer():
+    rng = random.Random(8)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", " ", "\n\n", "  \t", "it's", "Übung", "1234567", "\u3042\u3044", "a" * 300,
+             "\U0001f600", "def f(x):", "\x00", "\u200d"]
+    encode, full = packing._encoder(RANKS, JSON), Tokenizer.from_file(JSON)
+    for _ in range(400):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
+        assert encode(text) == full.encode(text, add_special_tokens=False).ids, text
+
+
 def test_packing_rounds_cover_all():
     import numpy as np
     counts = np.bincount(np.random.default_rng(0).integers(1, 129, 5000), minlength=129)
