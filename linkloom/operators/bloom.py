@@ -108,15 +108,6 @@ def _over(params: BloomParams) -> int:
     return ERR_BLOOM_SIZE_OVERFLOW if params.capacity() >= params.max_n else ERR_BLOOM_ERROR_RATE
 
 
-def optimal_m(n: Column, p: Column) -> Column:
-    """B1 as an expression: ``int(-(n ln p) / (ln 2)^2)``."""
-    return (-(n * F.log(p)) / F.pow(F.log(F.lit(2.0)), 2)).cast("long")
-
-
-def optimal_k(m: Column, n: Column) -> Column:
-    return ((m / n) * F.log(F.lit(2.0))).cast("long")
-
-
 def error_rate(n: Column, params: BloomParams) -> Column:
     """B6 as an expression (unrounded)."""
     return F.pow(1 - F.exp(-F.lit(params.k_float) * (n + 0.5) / F.lit(params.m_float - 1)),

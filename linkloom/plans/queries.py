@@ -30,6 +30,7 @@ from linkloom.operators import graph as G
 from linkloom.operators import seen as S
 from linkloom.session import reliable_checkpoint, scratch_path
 from linkloom.sources import io
+from linkloom.streaming.jobs import MessageHook
 
 # Fixed query parameters.
 OBSERVED = 1_700_000_000               # edge batch timestamp (epoch seconds)
@@ -455,22 +456,14 @@ def q_stream_domain_edges(spark, sf_dir):
     return spark.read.parquet(T.run_to_table(edges, "stream-edges"))
 
 
-class _LinkCounter:
+class _LinkCounter(MessageHook):
     """T6 sample hook: the logger's guard (url present, links present) and
     the analyser's per-message link count."""
 
-    def on_start(self):
-        self.n = 0
-
-    def on_message(self, m):
-        urls = m["urls"]
-        if m["url"] is None or urls is None or len(urls) == 0:
-            return []
-        self.n += 1
-        return [{"page_id": m["page_id"], "url": m["url"], "n_urls": len(urls)}]
-
-    def on_stop(self):
-        return []
+    def on_batch(self, messages):
+        n = messages["urls"].str.len()
+        kept = messages["url"].notna() & (n > 0)
+        return messages[["page_id", "url"]].assign(n_urls=n)[kept].astype({"n_urls": "int64"})
 
 
 def q_hook_messages(spark, sf_dir):

@@ -34,14 +34,6 @@ MESSAGE_SCHEMA = T.StructType([
     T.StructField("urls", T.ArrayType(LINK_STRUCT)),
 ])
 
-# D3: fetch result.
-FETCH_RESULT_SCHEMA = T.StructType([
-    T.StructField("url", T.StringType()), T.StructField("domain", T.StringType()),
-    T.StructField("path", T.StringType()), T.StructField("success", T.BooleanType()),
-    T.StructField("error", T.IntegerType()), T.StructField("md5", T.StringType()),
-    T.StructField("http_code", T.IntegerType()),
-])
-
 
 def text_mode(body):
     """A stored body as the analyser reads it: text mode with universal

@@ -19,8 +19,8 @@ The same DataFrame functions as batch run on streams:
   partition's rows reduced to one per domain before they are shuffled.
 * T5 ``edges_stream``: analysed pages -> domain edges -> parquet sink.
 * T6 ``map_messages``: the user hook -- a class with ``on_start``,
-  ``on_message`` (returns 0..n records) and ``on_stop`` run per partition
-  through ``mapInPandas``, batch or stream alike.
+  ``on_batch`` or ``on_message`` (0..n records) and ``on_stop`` run per
+  partition through ``mapInPandas``, batch or stream alike.
 """
 
 from __future__ import annotations
@@ -201,11 +201,16 @@ def edges_stream(analyzed: DataFrame, observed: int) -> DataFrame:
 
 
 class MessageHook:
-    """Override ``on_message`` (return a list of dict records)."""
+    """Override ``on_batch`` (a pandas frame of messages in, a frame of
+    records out) or, for code that handles one message at a time,
+    ``on_message`` (returns a list of dict records)."""
 
     def on_start(self) -> None:
         pass
 
+    def on_batch(self, messages: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([r for m in messages.to_dict("records") for r in self.on_message(m) or []])
+
     def on_message(self, message: dict) -> list[dict]:
         raise NotImplementedError
 
@@ -215,7 +220,7 @@ class MessageHook:
 
 def map_messages(df: DataFrame, hook_factory: Callable[[], MessageHook],
                  schema: T.StructType | str) -> DataFrame:
-    """Run a hook over every row, per partition, via mapInPandas."""
+    """Run a hook over every batch of rows, per partition, via mapInPandas."""
     if isinstance(schema, str):
         schema = T._parse_datatype_string(schema)
     names = [f.name for f in schema.fields]
@@ -224,11 +229,9 @@ def map_messages(df: DataFrame, hook_factory: Callable[[], MessageHook],
         hook = hook_factory()
         hook.on_start()
         for b in batches:
-            out = []
-            for rec in b.to_dict("records"):
-                out.extend(hook.on_message(rec) or [])
-            if out:
-                yield pd.DataFrame(out, columns=names)
+            out = hook.on_batch(b)
+            if len(out):
+                yield out.reindex(columns=names)
         tail = hook.on_stop() or []
         if tail:
             yield pd.DataFrame(tail, columns=names)

@@ -74,3 +74,17 @@ def test_multi_batch_stream_equals_batch(spark):
     key = ("seq", "url", "domain", "fetch_priority")
     assert sorted(tuple(r[k] for k in key) for r in spark.read.parquet(out_path).collect()) == \
         sorted(tuple(r[k] for k in key) for r in FR.frontier_step(cand, seen).published.collect())
+
+
+class _ByRecord(T.MessageHook):
+    def on_message(self, message):
+        return [{"twice": 2 * message["id"], "id": message["id"]}] * (message["id"] % 3)
+
+    def on_stop(self):
+        return [{"id": -1, "twice": -2}]
+
+
+def test_hook_by_record(spark):
+    out = T.map_messages(spark.range(0, 10, 1, 2), _ByRecord, "id long, twice long").collect()
+    assert sorted(r.id for r in out) == sorted([-1, -1] + [i for i in range(10) for _ in range(i % 3)])
+    assert all(r.twice == 2 * r.id for r in out)
