@@ -10,7 +10,7 @@ removed.
    two documents.  One small row per run finds these.
 2. *Owners.*  Equal runs belong to the smallest document that has them.  Where a
    minimizer has several different runs, only their windows are compared one by
-   one.  Both are minima that combine in each task before the shuffle.
+   one, at every place where the owner has them.  Both are minima that combine in each task before the shuffle.
 3. *Matching statistics.*  The owners' spans are the reference.  A shard is one
    owner's spans; its suffix automaton reads the spans of the later documents
    that point to it and yields, word by word, the longest match ending there.
@@ -267,7 +267,7 @@ def _repeated_spans(docs: DataFrame, window: int) -> DataFrame:
     release(spark)
     by_run = scratch_table(runs.groupBy("least", "run").agg(
         F.min(F.struct("doc", "version", "start", "n")).alias("first"), F.max("doc").alias("last"),
-        F.max("differ").alias("differ")), "run-owners")
+        F.max("differ").alias("differ"), F.count(F.lit(1)).alias("held")), "run-owners")
     release(spark)
 
     # Equal runs: the smallest document owns them.
@@ -276,8 +276,11 @@ def _repeated_spans(docs: DataFrame, window: int) -> DataFrame:
              .select("doc", "version", "start", "n", F.col("first.doc").alias("owner"),
                      F.col("first.version").alias("owner_version"), F.col("first.start").alias("owner_start")))
     # Different runs of one minimizer: window by window, over the owners of the runs.
-    asked = (by_run.where("differ").select("first.*", "least").groupBy("doc", "version")
-             .agg(F.collect_list(F.struct("start", "n", "least")).alias("asked")))
+    # An owner can hold a run at several places, and in several texts of one doc_id.
+    again = by_run.where("differ AND held > 1").select("least", "run", F.col("first.doc").alias("doc"))
+    asked = (by_run.where("differ AND held = 1").select("first.*", "least")
+             .union(runs.join(again, ["least", "run", "doc"]).select("doc", "version", "start", "n", "least"))
+             .groupBy("doc", "version").agg(F.collect_set(F.struct("start", "n", "least")).alias("asked")))
     windows = scratch_table(docs.join(asked, ["doc", "version"]).dropDuplicates(["doc", "version"])
                             .select("doc", "version", "text", "asked")
                             .mapInArrow(_windows(window), "least long, hash long, doc long, version long, start long"),

@@ -100,6 +100,25 @@ def test_substring_dedup(spark):
     assert got == want
 
 
+def test_substring_dedup_repeated_block(spark):
+    """A later document, and two texts of one doc_id, that repeat a block holding a shared passage."""
+    rng = random.Random(11)
+    passage, *rest = ([f"w{rng.randrange(10 ** 9)}" for _ in range(n)] for n in (60, 70, 40, 40, 30, 30, 20))
+    block = rest[1] + passage + rest[2]
+    texts = [(3, rest[0] + passage + rest[3]), (5, block + block), (8, block + rest[4]), (8, rest[5] + block)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string")
+    want = []
+    for i, words in texts:
+        earlier = {tuple(w[k:k + 50]) for j, w in texts if j < i for k in range(len(w) - 49)}
+        gone = {p for k in range(len(words) - 49) if tuple(words[k:k + 50]) in earlier for p in range(k, k + 50)}
+        want.append((i, len(words), len(gone)))
+    assert want[1] == (5, 280, 120)
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup(docs).collect()) == sorted(want)
+    # The later document is the smallest one with its block, in two texts.
+    pair = spark.createDataFrame([(i, " ".join(w)) for i, w in (texts[0], *texts[2:])], "doc_id long, text string")
+    assert sorted(r.n_removed for r in substring_dedup(pair).collect()) == [0, 60, 60]
+
+
 def test_suffix_automaton():
     rng = random.Random(1)
     for _ in range(60):
