@@ -4,13 +4,17 @@ Every line or sentence of a text is a header candidate.  Its terms, without stop
 words, are weighted by their inverse frequency among the templates (a term of
 no template weighs most) and its cosine to each template is taken; the best one
 at ``threshold`` or more names its license.  A document's own license is that of
-its best line.  A document is a *license file* when at least ``file_share`` of
-its terms lie in license lines; it governs its directory.  A document without a
+its best line.  The whole document and its header block (the comments it begins
+with, or its first paragraph), lines joined, are scored in the same way against
+full license texts and notices.  A document is a *license file* when its whole
+text reaches ``threshold``, which then names its license, or when at least
+``file_share`` of its terms lie in license lines; it governs its directory.  A document without a
 license of its own inherits from its nearest ancestor directory that has a
 license file.
 
-Only DataFrame functions run: the scan is one pass without a shuffle until the
-few license lines are left, and the inheritance joins distinct directories, one
+Only DataFrame functions run: the scan is one pass over lines and one over blocks
+without a shuffle until the few license lines, and the terms of blocks that hold
+enough of a template's terms to reach ``threshold``, are left, and the inheritance joins distinct directories, one
 row for each, to the license files' directories.
 
 Defined cases: a null text has no lines and a null path no directory; of several
@@ -21,6 +25,7 @@ result; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -29,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import scratch_table
+from linkloom.llm.license_texts import TEXTS
 
 # License headers and notices.
 TEMPLATES = (
@@ -60,15 +66,19 @@ STOP = ("a", "and", "any", "are", "as", "by", "can", "either", "for", "in", "int
         "of", "or", "that", "the", "this", "to", "under", "with", "you")
 TERM = r"[a-z0-9]+(?:[.][0-9]+)*"
 BREAK = "\n|[.!?] "
+#: The comments a text begins with.
+COMMENTS = (r'^(?:\s*+(?:/\*(?s:.*?)\*/|<!--(?s:.*?)-->|"""(?s:.*?)"""|(?:#|//|--|;|%)[^\n]*+))++')
+BLANK_LINE = r"\n[ \t\r]*\n"
 
 
 def _terms(text: str) -> list[str]:
     return [t for t in re.findall(TERM, text.lower()) if t not in STOP]
 
 
-def _weights() -> tuple[dict[str, float], float, list[tuple[str, dict[str, float], float]]]:
+def _weights(templates: tuple[tuple[str, str], ...] = TEMPLATES
+             ) -> tuple[dict[str, float], float, list[tuple[str, dict[str, float], float]]]:
     """(idf of the template terms, idf of other terms, [(license, products, norm)])."""
-    counts = [(name, Counter(_terms(text))) for name, text in TEMPLATES]
+    counts = [(name, Counter(_terms(text))) for name, text in templates]
     idf = {t: math.log(1 + len(counts) / sum(t in c for _, c in counts)) for t in {t for _, c in counts for t in c}}
     vectors = [(name, {t: n * idf[t] for t, n in c.items()}) for name, c in counts]
     return idf, math.log(1 + len(counts)), [
@@ -106,6 +116,69 @@ def license_lines(docs: DataFrame, threshold: float) -> DataFrame:
             .select("doc_id", "path", "version", F.size("terms").alias("terms"), "best"))
 
 
+def _fixed(docs: DataFrame, rows: list[dict], schema: str) -> DataFrame:
+    """A small table of fixed values."""
+    return docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
+def license_blocks(docs: DataFrame, threshold: float) -> DataFrame:
+    """The blocks (key columns, part: whole or header, score, license) with a license."""
+    idf, other, templates = _weights(TEXTS)
+    weight = [{t: p / idf[t] for t, p in products.items()} for _, products, _ in templates]
+
+    def held(terms: str, among) -> Column:
+        return F.expr(f"filter({terms}, t -> t IN ({', '.join(repr(t) for t in sorted(among))}))")
+
+    def least(k: int) -> int:
+        """By Cauchy's inequality a block that reaches the threshold holds at least so many of the terms."""
+        total, n = 0.0, 0
+        for w in sorted(weight[k].values(), reverse=True):
+            if total >= (threshold * templates[k][2]) ** 2 * (1 - 1e-9):
+                break
+            total, n = total + w * w, n + 1
+        return n
+
+    def reaches(k: int) -> Column:
+        """Exact: a block's cosine is at most the norm of the template's terms that it holds, over the template's."""
+        squares = ", ".join(f"{t!r}, {w * w!r}D" for t, w in sorted(weight[k].items()))
+        among = ", ".join(repr(t) for t in sorted(weight[k]))
+        total = F.expr(f"aggregate(filter(known, t -> t IN ({among})), 0D, "
+                       f"(a, t) -> a + coalesce(try_element_at(map({squares}), t), 0D))")
+        return ((F.size(held("known", weight[k])) >= least(k))
+                & (total >= (threshold * templates[k][2]) ** 2 * (1 - 1e-9)))
+
+    enough = [reaches(k) for k in range(len(templates))]
+    some = enough[0]
+    for e in enough[1:]:
+        some = some | e
+    comments = F.regexp_extract("text", COMMENTS, 0)
+    header = (F.when(comments != "", comments)
+              .when(F.col("text").rlike(BLANK_LINE), F.split("text", BLANK_LINE, 2)[0]))
+    key = ["doc_id", "path", "version", "part"]
+    terms = F.filter(F.regexp_extract_all(F.lower("block"), F.lit(f"({TERM})")), lambda t: ~t.isin(*STOP))
+    counts = scratch_table(
+        docs.select("doc_id", "path", "version", F.explode(F.create_map(
+            F.lit("whole"), F.col("text"), F.lit("header"), header)).alias("part", "block"))
+        .where("block IS NOT NULL").select(*key, terms.alias("terms"))
+        .withColumn("known", held("array_distinct(terms)", idf))
+        .where(F.size("known") >= min(map(least, range(len(templates))))).where(some)
+        .select(*key, F.explode("terms").alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("n")),
+        "license-terms")
+    known = _fixed(docs, [{"term": t, "idf": w} for t, w in sorted(idf.items())], "term: string, idf: double")
+    products = _fixed(docs, [{"template": k, "license": name, "term": t, "product": p / norm}
+                             for k, (name, ps, norm) in enumerate(templates) for t, p in ps.items()],
+                      "template: int, license: string, term: string, product: double")
+    # Both tables are fixed values, so the broadcasts are bounded.
+    norms = (counts.join(F.broadcast(known), "term", "left").groupBy(*key)
+             .agg(F.sqrt(F.sum(F.pow(F.col("n") * F.coalesce("idf", F.lit(other)), 2))).alias("norm")).alias("a"))
+    dots = (counts.join(F.broadcast(products), "term").groupBy(*key, "template", "license")
+            .agg(F.sum(F.col("n") * F.col("product")).alias("dot")).alias("b"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key]
+    return (dots.join(norms, same).select(*(f"a.{k}" for k in key), F.struct(
+                F.round(F.col("dot") / F.col("norm"), 6).alias("score"), "license").alias("best"))
+            .where(F.col("best.score") >= threshold))
+
+
 def license_scan(docs: DataFrame, path: Column | str = "path", threshold: float = 0.7, file_share: float = 0.5
                  ) -> DataFrame:
     """One row per document: doc_id, path, license, basis (own, file,
@@ -115,14 +188,22 @@ def license_scan(docs: DataFrame, path: Column | str = "path", threshold: float
                         F.xxhash64("text").alias("version"))
     key = ["doc_id", "path", "version"]
     lines = license_lines(texts, threshold)
-    own = lines.groupBy(*key).agg(F.max("best").alias("best"), F.sum("terms").alias("in_lines"))
+    blocks = license_blocks(texts, threshold)
+    # A license file is named by its whole text, else the best line or header names the license.
+    own = (lines.select(*key, F.lit("line").alias("part"), "best", "terms")
+           .union(blocks.select(*key, "part", "best", F.lit(0).alias("terms"))).groupBy(*key)
+           .agg(F.max(F.when(F.col("part") == "whole", F.col("best"))).alias("as_file"),
+                F.max("best").alias("best"), F.sum("terms").alias("in_lines"))
+           .select(*key, F.coalesce("as_file", "best").alias("best"), F.col("as_file").isNotNull().alias("as_file"),
+                   "in_lines"))
     words = F.size(F.filter(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(f"({TERM})")),
                             lambda t: ~t.isin(*STOP)))
     found = [F.col(f"k.{k}").eqNullSafe(F.col(f"o.{k}")) for k in key]
     known = scratch_table(
         texts.select(*key, words.alias("words"), F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir")).alias("k")
         .join(own.alias("o"), found, "left")
-        .select("k.*", "o.best", (F.col("in_lines") >= file_share * F.col("words")).alias("whole")), "licenses")
+        .select("k.*", "o.best", (F.col("as_file") | (F.col("in_lines") >= file_share * F.col("words"))).alias("whole")),
+        "licenses")
     files = (known.where("whole AND dir != ''").groupBy("dir")
              .agg(F.max_by(F.struct("best", "path"), F.struct(
                  F.col("best.score"), -F.coalesce("doc_id", F.lit((1 << 63) - 1)), F.col("path"))).alias("file")))
@@ -143,7 +224,8 @@ def license_scan(docs: DataFrame, path: Column | str = "path", threshold: float
 
 
 def oracle_sql(path: str, threshold: float = 0.7, file_share: float = 0.5) -> str:
-    """The scan of ``documents`` in DuckDB SQL, by joins of term tables."""
+    """The scan of ``documents`` in DuckDB SQL, by joins of term tables.  It has
+    the lines only: it equals the scan where no block reaches the threshold."""
     quoted = ", ".join("(%d, '%s', '%s')" % (i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
     stop = ", ".join(f"'{s}'" for s in STOP)
     term = f"regexp_extract_all(lower({{}}), '{TERM}')"

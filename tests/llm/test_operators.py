@@ -4,6 +4,7 @@ a small table with nulls, empty, repeated, very long and clashing inputs."""
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import duckdb
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from linkloom.llm import decontaminate, language, license_scan, packing, quality, secret_scan, toxicity
+from linkloom.llm import decontaminate, language, license_scan, license_texts, packing, quality, secret_scan, toxicity
 from linkloom.llm.exact_dedup import exact_dedup, normalise
 from linkloom.llm.ngram_join import ngram_join
 from linkloom.llm.packing import pack_documents
@@ -262,6 +263,32 @@ def test_licenses_equal_sql(spark):
     assert {r[0]: r[2:4] for r in got}[4] in (("MIT", "inherited"), ("CC-BY-NC-4.0", "inherited"))
 
 
+def test_license_files_and_headers(spark):
+    """Whole license files govern their directories; headers of several lines, in comments, wrapped elsewhere."""
+    texts = {}
+    for name, text in license_texts.TEXTS:
+        texts.setdefault(name, []).append(text)
+    rewrap = textwrap.fill(" ".join(texts["BSD-3-Clause"][0].split()), 50)
+    notice = "\n".join("# " + line for line in textwrap.wrap(" ".join(texts["GPL-3.0"][1].split()), 44))
+    apache = "/*\n * " + texts["Apache-2.0"][1].replace("\n", "\n * ") + "\n */\n"
+    code = "\n".join(f"value{i} = call{i}(left{i}, right{i})" for i in range(400))
+    rows = [(1, "m/LICENSE", "MIT License\n\nCopyright (c) 2020 A Person\n\n" + texts["MIT"][0]), (2, "m/src/a.py", code),
+            (3, "b/COPYING", "Copyright 2011 B. All rights reserved.\n\n" + rewrap), (4, "b/x", "no words of it"),
+            (5, "g/COPYING", texts["GPL-3.0"][0]), (6, "g/deep/er/x", code), (7, "n/a.py", notice + "\n\n" + code),
+            (8, "n/b.c", apache + code), (9, "n/c", code), (None, "z/COPYING", texts["GPL-2.0"][0]),
+            (None, "z/COPYING", texts["GPL-2.0"][0]), (11, "z/a", None), (12, "a/COPYING", texts["LGPL-2.1"][0])]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    out = license_scan.license_scan(docs).collect()
+    got = {r.path: (r.license, r.basis, r.from_path) for r in out}
+    assert len(out) == len(rows) and got == {
+        "m/LICENSE": ("MIT", "file", None), "m/src/a.py": ("MIT", "inherited", "m/LICENSE"),
+        "b/COPYING": ("BSD-3-Clause", "file", None), "b/x": ("BSD-3-Clause", "inherited", "b/COPYING"),
+        "g/COPYING": ("GPL-3.0", "file", None), "g/deep/er/x": ("GPL-3.0", "inherited", "g/COPYING"),
+        "n/a.py": ("GPL-3.0", "own", None), "n/b.c": ("Apache-2.0", "own", None), "n/c": (None, "none", None),
+        "z/COPYING": ("GPL-2.0", "file", None), "z/a": ("GPL-2.0", "inherited", "z/COPYING"),
+        "a/COPYING": ("LGPL-2.1", "file", None)}
+
+
 @pytest.mark.parametrize("name,column,least", [("op2_quality", "quality", 0.97), ("op10_toxicity", "toxic", 0.9)])
 def test_classifiers_held_out(spark, name, column, least):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", column)
