@@ -12,6 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.llm import fill_in_middle, line_rules
 from linkloom.llm import license_scan as licenses
 from linkloom.llm.common import table
 from linkloom.llm.decontaminate import contaminated
@@ -23,6 +24,7 @@ from linkloom.llm.quality import quality_scores
 from linkloom.llm.secret_scan import secret_scan
 from linkloom.llm.substring_dedup import substring_dedup
 from linkloom.llm.toxicity import toxicity_scores
+from linkloom.llm.whitening import whiten
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +71,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality": op2_quality,
@@ -80,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_licenses": op9_licenses,
     "op10_toxicity": op10_toxicity,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -90,4 +107,6 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)""",
     "op9_licenses": licenses.oracle_sql("concat_ws('/', source, lang, CAST(doc_id AS VARCHAR))"),
+    "op11_quality_rules": line_rules.ORACLE_SQL,
+    "op12_fill_in_middle": fill_in_middle.ORACLE_SQL,
 }
