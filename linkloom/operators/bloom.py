@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -36,6 +35,8 @@ from pyspark.sql.types import LongType
 FNV64_OFFSET = 14695981039346656037
 FNV64_PRIME = 1099511628211
 
+LN2 = math.log(2)
+
 ERR_BLOOM_SIZE_OVERFLOW = 4
 ERR_BLOOM_ERROR_RATE = 5
 
@@ -52,25 +53,24 @@ class BloomParams:
     p: float
     hash: str = "fnv1"
 
-    @property
-    def m_float(self) -> float:
-        return -((self.max_n * math.log(self.p)) / pow(math.log(2), 2))
+    def sizing(self) -> tuple[float, float]:
+        """Bits and hash functions before truncation: n ln(1/p) / ln(2)^2 bits,
+        and ln(2) hash functions for each whole bit of an item."""
+        bits = self.max_n * math.log(self.p) / -LN2 ** 2
+        return bits, int(bits) / self.max_n * LN2
 
     @property
     def m(self) -> int:
-        return int(self.m_float)
-
-    @property
-    def k_float(self) -> float:
-        return (self.m / self.max_n) * math.log(2)
+        return int(self.sizing()[0])
 
     @property
     def k(self) -> int:
-        return int(self.k_float)
+        return int(self.sizing()[1])
 
     @property
-    def p_digits(self) -> int:
-        return -Decimal(str(self.p)).as_tuple().exponent
+    def decimals(self) -> int:
+        """Decimal places of ``p``: rates are compared at this precision."""
+        return next(d for d in range(400) if round(self.p, d) == self.p)
 
     @property
     def words(self) -> int:
@@ -83,15 +83,17 @@ class BloomParams:
         return cls(max(1000, 2 * n), p, hash)
 
     def error_rate(self, n: int) -> float:
-        """B6, unrounded: (1 - e^(-k(n + .5)/(m - 1)))^k with untruncated m, k."""
-        return pow(1 - pow(math.e, -self.k_float * (n + .5) / (self.m_float - 1)), self.k_float)
+        """B6, unrounded, from the sizes before truncation: the share of bits set
+        by n and a half items, to the power of the hash functions."""
+        bits, hashes = self.sizing()
+        return (1 - math.exp(-hashes * (n + .5) / (bits - 1))) ** hashes
 
     def capacity(self) -> int:
         """Number of adds that pass the bounds check (n < max_n and the
         rounded rate at n not above p).  The rate rises with n, so this is a
         binary search over the formula -- parameter arithmetic, no data."""
         def ok(n):
-            return n < self.max_n and round(self.error_rate(n), self.p_digits) <= self.p
+            return n < self.max_n and round(self.error_rate(n), self.decimals) <= self.p
         lo, hi = 0, self.max_n
         if not ok(0):
             return 0
@@ -103,15 +105,16 @@ class BloomParams:
                 hi = mid - 1
         return lo + 1
 
-
-def _over(params: BloomParams) -> int:
-    return ERR_BLOOM_SIZE_OVERFLOW if params.capacity() >= params.max_n else ERR_BLOOM_ERROR_RATE
+    def closing_status(self) -> int:
+        """The code of the add after the last that fits: 4 if max_n is reached first,
+        5 if the rate passes p before."""
+        return ERR_BLOOM_SIZE_OVERFLOW if self.capacity() >= self.max_n else ERR_BLOOM_ERROR_RATE
 
 
 def error_rate(n: Column, params: BloomParams) -> Column:
     """B6 as an expression (unrounded)."""
-    return F.pow(1 - F.exp(-F.lit(params.k_float) * (n + 0.5) / F.lit(params.m_float - 1)),
-                 F.lit(params.k_float))
+    bits, hashes = params.sizing()
+    return F.pow(1 - F.exp(-F.lit(hashes) * (n + 0.5) / F.lit(bits - 1)), F.lit(hashes))
 
 
 # ---------------------------------------------------------------- hashing --
@@ -225,7 +228,7 @@ def bloom_build(df: DataFrame, col: str, params: BloomParams) -> DataFrame:
     words = idx.groupBy(F.floor(F.col("i") / 64).cast("long").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(i % 64 as int))")).alias("bits"))
     n = df.agg(F.count(col)).scalar()
-    fail = F.raise_error(F.concat(F.lit(f"Bloom filter bounds exceeded, code {_over(params)}: n="),
+    fail = F.raise_error(F.concat(F.lit(f"Bloom filter bounds exceeded, code {params.closing_status()}: n="),
                                   n.cast("string"), F.lit(f", capacity={params.capacity()}")))
     return words.select("word", F.when(n > params.capacity(), fail).otherwise(F.col("bits")).alias("bits"))
 
@@ -257,11 +260,11 @@ def bloom_stats(df: DataFrame, col: str, params: BloomParams) -> DataFrame:
     cap = params.capacity()
     n = F.count(F.col(col))
     rate = error_rate(n, params)
-    over_status = _over(params)
+    over_status = params.closing_status()
     return df.agg(n.alias("n")).select(
         F.lit(params.m).cast("long").alias("m"), F.lit(params.k).cast("int").alias("k"),
         "n", error_rate(F.col("n"), params).alias("current_p_float"),
-        F.round(error_rate(F.col("n"), params), params.p_digits).alias("current_p"),
+        F.round(error_rate(F.col("n"), params), params.decimals).alias("current_p"),
         F.lit(cap).cast("long").alias("capacity"),
         F.when(F.col("n") <= cap, 0).otherwise(over_status).cast("int").alias("status"))
 

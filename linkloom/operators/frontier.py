@@ -86,13 +86,15 @@ def _absent(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def frontier_step(cand: DataFrame, seen: DataFrame, deny=None, seq: str = "seq",
-                  flagged: bool | None = None) -> FrontierResult:
+                  flagged: bool | None = None, domains: DataFrame | None = None) -> FrontierResult:
     """F4 over a batch of candidates.
 
     ``cand`` needs ``seq``, ``url``, ``domain`` and optionally
     ``override``/``recrawl``.  Candidates are processed in (seq, url, domain)
     order; a long ``seq`` keeps the per-pair aggregate a hash aggregate.
-    ``seen`` is the stored (domain, url) table.  ``flagged=False`` promises
+    ``seen`` is the stored (domain, url) table; ``domains``, where there is one,
+    the table of its domains, which is then asked instead of all of ``seen``.
+    ``flagged=False`` promises
     there are no override/recrawl rows (links read from pages), which skips
     the second pass over the candidates.
     """
@@ -122,7 +124,7 @@ def frontier_step(cand: DataFrame, seen: DataFrame, deny=None, seq: str = "seq",
     # The first pair of every domain that is not stored.
     doms = pairs.groupBy("domain").agg(F.min(F.struct("first", "url")).alias("_d")) \
         .select("domain", F.col("_d.url").alias("url"))
-    new_doms = _absent(doms, seen, ["domain"]).withColumn("_dom_first", F.lit(True))
+    new_doms = _absent(doms, seen if domains is None else domains, ["domain"]).withColumn("_dom_first", F.lit(True))
 
     first_new = pairs.filter(F.col("_pair_stored").isNull()) \
         .join(new_doms, ["domain", "url"], "left")

@@ -37,6 +37,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from linkloom.operators import analyze as A
 from linkloom.operators import frontier as FR
 from linkloom.operators import graph as G
+from linkloom.operators.levelled import LevelledStore
 from linkloom.session import checkpoint_dir, reliable_checkpoint, scratch_path
 
 PAGES_SCHEMA = T.StructType([
@@ -136,6 +137,30 @@ def frontier_batches(seen_path: str, out_path: str, deny=None, override=None,
     return run
 
 
+def stored_frontier_batches(pairs_path: str, domains_path: str, out_path: str, deny=None, override=None,
+                            recrawl=None, keep: int = 2) -> Callable:
+    """T2 against levelled stores: the foreachBatch function for a stream of analysed
+    pages.  The pairs and the domains met are kept in a ``LevelledStore`` each, so the
+    files a batch lists grow with the logarithm of the batches, and a batch reads
+    the domain store instead of every stored pair.  Both stores answer as they were
+    before the batch, so a replay gives the same rows; a batch that only one of them has
+    (the driver failed in between) is added to the other.  ``keep`` versions stay."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        pairs = LevelledStore(spark, pairs_path)
+        domains = LevelledStore(spark, domains_path, keys=("domain",))
+        cand = reliable_checkpoint(FR.page_candidates(A.accepted(batch), override, recrawl))
+        res = FR.frontier_step(cand, pairs.read(before=batch_id, touching=cand), deny=deny,
+                               domains=domains.read(before=batch_id, touching=cand))
+        res.published.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        added = spark.read.schema(res.published.schema).parquet(f"{out_path}/batch_id={batch_id}").where("added")
+        pairs.append(batch_id, added)
+        domains.add(batch_id, added)
+        for store in (pairs, domains):
+            store.drop_versions(keep)
+    return run
+
+
 def domain_priority_batches(state_path: str, out_path: str) -> Callable:
     """T4: the foreachBatch function that gives every new URL of a stream of
     analysed pages its priority: 2 for the first URL of a domain the stream

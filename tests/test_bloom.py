@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from linkloom.operators import bloom as B
 
 FOX = "The quick brown fox jumps over the lazy dog."
+# Bit indexes that a compatible hash must give.
 VECTORS = [
     (10000, .1, FOX, [106, 28839, 9649]),
     (100000, .1, FOX, [182036, 20641, 338500]),
@@ -42,7 +43,7 @@ def test_hash_vectors_in_spark(spark):
 def test_sizing_and_rate():
     prm = B.BloomParams(10_000_000, .01)
     assert (prm.m, prm.k) == (95850583, 6)
-    assert round(prm.error_rate(0), prm.p_digits) == 0.0
+    assert round(prm.error_rate(0), prm.decimals) == 0.0
     small = B.BloomParams(10_000, .1)
     rates = [small.error_rate(n) for n in range(0, 10_000, 500)]
     assert rates == sorted(rates) and len(set(rates)) == len(rates)
