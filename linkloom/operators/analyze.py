@@ -32,6 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.functions import rfc3986 as R
 from linkloom.functions import urls as U
 from linkloom.functions.idna import jvm_idna
 from linkloom.functions.links import extract_links, extract_links_simple
@@ -153,8 +154,10 @@ def _memo(key, build):
 
 def analyze_pages(pages: DataFrame, url_col: str = "url", text_col: str = "html",
                   drop_fragments: bool = True, drop_query: bool = False,
-                  exact: bool = True, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """Analyser stage (D5): one row per page.
+                  exact: bool = True, keep: tuple[str, ...] = ("page_id",),
+                  mode: str = "crawler") -> DataFrame:
+    """Analyser stage (D5): one row per page.  ``mode`` is ``"crawler"`` (the rules
+    above) or ``"rfc3986"`` (see ``_analyze_rfc3986``).
 
     Columns: ``keep`` columns, ``url``, ``domain`` (page netloc),
     ``urls: array<struct<url, domain>>``, ``n_links`` (L5) and ``error``
@@ -163,6 +166,10 @@ def analyze_pages(pages: DataFrame, url_col: str = "url", text_col: str = "html"
     """
     extract = extract_links if exact else extract_links_simple
     keep = list(keep)
+    if mode == "rfc3986":
+        return _analyze_rfc3986(pages, url_col, text_col, drop_fragments, drop_query, extract, keep)
+    if mode != "crawler":
+        raise ValueError(f"unknown mode {mode!r}")
     df = pages.select(*keep, F.col(url_col).alias("url"),
                       text_mode(F.col(text_col)).alias("_text"),
                       U.clean(F.col(url_col)).alias("_cu"))
@@ -195,6 +202,32 @@ def analyze_pages(pages: DataFrame, url_col: str = "url", text_col: str = "html"
         .alias("error"))
 
 
+def _analyze_rfc3986(pages: DataFrame, url_col: str, text_col: str, drop_fragments: bool, drop_query: bool,
+                     extract, keep: list[str]) -> DataFrame:
+    """Links resolved as RFC 3986 says (section 5.2, strict).  Links whose target is not http or
+    https, has no host, or has a host that IDNA refuses are skipped, the page stays.  Path,
+    query and fragment are percent-encoded (a space is %20 everywhere).  The columns are those of
+    ``analyze_pages``; ``error`` is 12 (no body or URL) or null."""
+    df = pages.select(*keep, F.col(url_col).alias("url"), text_mode(F.col(text_col)).alias("_text"),
+                      U.clean(F.coalesce(F.col(url_col), F.lit(""))).alias("_cu"))
+    df = df.select(*keep, "url", U.netloc(F.col("url")).alias("domain"), R.components(F.col("_cu")).alias("_base"),
+                   (F.col("url").isNull() | F.col("_text").isNull()).alias("_missing"),
+                   F.transform(F.coalesce(extract(F.col("_text")), F.array().cast("array<string>")), U.clean).alias("_links"))
+    df = df.withColumn("_targets", R.resolve(F.col("_links"), F.col("_base")))
+    hosted = F.transform(F.filter("_targets", lambda t: t["scheme"].isin("http", "https")
+                                  & (F.coalesce(t["authority"], F.lit("")) != "")), lambda t: F.struct(
+        t["scheme"].alias("scheme"),
+        F.when(U.is_ascii(t["authority"]), F.when(~U.host_label_error(t["authority"]), t["authority"]))
+        .otherwise(jvm_idna(t["authority"])).alias("authority"),
+        U.percent_encode(t["path"]).alias("path"),
+        F.when(F.lit(not drop_query), U.percent_encode(t["query"])).alias("query"),
+        F.when(F.lit(not drop_fragments), U.percent_encode(t["fragment"])).alias("fragment")))
+    df = df.withColumn("_hosted", F.filter(hosted, lambda t: t["authority"].isNotNull()))
+    urls = F.transform("_hosted", lambda t: F.struct(R.recompose(t).alias("url"), t["authority"].alias("domain")))
+    return df.select(*keep, "url", "domain", urls.alias("urls"), F.size("_hosted").alias("n_links"),
+                     F.when(F.col("_missing"), F.lit(ERR_FILE_NOT_FOUND)).cast("int").alias("error"))
+
+
 # Links that need no staged resolution (checked against urllib by the
 # random tests):
 # * a plain rooted path -- legal characters only, and none of '.', ':', ';',

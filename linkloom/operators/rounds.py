@@ -8,12 +8,11 @@ a set of Spark jobs.  After each round the new seen pairs and the fetched
 pages are written to the shared checkpoint folder, so the lineage never grows
 with the number of rounds and a lost executor only repeats part of one round.
 
-The snapshot is never shuffled per round: once, before the first round, a
-slim index ``(url, page_id)`` is written bucketed by ``url``; each round
-joins the frontier to that index (only the frontier is shuffled, into the
-index's buckets) and then reads the fetched bodies by ``page_id``, a second
-bucketed table written once.  Later rounds therefore move the frontier and
-the pages it names, never the whole snapshot.
+The bodies are read in place.  A round first finds the page ids of its URLs
+from the slim columns (url, page_id), writes them, and then reads the bodies
+with a semi join on page_id: with few ids Spark broadcasts them by measured
+size and the bodies are filtered where they are scanned; with many, the rows
+of the round are most of what is read anyway.  Nothing is copied beforehand.
 """
 
 from __future__ import annotations
@@ -29,19 +28,18 @@ from linkloom.operators.frontier import frontier_step, page_candidates
 from linkloom.session import scratch_path
 
 
-def _bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
-    """Write ``df`` once as a table bucketed by ``key`` in the shared
-    checkpoint folder, one file a bucket, and read it back (joins on ``key``
-    then shuffle only the other side)."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    table = path.rsplit("/", 1)[-1].replace("-", "_")
-    df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(table)
-    return spark.table(table)
+def fetch(pages: DataFrame, urls: DataFrame) -> DataFrame:
+    """The stored pages whose url is among ``urls`` (url)."""
+    spark = pages.sparkSession
+    path = scratch_path(spark, "fetch-ids")
+    pages.select("url", "page_id").join(urls.select("url").distinct(), "url", "left_semi") \
+        .select("page_id").distinct().write.parquet(path)
+    ids = spark.read.parquet(path)
+    return pages.join(ids, "page_id", "left_semi").select("page_id", "url", "html")
 
 
 def crawl_rounds(pages: DataFrame, seeds: DataFrame, seen: DataFrame | None = None,
-                 max_rounds: int | None = None, deny=None, buckets: int | None = None) -> DataFrame:
+                 max_rounds: int | None = None, deny=None) -> DataFrame:
     """Rows (round, page_id, url) of the pages fetched in each round.
 
     ``pages``: snapshot (page_id, url, html); ``seeds``: (url) to fetch in
@@ -55,16 +53,12 @@ def crawl_rounds(pages: DataFrame, seeds: DataFrame, seen: DataFrame | None = No
     base = seen if seen is not None else spark.createDataFrame([], "domain string, url string")
     base.select("domain", "url").write.parquet(f"{seen_path}/round=0")
     frontier = seeds.select("url").distinct()
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = _bucketed(pages.select("url", "page_id"), "url", n, "rounds-index")
-    bodies = _bucketed(pages.select("page_id", "url", "html"), "page_id", n, "rounds-bodies")
     for r in count(1):
         if max_rounds is not None and r > max_rounds:
-            if not index.join(frontier, "url", "left_semi").isEmpty():
+            if not pages.join(frontier, "url", "left_semi").isEmpty():
                 warnings.warn(f"crawl_rounds stopped at max_rounds={max_rounds}; pages are left", stacklevel=2)
             break
-        ids = index.join(frontier, "url", "left_semi").select("page_id")
-        fetched = bodies.join(ids, "page_id", "left_semi")
+        fetched = fetch(pages, frontier)
         fetched.select(F.lit(r).alias("round"), "page_id", "url") \
             .write.parquet(f"{out_path}/r={r}")
         done = spark.read.parquet(f"{out_path}/r={r}")

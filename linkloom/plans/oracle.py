@@ -254,6 +254,64 @@ def bloom_bits_cte(name: str, src: str, params: str) -> str:
 )"""
 
 
+def bloom_bits(n: str, p: str) -> str:
+    return f"(-({n} * ln({p})) / pow(ln(CAST(2 AS DOUBLE)), 2))"
+
+
+def bloom_decimals(p: str) -> str:
+    return f"list_filter(range(0, 30), lambda d: round({p}, CAST(d AS INTEGER)) = {p})[1]"
+
+
+def bloom_capacity() -> str:
+    """Adds that fit, from max_n, p, mx, kx and digits: one more than the largest n at which an
+    add still fits, found by halving (the rate rises with n)."""
+    at = "(a + (CAST(1 AS BIGINT) << CAST(39 - s AS INTEGER)))"
+    rate = f"pow(1 - exp(-kx * ({at} + 0.5) / (mx - 1)), kx)"
+    return (f"(list_reduce(range(0, 40), lambda a, s: CASE WHEN {at} < max_n AND "
+            f"round({rate}, CAST(digits AS INTEGER)) <= p THEN {at} ELSE a END, CAST(-1 AS BIGINT)) + 1)")
+
+
+def rfc3986_ctes() -> str:
+    """Section 5.2 of RFC 3986 over the extracted links, a link a row."""
+    scheme = "^(?:([A-Za-z][A-Za-z0-9+.-]*):)?"
+    rest = "(//([^/?#]*))?([^?#]*)([?]([^#]*))?"
+
+    def parts(text: str, to: str) -> str:
+        rx = s(scheme + rest)
+        return (f"lower(regexp_extract({text}, {rx}, 1)) AS {to}s, regexp_extract({text}, {rx}, 2) <> '' AS {to}ha, "
+                f"regexp_extract({text}, {rx}, 3) AS {to}a, regexp_extract({text}, {rx}, 4) AS {to}p, "
+                f"regexp_extract({text}, {rx}, 5) AS {to}q")
+    legal = f"[{L.LEGAL_CLASS}]"
+    encode = (f"array_to_string(list_transform(regexp_extract_all({{x}}, {s('(?s).')}), lambda c: CASE WHEN "
+              f"regexp_full_match(c, {s(legal)}) THEN c ELSE regexp_replace(hex(encode(c)), '(..)', '%\\1', 'g') END), '')")
+    return f"""
+ref AS (
+  SELECT page_id, {parts(clean('page_url'), 'b')}, {parts(clean('link'), 'r')} FROM lk
+),
+tgt AS (
+  SELECT page_id, CASE WHEN rs <> '' THEN rs ELSE bs END AS sc,
+    CASE WHEN rs <> '' OR rha THEN ra ELSE ba END AS au,
+    CASE WHEN rs <> '' OR rha OR rp <> '' OR rq <> '' THEN rq ELSE bq END AS qu,
+    rs <> '' OR rha OR rp <> '' AS dotted,
+    CASE WHEN rs <> '' OR rha OR starts_with(rp, '/') THEN rp WHEN rp = '' THEN bp
+         WHEN bha AND bp = '' THEN '/' || rp ELSE regexp_extract(bp, '^(.*/)?', 0) || rp END AS pa
+  FROM ref
+),
+seg AS (
+  SELECT *, string_split(pa, '/') AS sg FROM tgt WHERE sc IN ('http', 'https') AND au <> ''
+    AND NOT regexp_matches(au, '^[.]|[.][.]|[^.]{{64}}')
+),
+flat AS (
+  SELECT *, CASE WHEN NOT dotted THEN sg ELSE list_reduce(sg, lambda a, x: CASE
+      WHEN x = '..' THEN (CASE WHEN len(a) > 1 THEN a[:len(a) - 1] WHEN len(a) = 1 THEN [''] ELSE a END)
+      WHEN x = '.' THEN a ELSE list_append(a, x) END, CAST([] AS VARCHAR[])) END
+    || CASE WHEN dotted AND sg[len(sg)] IN ('.', '..') THEN [''] ELSE CAST([] AS VARCHAR[]) END AS kept
+  FROM seg
+)
+SELECT page_id, sc || '://' || au || {encode.format(x="array_to_string(kept, '/')")} || {encode.format(x='qu')} AS url,
+  au AS domain FROM flat"""
+
+
 def _sql() -> dict[str, str]:
     out = {}
     out["links_extract"] = with_base("x AS (SELECT 1)\nSELECT page_id, unnest(links) AS link FROM pl")
@@ -379,6 +437,41 @@ SELECT domain, url,
   EXISTS (SELECT 1 FROM seen WHERE seen.domain = probes.domain) AS domain_known,
   EXISTS (SELECT 1 FROM seen WHERE seen.domain = probes.domain AND seen.url = probes.url) AS pair_known
 FROM probes""")
+    out["bloom_bounds"] = with_base(f"""items AS (SELECT count(DISTINCT url) AS n FROM acc),
+grid AS (SELECT * FROM (VALUES (CAST(10 AS BIGINT), CAST(0.87 AS DOUBLE)), (1000, 0.01), (10000000, 0.001)) t(max_n, p)),
+sized AS (SELECT *, {bloom_bits('max_n', 'p')} AS mx FROM grid),
+hashed AS (SELECT *, floor(mx) / CAST(max_n AS DOUBLE) * ln(CAST(2 AS DOUBLE)) AS kx,
+  {bloom_decimals('p')} AS digits FROM sized),
+capped AS (SELECT *, {bloom_capacity()} AS capacity FROM hashed)
+SELECT max_n, p, CAST(floor(mx) AS BIGINT) AS m, CAST(floor(kx) AS INTEGER) AS k, n, capacity,
+  CAST(CASE WHEN n <= capacity THEN 0 WHEN capacity >= max_n THEN 4 ELSE 5 END AS INTEGER) AS status
+FROM capped, items""")
+    known = """SELECT DISTINCT url, EXISTS (SELECT 1 FROM seen WHERE seen.url = acc.url) AS known FROM acc"""
+    out["bloom_blocked"] = out["bloom_layers_known"] = with_base("x AS (SELECT 1)\n" + known)
+    # The layers fill one after the other, each up to its capacity.
+    out["bloom_layers"] = with_base(f"""items AS (SELECT count(DISTINCT url) AS n FROM acc),
+layers AS (SELECT CAST(i AS INTEGER) AS layer, CAST((n // 10 + 1) * pow(2, i) AS BIGINT) AS max_n,
+  CAST(0.01 AS DOUBLE) * 0.5 * pow(CAST(0.5 AS DOUBLE), i) AS p, n AS items FROM items, range(0, 6) t(i)),
+sized AS (SELECT *, {bloom_bits('max_n', 'p')} AS mx FROM layers),
+hashed AS (SELECT *, floor(mx) / CAST(max_n AS DOUBLE) * ln(CAST(2 AS DOUBLE)) AS kx,
+  {bloom_decimals('p')} AS digits FROM sized),
+capped AS (SELECT *, {bloom_capacity()} AS capacity FROM hashed),
+filled AS (SELECT *, coalesce(sum(capacity) OVER (ORDER BY layer ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM capped)
+SELECT layer, max_n, capacity, p, CAST(floor(mx) AS BIGINT) AS m, CAST(floor(kx) AS INTEGER) AS k,
+  CAST(least(capacity, items - before) AS BIGINT) AS n,
+  CAST(CASE WHEN items <= before + capacity THEN 0 WHEN capacity >= max_n THEN 4 ELSE 5 END AS INTEGER) AS status
+FROM filled WHERE items > before""")
+    out["seen_levelled"] = with_base("""met AS (
+  SELECT domain, url, 0 AS batch_id FROM seen UNION ALL SELECT domain, url, 1 + page_id % 6 FROM acc)
+SELECT domain, url, CAST(min(batch_id) AS BIGINT) AS batch_id FROM met GROUP BY domain, url""")
+    out["frontier_queue"] = with_base(fr.strip() + """,
+ordered AS (SELECT *, row_number() OVER (ORDER BY fetch_priority, page_id, url, domain) AS rn FROM published)
+SELECT CAST(1 + (rn - 1) // 100 AS INTEGER) AS take, page_id, url, domain, fetch_priority
+FROM ordered WHERE rn <= 500""")
+    out["links_rfc3986"] = with_base(rfc3986_ctes().strip())
+    out["stream_frontier_stored"] = out["stream_priority_keyed"] = out["frontier_step"]
+    out["stream_dedupe_keyed"] = out["frontier_additions"]
     out["frontier_flagged"] = with_base(flagged_ctes("seen").strip())
     out["stream_frontier_flagged"] = with_base(
         "nothing AS (SELECT * FROM seen WHERE false),\n" + flagged_ctes("nothing").strip())
@@ -402,6 +495,11 @@ SELECT source, count(*) AS n_messages, CAST(sum(n_urls) AS BIGINT) AS n_urls,
   SELECT CAST(w.round + 1 AS INTEGER), p.page_id, p.url FROM walk w JOIN pages p ON p.page_id = w.page_id + 1
   WHERE p.page_id % 4 <> 0 AND NOT contains(p.url, '#'))
 SELECT round, page_id, url FROM walk"""
+    out["stream_fan_out"] = out["messages_read"]
+    out["stream_crawl"] = out["crawl_chain"]
+    out["stream_metrics"] = with_base("""x AS (SELECT 1)
+SELECT count(*) AS pages, count(*) FILTER (error IS NULL) AS accepted, count(*) FILTER (error IS NOT NULL) AS rejected,
+  CAST((SELECT count(*) FROM acc) AS BIGINT) AS links FROM page_err""")
     out["messages_json"] = with_base("""m AS (
   SELECT page_id, list(struct_pack(url := url, domain := domain) ORDER BY pos) AS urls
   FROM acc GROUP BY page_id)

@@ -24,10 +24,13 @@ from linkloom.functions.links import extract_links
 from linkloom.functions.urls import endpoint, netloc, split_url
 from linkloom.operators import analyze as A
 from linkloom.operators import bloom as B
+from linkloom.operators import bloom_layers as BL
 from linkloom.operators import fetchlog as R
 from linkloom.operators import frontier as FR
 from linkloom.operators import graph as G
 from linkloom.operators import seen as S
+from linkloom.operators.levelled import LevelledStore
+from linkloom.operators.priority_queue import PriorityQueue
 from linkloom.session import reliable_checkpoint, scratch_path
 from linkloom.sources import io
 from linkloom.streaming.jobs import MessageHook
@@ -277,6 +280,90 @@ def q_bloom_stats(spark, sf_dir):
     return st.withColumn("current_p_float", F.round("current_p_float", 12))
 
 
+BOUNDS = ((10, 0.87), (1_000, 0.01), (10_000_000, 0.001))     # (max_n, p): filters of several sizes
+LAYER_SHARE = 10                       # the first layer holds a tenth of the items
+
+
+def q_bloom_bounds(spark, sf_dir):
+    """The linked URLs against filters of several sizes: which fit, and
+    with which code the others would stop."""
+    urls = reliable_checkpoint(_link_urls(spark, sf_dir).distinct())
+    out = None
+    for max_n, p in BOUNDS:
+        row = B.bloom_stats(urls, "url", B.BloomParams(max_n, p)).select(
+            F.lit(max_n).cast("long").alias("max_n"), F.lit(p).alias("p"), "m", "k", "n", "capacity", "status")
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
+def q_bloom_blocked(spark, sf_dir):
+    """B4 + J7, blocked: the linked URLs asked of a blocked filter of the seen
+    set (one join row a URL), those it may hold looked up in the seen set."""
+    seen = reliable_checkpoint(seen_from_pages(spark, sf_dir).select("url").distinct())
+    params = BL.BlockParams(max(1000, seen.count()), 10 * BLOOM_RATE)
+    flags = BL.blocked_contains(BL.blocked_build(seen, "url", params), _link_urls(spark, sf_dir), "url", params)
+    return BL.confirmed(flags, "url", seen).select("url", "known")
+
+
+def _layered(spark, items):
+    """A stored filter, filled with ``items`` in four batches and reopened for each."""
+    plan = BL.LayerPlan(items.count() // LAYER_SHARE + 1, BLOOM_RATE)
+    path = scratch_path(spark, "bloom-layers")
+    batch = F.pmod(F.xxhash64("url"), F.lit(4))
+    for i in range(4):
+        BL.LayeredBloom(spark, path, plan).add(i, items.where(batch == i), "url")
+    return BL.LayeredBloom(spark, path)
+
+
+def q_bloom_layers(spark, sf_dir):
+    """B1 + B5-B8, layered: the layers that a stored filter has after it took
+    ten times the items that its first layer is sized for."""
+    return _layered(spark, reliable_checkpoint(_link_urls(spark, sf_dir).distinct())).stats()
+
+
+def q_bloom_layers_known(spark, sf_dir):
+    """B8 + J7, layered: the seen set's stored filter, reopened, asked for every
+    linked URL; what it may hold is looked up."""
+    seen = reliable_checkpoint(seen_from_pages(spark, sf_dir).select("url").distinct())
+    return _layered(spark, seen).known(_link_urls(spark, sf_dir), "url", seen).select("url", "known")
+
+
+SEEN_BATCHES = 6
+
+
+def q_seen_levelled(spark, sf_dir):
+    """S6 + J4: the seen set as a levelled store: the stored pairs, then the
+    pages' links in six batches, each adding what the store lacks; compacted
+    at the end.  Rows: pair and the batch that added it."""
+    store = LevelledStore(spark, scratch_path(spark, "seen-levels"))
+    store.add(0, seen_from_pages(spark, sf_dir))
+    links = reliable_checkpoint(A.explode_links(accepted_pages(spark, sf_dir)).select("page_id", "domain", "url"))
+    for i in range(SEEN_BATCHES):
+        store.add(i + 1, links.where(F.pmod("page_id", F.lit(SEEN_BATCHES)) == i))
+    store.compact()
+    return store.read()
+
+
+def q_frontier_queue(spark, sf_dir):
+    """F6, durable: the frontier put into a queue by pages with an even, then an
+    odd id; the first five takes of 100, numbered."""
+    published = reliable_checkpoint(_frontier(spark, sf_dir).published)
+    queue = PriorityQueue(spark, scratch_path(spark, "queue"), segment_rows=max(100, published.count() // 8))
+    for i in range(2):
+        queue.put(i, published.where(F.col("seq") % 2 == i))
+    out = None
+    for i in range(1, 6):
+        taken = queue.take(TOP_K, i).select(F.lit(i).alias("take"), "*")
+        out = taken if out is None else out.unionAll(taken)
+    return out.select("take", F.col("seq").alias("page_id"), "url", "domain", "fetch_priority")
+
+
+def q_links_rfc3986(spark, sf_dir):
+    """U4 ``mode="rfc3986"``: each extracted link resolved by RFC 3986."""
+    a = A.accepted(A.analyze_pages(pages(spark, sf_dir), mode="rfc3986"))
+    return A.explode_links(a).select("page_id", "url", "domain")
+
+
 def q_crawl_rounds(spark, sf_dir):
     """crawl rounds over the stored snapshot, seeded with every stored
     page URL, until a round fetches nothing; each round fetches the frontier
@@ -294,6 +381,11 @@ def q_crawl_chain(spark, sf_dir):
     within its chain of four; the crawl starts at the chains' first pages and
     at URLs with a fragment, which no resolved link can name."""
     from linkloom.operators.rounds import crawl_rounds
+    return crawl_rounds(*_chain(spark, sf_dir))
+
+
+def _chain(spark, sf_dir):
+    """The chained pages, stored, and the seeds."""
     p = pages(spark, sf_dir).select("page_id", "url", "html")
     follower = p.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("_next")) \
         .filter((F.col("page_id") + 1) % CHAIN != 0)
@@ -301,7 +393,9 @@ def q_crawl_chain(spark, sf_dir):
         "page_id", "url", F.concat("html", F.coalesce(F.concat(F.lit('\n<a href="'), "_next", F.lit('">')),
                                                       F.lit(""))).alias("html"))
     seeds = p.filter((F.col("page_id") % CHAIN == 0) | F.col("url").contains("#")).select("url")
-    return crawl_rounds(linked, seeds)
+    path = scratch_path(spark, "chain")
+    linked.write.parquet(path)
+    return spark.read.parquet(path), seeds
 
 
 def q_messages_json(spark, sf_dir):
@@ -368,6 +462,13 @@ QUERIES = {
     "bloom_probe": q_bloom_probe,
     "bloom_pairs": q_bloom_pairs,
     "bloom_stats": q_bloom_stats,
+    "bloom_bounds": q_bloom_bounds,
+    "bloom_blocked": q_bloom_blocked,
+    "bloom_layers": q_bloom_layers,
+    "bloom_layers_known": q_bloom_layers_known,
+    "seen_levelled": q_seen_levelled,
+    "frontier_queue": q_frontier_queue,
+    "links_rfc3986": q_links_rfc3986,
     "messages_json": q_messages_json,
     "messages_read": q_messages_read,
     "edges_log": q_edges_log,
@@ -449,6 +550,74 @@ def q_stream_domain_first(spark, sf_dir):
                                           "fetch_priority")
 
 
+def q_stream_frontier_stored(spark, sf_dir):
+    """T2 against levelled stores of the pairs and domains met, which start with the seen set."""
+    from linkloom.streaming import jobs as T
+    seen = seen_from_pages(spark, sf_dir)
+    paths = [scratch_path(spark, f"stored-{k}") for k in ("pairs", "domains", "frontier")]
+    LevelledStore(spark, paths[0]).add(-1, seen)
+    LevelledStore(spark, paths[1], keys=("domain",)).add(-1, seen)
+    stream = T.analyzed_stream(spark, *_page_files(spark, sf_dir))
+    T.run_to_table(stream, "stored-frontier-q", foreach_batch=T.stored_frontier_batches(*paths))
+    return _published_cols(spark.read.parquet(paths[2]))
+
+
+def q_stream_priority_keyed(spark, sf_dir):
+    """T4 from keyed state that starts with the seen set: every new URL, priority 2 or 3."""
+    from linkloom.streaming import jobs as T
+    from linkloom.streaming.keyed import priority_keyed
+    cand = FR.page_candidates(A.accepted(T.analyzed_stream(spark, *_page_files(spark, sf_dir))))
+    out = T.run_to_table(priority_keyed(cand, seen_from_pages(spark, sf_dir)), "priority-keyed")
+    return spark.read.parquet(out).select(F.col("seq").alias("page_id"), "url", "domain", "fetch_priority")
+
+
+def q_stream_dedupe_keyed(spark, sf_dir):
+    """T3 from keyed state that starts with the seen set: each new (domain, url) once."""
+    from linkloom.streaming import jobs as T
+    from linkloom.streaming.keyed import dedupe_keyed
+    links = A.explode_links(A.accepted(T.analyzed_stream(spark, *_page_files(spark, sf_dir))))
+    return spark.read.parquet(T.run_to_table(dedupe_keyed(links, seen_from_pages(spark, sf_dir)), "dedupe-keyed"))
+
+
+def q_stream_fan_out(spark, sf_dir):
+    """S7 + S3 + S4 in a stream: messages and edges, each batch once per sink."""
+    from linkloom.streaming import jobs as T
+    from linkloom.streaming.fanout import fan_out_batches, to_folder
+    path = scratch_path(spark, "fan-out")
+    sinks = {"messages": to_folder(f"{path}/messages", lambda a: a.select("url", "domain", "urls"), "json"),
+             "edges": to_folder(f"{path}/edges", lambda a: G.domain_edges(a, OBSERVED))}
+    stream = A.accepted(T.analyzed_stream(spark, *_page_files(spark, sf_dir)))
+    T.run_to_table(stream, "fan-out-q", foreach_batch=fan_out_batches(f"{path}/log", sinks))
+    edges = spark.read.parquet(f"{path}/edges").groupBy("source").agg(F.count(F.lit(1)).alias("n_edges"))
+    sent = io.read_messages(spark, f"{path}/messages").groupBy(F.col("domain").alias("source")).agg(
+        F.count(F.lit(1)).alias("n_messages"), F.sum(F.size("urls")).alias("n_urls"))
+    return sent.join(edges, "source", "left").select(
+        "source", "n_messages", "n_urls", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
+
+
+def q_stream_crawl(spark, sf_dir):
+    """F7 as a stream with feedback, over the chained pages."""
+    from linkloom.streaming.loop import crawl_stream
+    return crawl_stream(*_chain(spark, sf_dir), scratch_path(spark, "crawl-stream"))
+
+
+def q_stream_metrics(spark, sf_dir):
+    """L5 + T1: the counters that each micro-batch observed, summed."""
+    from linkloom.streaming import jobs as T
+    from linkloom.streaming import metrics as M
+    stream = M.observed(T.analyzed_stream(spark, *_page_files(spark, sf_dir)))
+    out = scratch_path(spark, "metrics")
+    name = out.rsplit("/", 1)[-1].replace("-", "_")
+
+    def run():
+        q = stream.select("page_id", "n_links").writeStream.queryName(name).format("parquet") \
+            .option("checkpointLocation", f"{out}/ckpt").option("path", f"{out}/links").trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    counters = M.run_with_metrics(spark, f"{out}/records", name, run).where("input_rows > 0")
+    return counters.agg(*(F.sum(F.col("counters")[c]).alias(c) for c in ("pages", "accepted", "rejected", "links")))
+
+
 def q_stream_domain_edges(spark, sf_dir):
     """T5: continuous graph log."""
     from linkloom.streaming import jobs as T
@@ -481,5 +650,11 @@ QUERIES.update({
     "stream_dedupe": q_stream_dedupe,
     "stream_domain_first": q_stream_domain_first,
     "stream_domain_edges": q_stream_domain_edges,
+    "stream_frontier_stored": q_stream_frontier_stored,
+    "stream_priority_keyed": q_stream_priority_keyed,
+    "stream_dedupe_keyed": q_stream_dedupe_keyed,
+    "stream_fan_out": q_stream_fan_out,
+    "stream_crawl": q_stream_crawl,
+    "stream_metrics": q_stream_metrics,
     "hook_messages": q_hook_messages,
 })
