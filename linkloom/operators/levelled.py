@@ -26,12 +26,15 @@ from linkloom.operators.manifest import Manifest
 
 
 class LevelledStore:
-    """The store at ``path``, opened if it is there, else made."""
+    """The store at ``path``, opened if it is there, else made (with as many buckets as the
+    session has shuffle partitions, if no other number is given)."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: tuple[str, ...] = ("domain", "url"), buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str, keys: tuple[str, ...] = ("domain", "url"),
+                 buckets: int | None = None):
         self.spark, self.manifest = spark, Manifest(spark, path)
         state = self.manifest.read()
         if state is None:
+            buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
             state = {"keys": list(keys), "buckets": buckets, "levels": {}, "last_batch": None}
             self.manifest.commit(state)
         self.keys, self.buckets = state["keys"], state["buckets"]
