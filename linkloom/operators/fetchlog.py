@@ -119,18 +119,24 @@ def status_and_headers(header: Column) -> Column:
 
 def fetch_outcome(pages: DataFrame, max_response_size: int = MAX_RESPONSE_SIZE,
                   url_col: str = "url", body_col: str = "html",
-                  keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """R1-R3 over stored bodies (D3): success -> md5 + http 200; a body at or
-    over the limit -> error 11 with the kept byte count."""
+                  keep: tuple[str, ...] = ("page_id",), path: Column | None = None,
+                  code: Column | None = None) -> DataFrame:
+    """R1-R3 over stored bodies (D3): success -> md5 and the status code; a body
+    at or over the limit -> error 11 with the kept byte count.  ``path`` is where
+    the body is stored (null if not given), ``code`` the stored status (null if
+    not given: a body alone does not tell it)."""
+    path = F.lit(None) if path is None else path
+    code = F.lit(None) if code is None else code
     cut = body_cutoff(F.col(body_col), max_response_size)
     return pages.select(*keep, F.col(url_col).alias("url"),
                         netloc(F.col(url_col)).alias("domain"), cut.alias("_c"),
-                        F.col(body_col).alias("_b")).select(
-        *keep, "url", "domain",
+                        F.col(body_col).alias("_b"), path.cast("string").alias("path"),
+                        code.cast("int").alias("_code")).select(
+        *keep, "url", "domain", "path",
         F.col("_c.ok").alias("success"),
         F.when(~F.col("_c.ok"), F.lit(ERR_READ_CUTOFF)).cast("int").alias("error"),
         F.when(F.col("_c.ok"), body_md5(F.col("_b"))).alias("md5"),
-        F.when(F.col("_c.ok"), F.lit(200)).cast("int").alias("http_code"),
+        F.when(F.col("_c.ok"), F.col("_code")).alias("http_code"),
         F.col("_c.kept_bytes").alias("kept_bytes"))
 
 
@@ -165,10 +171,13 @@ def response_outcome(responses: DataFrame, max_response_size: int = MAX_RESPONSE
         F.length(body).cast("long").alias("body_bytes"))
 
 
-def stored_response(pages: DataFrame, body_col: str = "html") -> Column:
-    """Raw HTTP/1.0 response text (ISO-8859-1 view) for a stored page body:
-    status 200, content type and length headers, CRLF, body."""
+def stored_response(pages: DataFrame, body_col: str = "html", status: Column | None = None,
+                    headers: Column | None = None) -> Column:
+    """Raw HTTP/1.0 response text (ISO-8859-1 view) of a stored page body: the status line
+    (``status`` is what follows the version), content type and length headers, further
+    ``headers`` (each with its CRLF), CRLF, body."""
     b = as_bytes_text(F.col(body_col))
-    return F.concat(F.lit("HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
-                          "Content-Length: "), F.length(b).cast("string"),
-                    F.lit("\r\n\r\n"), b)
+    status = F.lit("200 OK") if status is None else status
+    headers = F.lit("") if headers is None else headers
+    return F.concat(F.lit("HTTP/1.0 "), status, F.lit("\r\nContent-Type: text/html; charset=utf-8\r\n"
+                    "Content-Length: "), F.length(b).cast("string"), F.lit("\r\n"), headers, F.lit("\r\n"), b)

@@ -1,19 +1,31 @@
 """Oracle SQL (DuckDB) for the named queries.
 
-Each statement re-derives its answer from the raw tables in plain SQL: the
-same extraction patterns (RE2 accepts them unchanged), the resolution rules
-as CASE expressions, and the frontier in its *sequential* form (window
-ranks: first row of a pair / of a domain in page order) rather than the
-aggregate form the Spark plan uses.  Non-ASCII IDNA and urlsplit's
-bracketed-host checks are not restated here (no such hosts occur in the
-test tables); the unit tests check them against Python's ``urllib``.
+Each statement re-derives its answer from the raw tables in plain SQL, and
+imports nothing from the engine: patterns, limits and lists are stated here
+a second time, so an error in the engine's does not hide.  The URL rules are CASE
+expressions over cut strings, encoding goes character by character, and the
+frontier is in its *sequential* form (window ranks: first row of a pair / of a
+domain in page order) rather than the aggregate form the Spark plan uses.
+Non-ASCII IDNA and urlsplit's bracketed-host checks are not restated here (no
+such hosts occur in the test tables); the unit tests check them against
+Python's ``urllib``.
 """
 
 from __future__ import annotations
 
-from linkloom.functions import links as L
-from linkloom.functions import urls as U
-from linkloom.plans import queries as Q
+# The queries' parameters and the rules' character sets and lists.
+OBSERVED = 1_700_000_000
+BODY_LIMIT = 16 * 1024
+HEADER_LIMIT = 1024
+TOP = 100
+DENIED = ("ththre.example.com", "m.ththth.example.net")
+URL_CHARS = "A-Za-z0-9._~:/?#@!$&()*+,;=%'" + r"\[\]\-"
+HOSTED_SCHEMES = ("", "ftp", "http", "gopher", "nntp", "telnet", "imap", "wais", "file", "mms", "https", "shttp",
+                  "snews", "prospero", "rtsp", "rtsps", "rtspu", "rsync", "svn", "svn+ssh", "sftp", "nfs", "git",
+                  "git+ssh", "ws", "wss", "itms-services")
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
+BLANKS = (r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}"
+          r"\x{2029}\x{202F}\x{205F}\x{3000}")
 
 
 def s(text: str) -> str:
@@ -21,36 +33,46 @@ def s(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-LEGAL_ALL = f"[{L.LEGAL_CLASS}]*"
-NETLOC_RX = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
-WS_RE2 = (r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}"
-          r"\x{2029}\x{202F}\x{205F}\x{3000}")
-STRIP_RX = f"^[{WS_RE2}]+|[{WS_RE2}]+$"
-
-
 def clean(x: str) -> str:
     return (f"regexp_replace(regexp_replace({x}, {s('[\\t\\r\\n]')}, '', 'g'), "
             f"{s('^[\\x00-\\x20]+')}, '')")
 
 
 def part(x: str, i: int) -> str:
-    return f"regexp_extract({clean(x)}, {s(U._SPLIT)}, {i})"
+    """1 scheme, 2 netloc, 3 path, 4 query, 5 fragment of a URL, cut one after the other."""
+    u = clean(x)
+    if i == 1:
+        return f"regexp_extract({u}, {s('^([A-Za-z][A-Za-z0-9+.-]*):')}, 1)"
+    rest = f"regexp_replace({u}, {s(SCHEME)}, '')"
+    if i == 2:
+        return f"regexp_extract({rest}, '^//([^/?#]*)', 1)"
+    tail = f"regexp_replace({rest}, '^//[^/?#]*', '')"
+    return f"regexp_extract({tail}, " + {3: "'^[^?#]*', 0)", 4: "'^[^?#]*[?]([^#]*)', 1)",
+                                         5: "'^[^#]*#(.*)$', 1)"}[i]
 
 
 def netloc(x: str) -> str:
-    return f"regexp_extract({clean(x)}, {s(NETLOC_RX)}, 1)"
+    return part(x, 2)
 
 
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, {s(STRIP_RX)}, '', 'g')"
+    return f"regexp_replace({x}, {s(f'^[{BLANKS}]+|[{BLANKS}]+$')}, '', 'g')"
 
 
 def enc(x: str, plus: bool = False) -> str:
-    sp = "WHEN p = ' ' THEN '+' " if plus else ""
-    return (f"(CASE WHEN regexp_full_match({x}, {s(LEGAL_ALL)}) THEN {x} ELSE "
-            f"array_to_string(list_transform(regexp_extract_all({x}, {s(U._PIECES)}, 1), "
-            f"lambda p: CASE WHEN regexp_full_match(p, {s(LEGAL_ALL)}) THEN p {sp}"
-            f"ELSE regexp_replace(hex(encode(p)), '(..)', '%\\1', 'g') END), '') END)")
+    blank = "WHEN c = ' ' THEN '+' " if plus else ""
+    return (f"array_to_string(list_transform(regexp_extract_all({x}, '(?s).'), lambda c: CASE WHEN "
+            f"regexp_full_match(c, {s(f'[{URL_CHARS}]')}) THEN c {blank}"
+            f"ELSE regexp_replace(hex(encode(c)), '(..)', '%\\1', 'g') END), '')")
+
+
+def path_of(x: str) -> str:
+    """A path without the ';params' of its last segment."""
+    return f"(regexp_extract({x}, '^(.*/)?', 0) || regexp_extract(regexp_extract({x}, '[^/]*$', 0), '^[^;]*', 0))"
+
+
+def params_of(x: str) -> str:
+    return f"regexp_extract(regexp_extract({x}, '[^/]*$', 0), '^[^;]*;(.*)$', 1)"
 
 
 def dots(segs: str) -> str:
@@ -68,11 +90,11 @@ def join_path(base: str, rel_raw: str) -> str:
     j0 = f"regexp_replace({rel_raw}, {s('^[\x00-\x20]+')}, '')"
     jnet = f"regexp_extract({j0}, {s('^//([^/]*)')}, 1)"
     rel = f"(CASE WHEN starts_with({j0}, '//') THEN regexp_extract({j0}, {s('^//(.*)$')}, 1) ELSE {j0} END)"
-    rpath = f"regexp_extract({rel}, {s(U._REL_PATH)}, 1)"
-    rparams = f"regexp_extract({rel}, {s(U._REL_PARAMS)}, 1)"
+    rpath = path_of(rel)
+    rparams = params_of(rel)
     npath = f"regexp_extract({j0}, {s('^//[^/]*(.*)$')}, 1)"
-    nparams = f"regexp_extract({npath}, {s(U._REL_PARAMS)}, 1)"
-    nrel = (f"('//' || {jnet} || regexp_extract({npath}, {s(U._REL_PATH)}, 1) || "
+    nparams = params_of(npath)
+    nrel = (f"('//' || {jnet} || {path_of(npath)} || "
             f"(CASE WHEN {nparams} <> '' THEN ';' || {nparams} ELSE '' END))")
     bs = f"string_split({base}, '/')"
     bparts = f"(CASE WHEN {bs}[len({bs})] <> '' THEN list_slice({bs}, 1, len({bs})-1) ELSE {bs} END)"
@@ -87,7 +109,7 @@ def join_path(base: str, rel_raw: str) -> str:
 
 
 def unsplit(sc: str, net: str, path: str, query: str, frag: str) -> str:
-    schemes = ", ".join(s(x) for x in U.USES_NETLOC)
+    schemes = ", ".join(map(s, HOSTED_SCHEMES))
     body = (f"(CASE WHEN {net} <> '' THEN '//' || {net} || (CASE WHEN {path} <> '' AND NOT "
             f"starts_with({path}, '/') THEN '/' || {path} ELSE {path} END) "
             f"WHEN starts_with({path}, '//') THEN '//' || {path} "
@@ -99,10 +121,16 @@ def unsplit(sc: str, net: str, path: str, query: str, frag: str) -> str:
 
 
 def extract(html: str) -> str:
-    runs = f"regexp_extract_all({html}, {s(L.RUN_PATTERN)}, 1)"
+    """All links of a text: runs that begin with '<a' or 'h', then the links of each run."""
+    href = "[^>h]*h[^>r]*r[^>e]*e[^>f]*f[^>=]*="          # h r e f = in this order, before any '>'
+    quoted = "[\"'][^>\"']*[>\"']?"
+    anchors = f"<a(?:(?:{href}{quoted})+(?:{href})?|{href})"
+    bare = f"h(?:ttp(?:s?://[{URL_CHARS}]*(?s:.)?|s:?|:)?)+"
+    value = f"{href}[\"']([^>\"']*)[>\"']?"
+    runs = f"regexp_extract_all({html}, {s(f'(?:{anchors}|{bare})')})"
     per = (f"list_transform({runs}, lambda r: CASE WHEN starts_with(r, '<') THEN "
-           f"list_filter(regexp_extract_all(r, {s(L.ANCHOR_VALUE_PATTERN)}, 1), lambda v: v <> '') "
-           f"ELSE list_transform(regexp_extract_all(r, {s(L.BARE_VALUE_PATTERN)}, 1), "
+           f"list_filter(regexp_extract_all(r, {s(value)}, 1), lambda v: v <> '') "
+           f"ELSE list_transform(regexp_extract_all(r, {s(f'ttp(s?://[{URL_CHARS}]+)')}, 1), "
            f"lambda v: 'http' || v) END)")
     return f"flatten({per})"
 
@@ -152,7 +180,7 @@ res AS (
   SELECT page_id, page_url, pos,
     {unsplit('sc', 'net', enc('path'), enc('query', True), "''")} AS url,
     net AS domain,
-    (NOT match AND net <> '' AND regexp_matches(net, {s(U._HOST_LABEL_ERROR)})) AS bad
+    (NOT match AND net <> '' AND regexp_matches(net, '^[.]|[.][.]|[^.]{{64}}')) AS bad
   FROM r3
 ),
 page_err AS (
@@ -281,9 +309,6 @@ def rfc3986_ctes() -> str:
         return (f"lower(regexp_extract({text}, {rx}, 1)) AS {to}s, regexp_extract({text}, {rx}, 2) <> '' AS {to}ha, "
                 f"regexp_extract({text}, {rx}, 3) AS {to}a, regexp_extract({text}, {rx}, 4) AS {to}p, "
                 f"regexp_extract({text}, {rx}, 5) AS {to}q")
-    legal = f"[{L.LEGAL_CLASS}]"
-    encode = (f"array_to_string(list_transform(regexp_extract_all({{x}}, {s('(?s).')}), lambda c: CASE WHEN "
-              f"regexp_full_match(c, {s(legal)}) THEN c ELSE regexp_replace(hex(encode(c)), '(..)', '%\\1', 'g') END), '')")
     return f"""
 ref AS (
   SELECT page_id, {parts(clean('page_url'), 'b')}, {parts(clean('link'), 'r')} FROM lk
@@ -308,7 +333,7 @@ flat AS (
     || CASE WHEN dotted AND sg[len(sg)] IN ('.', '..') THEN [''] ELSE CAST([] AS VARCHAR[]) END AS kept
   FROM seg
 )
-SELECT page_id, sc || '://' || au || {encode.format(x="array_to_string(kept, '/')")} || {encode.format(x='qu')} AS url,
+SELECT page_id, sc || '://' || au || {enc("array_to_string(kept, '/')")} || {enc('qu')} AS url,
   au AS domain FROM flat"""
 
 
@@ -351,14 +376,14 @@ FROM pages"""
     fr = frontier_ctes()
     out["frontier_step"] = with_base(fr.strip() + "\nSELECT * FROM published")
     out["frontier_deny"] = with_base(frontier_ctes(
-        [d for d in Q.DENY_LIST.split(",") if d]).strip() + "\nSELECT * FROM published")
+        list(DENIED)).strip() + "\nSELECT * FROM published")
     out["frontier_additions"] = with_base(fr.strip() + "\nSELECT domain, url FROM published")
     out["seen_add_single"] = out["frontier_additions"]
     out["frontier_counts"] = with_base(
         fr.strip() + "\nSELECT page_id, count(*) AS published FROM published GROUP BY page_id")
     out["frontier_top"] = with_base(
         fr.strip() + f"\nSELECT * FROM published ORDER BY fetch_priority, page_id, url, domain "
-        f"LIMIT {Q.TOP_K}")
+        f"LIMIT {TOP}")
     probes = "probes AS (SELECT DISTINCT domain, url FROM acc)"
     out["seen_exists"] = with_base(probes + """
 SELECT domain, url,
@@ -377,31 +402,37 @@ SELECT domain, url FROM seen WHERE EXISTS (
 SELECT page_id, domain, url, (rn = 1 AND NOT stored) AS inserted FROM ranked""")
     out["domain_edges"] = with_base(f"""e AS (
   SELECT DISTINCT page_id, {netloc('page_url')} AS source, {netloc('url')} AS target FROM acc)
-SELECT source, target, CAST({Q.OBSERVED} AS BIGINT) AS observed FROM e""")
-    lim = Q.FETCH_LIMIT_BYTES
+SELECT source, target, CAST({OBSERVED} AS BIGINT) AS observed FROM e""")
+    lim = BODY_LIMIT
     cums = ("list_reduce(string_split(html, chr(10)), lambda acc, x: "
             "list_append(acc, acc[len(acc)] + strlen(x) + 1), [0::BIGINT])")
+    code = ("CAST(CASE WHEN contains(url, '?') THEN 404 WHEN contains(url, '#') THEN 301 ELSE 200 END AS INTEGER)")
     out["fetch_outcome"] = f"""
-SELECT page_id, url, {netloc('url')} AS domain, strlen(html) < {lim} AS success,
+SELECT page_id, url, {netloc('url')} AS domain, 'bodies/' || page_id AS path, strlen(html) < {lim} AS success,
   CAST(CASE WHEN strlen(html) >= {lim} THEN 11 END AS INTEGER) AS error,
   CASE WHEN strlen(html) < {lim} THEN md5(html) END AS md5,
-  CAST(CASE WHEN strlen(html) < {lim} THEN 200 END AS INTEGER) AS http_code,
+  CASE WHEN strlen(html) < {lim} THEN {code} END AS http_code,
   CAST(CASE WHEN strlen(html) < {lim} THEN strlen(html)
        ELSE least(list_filter({cums}, lambda c: c >= {lim})[1], strlen(html)) END AS BIGINT)
     AS kept_bytes
 FROM pages"""
-    hdr = ("'HTTP/1.0 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' "
-           "|| chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen(html) AS VARCHAR) "
-           "|| chr(13) || chr(10)")
-    ok = f"(strlen({hdr}) < {128 * 1024} AND strlen(html) < {lim})"
-    out["response_outcome"] = f"""
-SELECT page_id, {ok} AS success, CAST(CASE WHEN NOT {ok} THEN 11 END AS INTEGER) AS error,
-  CASE WHEN {ok} THEN md5(html) END AS md5,
-  CAST(CASE WHEN {ok} THEN 200 END AS INTEGER) AS http_code, true AS headers_valid,
-  CASE WHEN {ok} THEN 'text/html; charset=utf-8' END AS content_type,
-  CASE WHEN {ok} THEN CAST(strlen(html) AS VARCHAR) END AS content_length,
-  CAST(strlen({hdr}) AS BIGINT) AS header_bytes, CAST(strlen(html) AS BIGINT) AS body_bytes
-FROM pages"""
+    # Lengths of the header block: status line, two headers, and the long one.
+    out["response_outcome"] = f"""WITH r AS (
+  SELECT page_id, url, html, page_id % 10 = 7 AS odd, CAST(strlen('HTTP/1.0 ') + 2
+    + CASE WHEN page_id % 10 = 7 THEN 3 WHEN contains(url, '?') THEN strlen('404 Not Found')
+           WHEN contains(url, '#') THEN strlen('301 Moved Permanently') ELSE strlen('200 OK') END
+    + strlen('Content-Type: text/html; charset=utf-8') + 2
+    + strlen('Content-Length: ') + strlen(CAST(strlen(html) AS VARCHAR)) + 2
+    + CASE WHEN page_id % 10 = 3 THEN strlen('X-Note: ') + 2000 + 2 ELSE 0 END AS BIGINT) AS header_bytes
+  FROM pages),
+t AS (SELECT *, header_bytes < {HEADER_LIMIT} AND strlen(html) < {lim} AS ok FROM r)
+SELECT page_id, ok AS success, CAST(CASE WHEN NOT ok THEN 11 END AS INTEGER) AS error,
+  CASE WHEN ok THEN md5(html) END AS md5,
+  CASE WHEN ok AND NOT odd THEN {code} END AS http_code, NOT odd AS headers_valid,
+  CASE WHEN ok AND NOT odd THEN 'text/html; charset=utf-8' END AS content_type,
+  CASE WHEN ok AND NOT odd THEN CAST(strlen(html) AS VARCHAR) END AS content_length,
+  header_bytes, CAST(strlen(html) AS BIGINT) AS body_bytes
+FROM t"""
     out["bloom_build"] = with_base(
         "items AS (SELECT DISTINCT url AS key FROM acc)," + bloom_params("par", "items") + ","
         + bloom_bits_cte("bits", "items", "par")
@@ -495,6 +526,11 @@ SELECT source, count(*) AS n_messages, CAST(sum(n_urls) AS BIGINT) AS n_urls,
   SELECT CAST(w.round + 1 AS INTEGER), p.page_id, p.url FROM walk w JOIN pages p ON p.page_id = w.page_id + 1
   WHERE p.page_id % 4 <> 0 AND NOT contains(p.url, '#'))
 SELECT round, page_id, url FROM walk"""
+    out["messages_rejected"] = with_base("""per AS (
+  SELECT p.page_id, (SELECT count(*) FROM acc WHERE acc.page_id = p.page_id) AS n_urls FROM acc_pages p)
+SELECT CAST(CASE WHEN page_id % 5 = 0 THEN 13 END AS INTEGER) AS error, count(*) AS n_lines,
+  CAST(sum(n_urls) FILTER (page_id % 5 <> 0) AS BIGINT) AS n_urls
+FROM per GROUP BY 1""")
     out["stream_fan_out"] = out["messages_read"]
     out["stream_crawl"] = out["crawl_chain"]
     out["stream_metrics"] = with_base("""x AS (SELECT 1)

@@ -38,6 +38,7 @@ from linkloom.streaming.jobs import MessageHook
 # Fixed query parameters.
 OBSERVED = 1_700_000_000               # edge batch timestamp (epoch seconds)
 FETCH_LIMIT_BYTES = 16384              # body cutoff for the fetch-outcome report
+HEADER_LIMIT_BYTES = 1024              # header cutoff, passed by every tenth response
 BLOOM_RATE = 0.01                      # designed error rate of the Bloom queries
 TOP_K = 100
 DENY_LIST = "ththre.example.com,m.ththth.example.net"
@@ -223,16 +224,29 @@ def q_domain_edges(spark, sf_dir):
     return G.domain_edges(accepted_pages(spark, sf_dir), OBSERVED)
 
 
+def _status():
+    """The status that a page's stored response has: pages whose URL has a query were
+    not found, those whose URL has a fragment have moved."""
+    return F.when(F.col("url").contains("?"), F.lit("404 Not Found")) \
+        .when(F.col("url").contains("#"), F.lit("301 Moved Permanently")).otherwise(F.lit("200 OK"))
+
+
 def q_fetch_outcome(spark, sf_dir):
     """Fetch record of each stored body under a 16 KiB cutoff."""
-    return R.fetch_outcome(pages(spark, sf_dir), FETCH_LIMIT_BYTES)
+    return R.fetch_outcome(pages(spark, sf_dir), FETCH_LIMIT_BYTES, code=F.substring(_status(), 1, 3),
+                           path=F.concat(F.lit("bodies/"), F.col("page_id").cast("string")))
 
 
 def q_response_outcome(spark, sf_dir):
-    """Header split, status, headers and cutoffs of stored responses."""
+    """Header split, status, headers and cutoffs of stored responses.  Every
+    tenth has a header beyond the 1 KiB header limit, every tenth a status line
+    without a code, which makes its headers invalid."""
     p = pages(spark, sf_dir)
-    resp = p.select("page_id", R.stored_response(p).alias("raw"))
-    out = R.response_outcome(resp, FETCH_LIMIT_BYTES, 128 * 1024, keep=("page_id",))
+    status = F.when(F.col("page_id") % 10 == 7, F.lit("odd")).otherwise(_status())
+    long_header = F.when(F.col("page_id") % 10 == 3, F.concat(F.lit("X-Note: "), F.repeat(F.lit("n"), 2000),
+                                                              F.lit("\r\n"))).otherwise(F.lit(""))
+    resp = p.select("page_id", R.stored_response(p, status=status, headers=long_header).alias("raw"))
+    out = R.response_outcome(resp, FETCH_LIMIT_BYTES, HEADER_LIMIT_BYTES, keep=("page_id",))
     return out.select("page_id", "success", "error", "md5", "http_code", "headers_valid",
                       F.col("headers")["Content-Type"].alias("content_type"),
                       F.col("headers")["Content-Length"].alias("content_length"),
@@ -418,6 +432,17 @@ def q_messages_read(spark, sf_dir):
         "source", "n_messages", "n_urls", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
 
 
+def q_messages_rejected(spark, sf_dir):
+    """S3: written messages, those of every fifth page cut off before their last
+    character: the malformed lines, with error 13, and how many were read."""
+    path = scratch_path(spark, "messages-cut")
+    text = q_messages_json(spark, sf_dir)
+    cut = F.when(F.col("page_id") % 5 == 0, F.expr("left(message, length(message) - 1)")).otherwise(F.col("message"))
+    text.select(cut.alias("value")).write.text(path)
+    return io.parse_messages(spark.read.option("lineSep", "\n").text(path)).groupBy("error").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum(F.size("message.urls").cast("long")).alias("n_urls"))
+
+
 def q_edges_log(spark, sf_dir):
     """S4 + S5: the edges appended to a log and scanned."""
     path = scratch_path(spark, "edges")
@@ -471,6 +496,7 @@ QUERIES = {
     "links_rfc3986": q_links_rfc3986,
     "messages_json": q_messages_json,
     "messages_read": q_messages_read,
+    "messages_rejected": q_messages_rejected,
     "edges_log": q_edges_log,
     "seen_log": q_seen_log,
     "crawl_rounds": q_crawl_rounds,

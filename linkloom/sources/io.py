@@ -24,6 +24,8 @@ from linkloom.session import reliable_checkpoint
 _WS = r"\t\n\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 _STRIP = f"^[{_WS}]+|[{_WS}]+$"
 
+ERR_PARSE = 13
+
 LINK_STRUCT = T.StructType([T.StructField("url", T.StringType()),
                             T.StructField("domain", T.StringType())])
 
@@ -62,13 +64,16 @@ def read_seeds(spark: SparkSession, path: str) -> DataFrame:
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Stored pages as parquet (page_id, url, html).
 
-    A table of fewer row groups than the cluster has cores (a small one) is
-    dealt evenly over the cores, so the per-page work uses them all; a larger
-    scan keeps its own splits.  The split count comes from the file listing: no
-    job runs."""
+    A table no larger than one scan split (``spark.sql.files.maxPartitionBytes``) is dealt over the
+    cores, so that the per-page work of a small table uses them all; that bounds what is moved.  A
+    larger table is scanned by its own splits.  Sizes come from the file listing: no job runs."""
     pages = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if files.getContentSummary(place).getLength() > split:
+        return pages
+    return pages.repartition(spark.sparkContext.defaultParallelism)
 
 
 def read_page_files(spark: SparkSession, path: str) -> DataFrame:
@@ -83,9 +88,36 @@ def to_messages(analyzed: DataFrame) -> DataFrame:
     return analyzed.select(F.to_json(F.struct("url", "domain", "urls")).alias("value"))
 
 
-def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    """S3: newline-delimited JSON messages with the D5 schema."""
-    return spark.read.schema(MESSAGE_SCHEMA).json(path)
+def parse_messages(lines: DataFrame, col: str = "value") -> DataFrame:
+    """S3: ``message`` (null where the line is no JSON object of the D5 schema) and ``error`` (13 there)."""
+    schema = T.StructType([*MESSAGE_SCHEMA, T.StructField("_line", T.StringType())])
+    parsed = F.from_json(F.col(col), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_line"})
+    good = F.col("_m").isNotNull() & F.col("_m._line").isNull()
+    return lines.withColumn("_m", parsed).select(*lines.columns, F.when(good, F.struct(
+        *(F.col(f"_m.{f.name}").alias(f.name) for f in MESSAGE_SCHEMA))).alias("message"),
+        F.when(~good, F.lit(ERR_PARSE)).cast("int").alias("error"))
+
+
+def _message_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("lineSep", "\n").text(path)
+
+
+def read_messages(spark: SparkSession, path: str, malformed: str = "fail") -> DataFrame:
+    """S3: newline-delimited JSON messages with the D5 schema.  A malformed line fails
+    the query; with ``malformed="reject"`` it is passed over (see ``rejected_messages``)."""
+    if malformed not in ("fail", "reject"):
+        raise ValueError(f"malformed is 'fail' or 'reject', not {malformed!r}")
+    rows = parse_messages(_message_lines(spark, path))
+    if malformed == "reject":
+        return rows.where("error is null").select("message.*")
+    fail = F.raise_error(F.concat(F.lit("malformed message (error 13): "), F.col("value")))
+    return rows.select(F.when(F.col("error").isNull(), F.col("message")).otherwise(fail).alias("message")) \
+        .select("message.*")
+
+
+def rejected_messages(spark: SparkSession, path: str) -> DataFrame:
+    """S3: the malformed lines (value, error 13)."""
+    return parse_messages(_message_lines(spark, path)).where("error is not null").select("value", "error")
 
 
 def write_messages(analyzed: DataFrame, path: str) -> None:

@@ -40,6 +40,34 @@ def test_messages_roundtrip(spark):
     assert js.startswith('{"url":"http://h.com/p","domain":"h.com","urls":[')
 
 
+def test_malformed_messages(spark):
+    import pytest
+    d = _tmp()
+    lines = ['{"url":"u","domain":"d","urls":[{"url":"v","domain":"e"}]}', '{"url":"cut', "", "[1]", '{"url":null}']
+    with open(os.path.join(d, "m.json"), "w") as f:
+        f.write("\n".join(lines) + "\n")
+    with pytest.raises(Exception, match="error 13"):
+        io.read_messages(spark, d).collect()
+    kept = io.read_messages(spark, d, malformed="reject").collect()
+    assert [(r.url, r.domain, r.urls and len(r.urls)) for r in kept] == [("u", "d", 1), (None, None, None)]
+    assert sorted((r.value, r.error) for r in io.rejected_messages(spark, d).collect()) == \
+        sorted((x, 13) for x in lines[1:4])
+    with pytest.raises(ValueError):
+        io.read_messages(spark, d, malformed="skip")
+
+
+def test_small_tables_are_dealt_over_the_cores(spark):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    path = "/root/testdata/sf0.01/pages.parquet"
+    assert io.read_pages(spark, path).rdd.getNumPartitions() == 4
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")       # the table is larger than a split
+        plan = io.read_pages(spark, path)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_edges_append_and_scan(spark):
     pages = spark.createDataFrame([(1, "http://h.com/p", "<a href='http://x.org/'>")],
                                   "page_id long, url string, html string")

@@ -8,34 +8,55 @@ from pyspark.sql import functions as F
 from link_model import scan_links
 from linkloom.functions.links import extract_links, extract_links_simple
 
-# (document, expected links)
-CASES = [
-    ("<a href='http://alpha.example'>", ["http://alpha.example"]),
-    ("<a name='x'>", []),
-    ("<a href=>", []),
-    ("<a href=<", []),
-    ("<p class='y'>", []),
-    ("http://alpha.example", ["http://alpha.example"]),
-    ("http://beta.example/q/77/", ["http://beta.example/q/77/"]),
-    ("https://docs.example/spec/v2.txt", ["https://docs.example/spec/v2.txt"]),
-    ("hq81&%$ zz", []),
-    ("ht", []), ("http", []), ("http:", []), ("https://", []), ("http://", []),
-    ("see http://alpha.example now\n<a href=\"http://gamma.example/a_b.html\">text</a>"
-     " https://delta.example/x%27s_y <p id='n'>https://docs.example/9</p> end",
-     ["http://alpha.example", "http://gamma.example/a_b.html", "https://delta.example/x%27s_y",
-      "https://docs.example/9"]),
-    ("filler http://alpha.example <<>> <! <! <a id='7' href=\"http://gamma.example/k.html>\nhttp://eps.example",
-     ["http://alpha.example", "http://gamma.example/k.html", "http://eps.example"]),
-    ("http://g.com<a href='/y'>", ["http://g.com"]),
-    ("<article class=h r e f='zz'>", ["zz"]),
-    ("<a href=http://q.com/x>", ["http://q.com/x"]),
-    ('<link href="https://l.x/y z">', ["https://l.x/y"]),
-    ("<A HREF='/up'>", []),
-    ("x <a href='u1' id=1 href=\"u2\"> y", ["u1", "u2"]),
-    ("httpsttp://c.d", ["http://c.d"]),
-    ("<ahref=\"/urls-2\">Link</a>", ["/urls-2"]),
-    ("<a title=http://q.com href=x>", []),
-]
+
+
+def _anchor_cases():
+    """A quoted value after the letters h, r, e, f, = of a tag that begins with '<a'."""
+    for opening in ("<a ", "<abbr title=t ", "<a\n\t"):
+        for quote in "'\"":
+            for value in ("/rooted", "rel/x.y", "#frag", "mailto:p@q.test", "two words", "\u00fc\u4e16"):
+                yield f"{opening}href={quote}{value}{quote}>", [value]
+    yield "<a h-r-e-f = 'spaced'>", []                      # a blank, no quote, follows the '='
+    yield "<a hot red elf='letters in order'>", ["letters in order"]
+    yield "<a href=unquoted>", []
+    yield "<a rel='nofollow'>", []
+    yield "<a href=''>", []
+    yield "<b href='other tag'>", []
+    yield "<A href='capital'>", []
+    yield "<a hre='no f'>", []
+    yield "<a href='open to the end", ["open to the end"]
+    yield "<a href='cut at > the bracket'>", ["cut at "]
+    yield "<a href='mixed quotes\">", ["mixed quotes"]
+    yield "<a href='one' href='two' href='one'>", ["one", "two"]
+    yield "<a><b href='after the bracket'>", []
+
+
+def _bare_cases():
+    """Bare links: every prefix of the two openings alone gives nothing."""
+    for scheme in ("http://", "https://"):
+        for k in range(1, len(scheme) + 1):
+            yield f"{scheme[:k]} rest", []
+        for end in (" ", "\n", "\"", "<", ">", "{", "\u00e9", ""):
+            yield f"in text {scheme}k{len(end)}.test/p?q=1#f%20{end}tail" if end else f"{scheme}end.test", \
+                [f"{scheme}k{len(end)}.test/p?q=1#f%20"] if end else [f"{scheme}end.test"]
+    yield "hhttp://doubled.test", ["http://doubled.test"]
+    yield "httphttp://again.test", ["http://again.test"]
+    yield "httpshttps://s.test", ["https://s.test"]
+    yield "HTTP://upper.test ftp://other.test", []
+
+
+def _mixed_cases():
+    yield ("<ol><li>https://one.test/1</li>\n<li><a class=c href='two'>two</a></li>"
+           "<li><a name=n>http://three.test</a></li></ol>", ["https://one.test/1", "two", "http://three.test"])
+    yield "<a href='http://in.test/x'>http://in.test/x</a>", ["http://in.test/x"]
+    yield "<a title=http://hidden.test href=\"shown\">", ["shown"]
+    yield "http://first.test<a href='next'>", ["http://first.test"]      # the '<' is eaten with the link
+    yield "<img src=\"https://img.test/i.png\"> <!-- http://comment.test -->", ["https://img.test/i.png",
+                                                                                  "http://comment.test"]
+    yield "", []
+
+
+CASES = [*_anchor_cases(), *_bare_cases(), *_mixed_cases()]
 
 
 def _run(spark, docs, fn=extract_links):

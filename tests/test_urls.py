@@ -8,23 +8,28 @@ from linkloom.functions import urls as U
 from linkloom.operators.analyze import analyze_pages, explode_links
 from linkloom.sources import io
 
-CASES = [
-    ("http://xn--bcher-kva.example", "http://bücher.example/ä/ö?q=ß",
-     "http://xn--bcher-kva.example/%C3%A4/%C3%B6?q=%C3%9F"),
-    ("http://alpha.example", "http://bücher.example/ä", "http://xn--bcher-kva.example/%C3%A4"),
-    ("https://w.example/wiki/Some%27s_Page", "/wiki/Index_of_Some%27s_Page", "https://w.example/wiki/Index_of_Some%27s_Page"),
-    ("http://dir.example/sub/", "page.html", "http://dir.example/sub/page.html"),
-    ("http://dir.example/sub", "page.html", "http://dir.example/page.html"),
-    ("https://alpha.example", "w.example/wiki", "http://w.example/wiki"),
-    ("http://h.com/fr/825?page=2", "/The", "http://h.com/The"),
-    ("http://h.com/fr/825?page=2", "/et.", "http:///et."),
-    ("http://h.com/fr/825?page=2", "/für", "http://h.com/f%C3%BCr"),
-    ("http://h.com/fr/825?page=2", "#top", "http://h.com/fr/825"),
-    ("http://h.com/fr/825?page=2", "?q=1", "http://h.com/fr/825?q=1"),
-    ("https://h.com/a", "//cdn.x.com/b", "http://cdn.x.com/b"),
-    ("https://h.com/a", "/wiki/Talk:Foo", "http:///wiki/Talk:Foo/wiki/Talk:Foo"),
-    ("https://h.com/a", "mailto:x@y", "mailto://h.com/x@y"),
-]
+# One group a rule of the resolver; (page, link, resolved).
+RULES = {
+    "a link with a host keeps its scheme, another host's is IDNA-encoded": [
+        ("ftp://p.test/q", "https://o.test:81/r;s?t", "https://o.test:81/r;s?t"),
+        ("http://p.test", "http://stra\u00dfe.test/", "http://strasse.test/"),
+        ("http://p.test", "http://\u00f6.test/\u00f6?\u00f6#x", "http://xn--nda.test/%C3%B6?%C3%B6")],
+    "without a scheme: the page's for its own host, http for others": [
+        ("https://p.test/q", "//p.test/r", "https://p.test/r"), ("https://p.test/q", "//o.test/r", "http://o.test/r")],
+    "a colon in the path makes the path the host as well": [
+        ("http://p.test/q", "x:8", "x://p.test/8"), ("https://p.test/", "/k:v", "http:///k:v/k:v")],
+    "a dot and a slash make the path a host and a path": [
+        ("https://p.test/q", "o.test/r/s", "http://o.test/r/s"), ("https://p.test/q", "/r.s", "http:///r.s"),
+        ("https://p.test/q", "o.test/r?lost", "http://o.test/r")],
+    "any other path is joined to the page's": [
+        ("https://p.test/q/r", "s", "https://p.test/q/s"), ("https://p.test/q/r/", "s.t", "https://p.test/q/r/s.t"),
+        ("https://p.test/q/r", "..", "https://p.test/"), ("https://p.test/q?u", "/v/w", "https://p.test/v/w"),
+        ("https://p.test/q", "?n=1", "https://p.test/q?n=1"), ("https://p.test/q", "#f", "https://p.test/q")],
+    "path and query are percent-encoded, a blank of the query is a plus": [
+        ("http://p.test/", "/a b", "http://p.test/a%20b"), ("http://p.test/", "/c?d e", "http://p.test/c?d+e"),
+        ("http://p.test/", "/%41|", "http://p.test/%41%7C")],
+}
+CASES = [case for group in RULES.values() for case in group]
 
 
 def _resolve(spark, pairs, **kw):
