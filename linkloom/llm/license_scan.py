@@ -94,24 +94,33 @@ def _total(terms: Column, value) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda total, t: total + value(t))
 
 
+def _terms_of(text: str) -> Column:
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})")), lambda t: ~t.isin(*STOP))
+
+
+def _held(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with ``columns``, computed once: a generator lets no predicate below it, where
+    the optimizer would copy the expressions into the predicate."""
+    made = F.struct(*(c.alias(n) for n, c in columns.items()))
+    return df.select("*", F.explode(F.array(made)).alias("_made")).select(*df.columns, *(f"_made.{n}" for n in columns))
+
+
 def license_lines(docs: DataFrame, threshold: float) -> DataFrame:
     """The lines (key columns, terms in the line, score, license) with a license."""
     idf, other, templates = _weights()
     vocabulary = sorted(idf)
-    terms = F.filter(F.regexp_extract_all(F.lower("line"), F.lit(f"({TERM})")), lambda t: ~t.isin(*STOP))
-    lines = (docs.select("doc_id", "path", "version", F.explode(F.split("text", BREAK)).alias("line"))
-             .select("doc_id", "path", "version", terms.alias("terms"))
-             .withColumn("known", F.filter("terms", lambda t: t.isin(*vocabulary)))
-             .withColumn("unknown", F.size("terms") - F.size("known"))
-             # The cosine is at most the known share of the norm: a line with fewer known terms cannot reach it.
-             .where((F.size("known") > 0)
-                    & (F.pow(F.size("known"), 2) >= threshold ** 2 * F.col("unknown"))))
+    lines = docs.select("doc_id", "path", "version", F.explode(F.split("text", BREAK)).alias("line"))
+    lines = _held(lines, terms=_terms_of("line")).drop("line")
+    lines = _held(lines, known=F.filter("terms", lambda t: t.isin(*vocabulary)))
+    # The cosine is at most the known share of the norm: a line with fewer known terms cannot reach it.
+    lines = (lines.withColumn("unknown", F.size("terms") - F.size("known"))
+             .where((F.size("known") > 0) & (F.pow(F.size("known"), 2) >= threshold ** 2 * F.col("unknown"))))
     square = _total(F.array_distinct("known"), lambda t: F.pow(
         F.size(F.filter("known", lambda k: k == t)) * _look_up(idf, t), 2)) + F.col("unknown") * other ** 2
     cosine = [F.struct(F.round(_total(F.col("known"), lambda t, p=products: _look_up(p, t))
                                / (F.sqrt("square") * norm), 6).alias("score"), F.lit(name).alias("license"))
               for name, products, norm in templates]
-    return (lines.withColumn("square", square).withColumn("best", F.array_max(F.array(*cosine)))
+    return (_held(_held(lines, square=square), best=F.array_max(F.array(*cosine)))
             .where(F.col("best.score") >= threshold)
             .select("doc_id", "path", "version", F.size("terms").alias("terms"), "best"))
 
@@ -155,15 +164,20 @@ def license_blocks(docs: DataFrame, threshold: float) -> DataFrame:
     header = (F.when(comments != "", comments)
               .when(F.col("text").rlike(BLANK_LINE), F.split("text", BLANK_LINE, 2)[0]))
     key = ["doc_id", "path", "version", "part"]
-    terms = F.filter(F.regexp_extract_all(F.lower("block"), F.lit(f"({TERM})")), lambda t: ~t.isin(*STOP))
+    blocks = (docs.select("doc_id", "path", "version", F.explode(F.create_map(
+        F.lit("whole"), F.col("text"), F.lit("header"), header)).alias("part", "block")).where("block IS NOT NULL"))
+    blocks = _held(blocks, terms=_terms_of("block")).drop("block")
+    blocks = _held(blocks, held=F.size(held("terms", idf)))
+    # Exact, from counts alone: h held terms have at most the square norm (h * most)^2, u others have at least
+    # u * other^2, and the cosine is at most the held part of the norm over the whole norm.
+    most = max(idf.values())
+    room = (1 - threshold ** 2) * most ** 2 / (threshold ** 2 * other ** 2) * (1 + 1e-9)
+    blocks = blocks.where((F.col("held") >= min(map(least, range(len(templates)))))
+                          & (F.pow("held", 2) * room >= F.size("terms") - F.col("held")))
+    blocks = _held(blocks, known=held("array_distinct(terms)", idf))
     counts = scratch_table(
-        docs.select("doc_id", "path", "version", F.explode(F.create_map(
-            F.lit("whole"), F.col("text"), F.lit("header"), header)).alias("part", "block"))
-        .where("block IS NOT NULL").select(*key, terms.alias("terms"))
-        .withColumn("known", held("array_distinct(terms)", idf))
-        .where(F.size("known") >= min(map(least, range(len(templates))))).where(some)
-        .select(*key, F.explode("terms").alias("term")).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("n")),
-        "license-terms")
+        blocks.where(some).select(*key, F.explode("terms").alias("term"))
+        .groupBy(*key, "term").agg(F.count(F.lit(1)).alias("n")), "license-terms")
     known = _fixed(docs, [{"term": t, "idf": w} for t, w in sorted(idf.items())], "term: string, idf: double")
     products = _fixed(docs, [{"template": k, "license": name, "term": t, "product": p / norm}
                              for k, (name, ps, norm) in enumerate(templates) for t, p in ps.items()],
@@ -196,8 +210,7 @@ def license_scan(docs: DataFrame, path: Column | str = "path", threshold: float
                 F.max("best").alias("best"), F.sum("terms").alias("in_lines"))
            .select(*key, F.coalesce("as_file", "best").alias("best"), F.col("as_file").isNotNull().alias("as_file"),
                    "in_lines"))
-    words = F.size(F.filter(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(f"({TERM})")),
-                            lambda t: ~t.isin(*STOP)))
+    words = F.coalesce(F.size(_terms_of("text")), F.lit(0))
     found = [F.col(f"k.{k}").eqNullSafe(F.col(f"o.{k}")) for k in key]
     known = scratch_table(
         texts.select(*key, words.alias("words"), F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir")).alias("k")
