@@ -9,6 +9,7 @@ tables that a result no longer needs; whoever owns the folder clears the rest.
 from __future__ import annotations
 
 import gc
+import threading
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,7 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_written: list[str] = []
+_calls = threading.local()
+
+
+def _frames() -> list[list[str]]:
+    """The tables written so far, for each ``settled`` call that this thread is in."""
+    if not hasattr(_calls, "frames"):
+        _calls.frames = []
+    return _calls.frames
 
 
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
@@ -43,21 +51,31 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    _written.append(path)
+    if _frames():
+        _frames()[-1].append(path)
     return spark.read.schema(schema).parquet(path)
 
 
 def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The result of ``make`` as a written table, without the scratch tables
     that ``make`` wrote on the way."""
-    before = len(_written)
-    out = scratch_table(make(), name)
-    for path in _written[before:-1]:
-        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-    del _written[before:-1]
+    frames = _frames()
+    mine: list[str] = []
+    frames.append(mine)
+    try:
+        made = make()
+        path = scratch_path(spark, name)
+        schema = made.schema
+        made.write.parquet(path)
+    finally:
+        frames.remove(mine)
+        for old in mine:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    if frames:
+        frames[-1].append(path)
     release(spark)
-    return out
+    return spark.read.schema(schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
@@ -127,7 +145,55 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-# ---- 64-bit hashes -----------------------------------------------------------
+# ---- keys of words and of word sequences: what decides that two are equal -----
+
+_TAILS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_STEP = np.uint64(0x9FB21C651E98DF25)
+
+
+def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit keys of the byte ranges (words): eight bytes at a time go through a non-linear
+    step, so no structure of a word (as in a polynomial) makes words collide."""
+    left = ends - starts
+    keys = mix(left.astype(np.uint64) ^ _STEP)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    at, word = starts, np.arange(len(starts))
+    while len(word):
+        chunk = eight[at] & _TAILS[np.minimum(left, 8)]
+        keys[word] = mix(keys[word] ^ (chunk * _STEP))
+        more = left > 8
+        at, left, word = at[more] + 8, left[more] - 8, word[more]
+    return keys
+
+
+def gram_keys(words: np.ndarray, n: int) -> np.ndarray:
+    """Key of every n consecutive words; entry i starts at word i."""
+    m = len(words) - n + 1
+    if m <= 0:
+        return np.empty(0, np.uint64)
+    h = words[:m].copy()
+    for k in range(1, n):
+        h *= _STEP
+        h ^= h >> np.uint64(29)
+        h ^= words[k:k + m]
+    return mix(h)
+
+
+def range_keys(grams: np.ndarray, n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Keys of the word ranges (of n words or more), from their n-grams: those at every
+    n-th word and the last one."""
+    keys = mix((ends - starts).astype(np.uint64) ^ _STEP)
+    at, of = starts, np.arange(len(starts))
+    while len(of):
+        last = ends[of] - n
+        keys[of] = mix(keys[of] ^ (grams[np.minimum(at, last)] * _STEP))
+        more = at < last
+        at, of = at[more] + n, of[more]
+    return keys
+
+
+# ---- 64-bit hashes of features (polynomials: cheap, but structured words can collide) ----
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))

@@ -41,8 +41,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import (gram_hashes, lower_ascii, mix, release, scratch_table, settled, signed, slices,
-                                 texts_of, utf8, word_bounds, word_hashes)
+from linkloom.llm.common import (gram_keys, lower_ascii, mix, release, scratch_table, settled, signed, slices,
+                                 texts_of, utf8, word_bounds, word_keys)
 from linkloom.llm.components import components
 
 BUCKET = 512
@@ -58,10 +58,10 @@ def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     index of each text's first one."""
     data, offsets = utf8(column)
     starts, ends, first = word_bounds(data, offsets)
-    hashes = word_hashes(lower_ascii(data), starts, ends)
+    hashes = word_keys(lower_ascii(data), starts, ends)
     n, text = len(column), texts_of(first)
     count = np.diff(first)
-    grams = gram_hashes(hashes, words)
+    grams = gram_keys(hashes, words)
     owner = text[:len(grams)]
     whole = owner == text[words - 1:] if len(grams) else np.empty(0, bool)
     grams, owner = grams[whole], owner[whole]
@@ -69,7 +69,7 @@ def shingle_sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     alone = np.zeros(len(short), dtype=np.uint64)
     for k in range(1, words):
         at = count[short] >= k
-        alone[at] = alone[at] * np.uint64(0x2545F4914F6CDD1D) + hashes[first[short[at]] + k - 1]
+        alone[at] = mix(alone[at] ^ hashes[first[short[at]] + k - 1])
     grams = np.concatenate([grams, mix(alone ^ count[short].astype(np.uint64))])
     owner = np.concatenate([owner, short])
     order = np.lexsort((grams, owner))
@@ -94,6 +94,8 @@ def _bands(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(upper size, blocks, spare blocks) of the size bands; the first holds the
     sizes that link only with equal sets."""
     rest = 100 - percent
+    if not rest:        # equal sets only, and those are one class
+        return np.array([1 << 40]), np.array([3]), np.array([2])
     upper = [(percent - 1) // rest]
     while upper[-1] < 1 << 40:
         upper.append(max(upper[-1] + 1, upper[-1] * 7 // 5))
@@ -155,9 +157,9 @@ def _describe(words: int, percent: int):
             for part in slices(batch, "text"):
                 hashes, first = shingle_sets(part.column(1), words)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(first)), signed(_identity(hashes, first)),
+                    [part.column(0), part.column(2), pa.array(np.diff(first)), signed(_identity(hashes, first)),
                      pa.array(_sketches(hashes, first, percent), pa.binary())],
-                    names=["doc_id", "n", "class", "sketch"])
+                    names=["doc_id", "text_key", "n", "class", "sketch"])
     return describe
 
 
@@ -284,18 +286,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id
-    reachable by links)."""
+    reachable by links), text_key (of the text, to tell rows of one doc_id apart) and
+    component (a label that only the rows linked to each other share; null without shingles)."""
     return settled(docs.sparkSession, "ngram-join", lambda: _ngram_join(docs, words, percent))
 
 
 def _ngram_join(docs: DataFrame, words: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = scratch_table(docs.mapInArrow(_describe(words, percent),
-                                              "doc_id long, n long, class long, sketch binary"), "shingle-sets")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    described = scratch_table(docs.mapInArrow(
+        _describe(words, percent), "doc_id long, text_key long, n long, class long, sketch binary"), "shingle-sets")
     order = F.coalesce("doc_id", F.lit(_LAST))
     classes = scratch_table(described.where("n > 0").groupBy("class").agg(
-        F.min(order).alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), "classes")
+        F.min(order).alias("rep"), F.min("doc_id").alias("least"), F.max("n").alias("n"),
+        F.max("sketch").alias("sketch")), "classes")
 
     # A bucket is the union of the blocks that have one smallest class: near copies
     # meet in many blocks, and so each of them is sent to a bucket once.
@@ -316,7 +320,7 @@ def _ngram_join(docs: DataFrame, words: int, percent: int) -> DataFrame:
         lambda p: F.least(p, part).cast("long") * 1_000_000 + F.greatest(p, part)))
     buckets = scratch_table(met.select("lead", "class", F.explode(meets).alias("meet"))
                             .select(F.xxhash64("lead", "meet").alias("bucket"), "class"), "buckets")
-    members = buckets.join(classes.drop("rep"), "class")
+    members = buckets.join(classes.drop("rep", "least"), "class")
 
     def pairs_of(rows: DataFrame, grouped: bool) -> DataFrame:
         rows = rows.select("bucket", "class", "n", "sketch", *(["c"] if grouped else []))
@@ -347,13 +351,14 @@ def _ngram_join(docs: DataFrame, words: int, percent: int) -> DataFrame:
         grouped = components(links.union(more))
     release(spark)
 
-    named = (classes.select("class", "rep").join(grouped.withColumnRenamed("v", "class"), "class", "left")
+    named = (classes.select("class", "least").join(grouped.withColumnRenamed("v", "class"), "class", "left")
              .withColumn("c", F.coalesce("c", "class")))
-    least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
-    named = scratch_table(named.join(least, "c").select("class", "component_id"), "components")
+    least = named.groupBy("c").agg(F.min("least").alias("component_id"))     # a null doc_id counts only alone
+    named = scratch_table(named.join(least, "c").select("class", "component_id", F.col("c").alias("component")),
+                          "components")
     # Both sides are plain tables, so adaptive execution splits the join at a class with very many documents.
-    return (described.select("doc_id", "n", F.when(F.col("n") > 0, F.col("class")).alias("class"))
+    return (described.select("doc_id", "text_key", "n", F.when(F.col("n") > 0, F.col("class")).alias("class"))
             .join(named, "class", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.when(F.col("n") == 0, F.col("doc_id"))
-                    .when(F.col("component_id") != _LAST, F.col("component_id")).alias("component_id")))
+                    F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+                    "text_key", "component"))

@@ -19,10 +19,10 @@ removed.
    in a shuffle instead, and the shard of an owner with many spans is copied,
    one copy for every ``SPANS_A_COPY`` of them.
 
-Words are compared as 64-bit hashes.  Defined cases: a null text has no words;
+Words are compared as 64-bit keys (``common.word_keys``).  Defined cases: a null text has no words;
 rows with one doc_id and different texts are told apart by text and neither is
-smaller than the other; a null doc_id is larger than every number; an empty
-table gives an empty result; other columns are ignored.
+smaller than the other; a null doc_id is larger than every number (the largest
+long ranks with it); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import (gram_hashes, range_hashes, release, scratch_table, settled, signed, slices,
-                                 texts_of, utf8, word_bounds, word_hashes)
+from linkloom.llm.common import (gram_keys, range_keys, release, scratch_table, settled, signed, slices, texts_of,
+                                 utf8, word_bounds, word_keys)
 
 GRAM = 16
 SPANS_A_COPY = 1024
@@ -46,7 +46,7 @@ _LAST = (1 << 63) - 1
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = utf8(column)
     starts, ends, first = word_bounds(data, offsets)
-    return word_hashes(data, starts, ends), first
+    return word_keys(data, starts, ends), first
 
 
 def window_runs(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
@@ -55,7 +55,8 @@ def window_runs(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.n
     if n <= 0:
         e = np.empty(0, np.int64)
         return np.empty(0, np.uint64), np.empty(0, np.uint64), e, e, e
-    low, span, held = gram_hashes(words, GRAM), window - GRAM + 1, 1
+    grams = gram_keys(words, GRAM)
+    low, span, held = grams, window - GRAM + 1, 1
     while held < span:
         step = min(held, span - held)
         low, held = np.minimum(low[:-step], low[step:]), held + step
@@ -66,7 +67,7 @@ def window_runs(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.n
         [True], (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1]) | (text[at[1:]] != text[at[:-1]])))
         if len(at) else [])
     start, count = at[heads], np.diff(np.append(heads, len(at)))
-    whole = range_hashes(words, start, start + count + window - 1) if len(start) else np.empty(0, np.uint64)
+    whole = range_keys(grams, GRAM, start, start + count + window - 1)
     return least[heads], whole, text[start], start - first[text[start]], count
 
 
@@ -88,7 +89,7 @@ def _windows(window: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 words, first = _words(part.column(2))
-                grams = gram_hashes(words, window)
+                grams = gram_keys(words, window)
                 asked = part.column(3).to_pylist()
                 rows = [(i, r["start"], r["n"], r["least"]) for i, runs in enumerate(asked) for r in runs]
                 text, start, n, least = (np.array(c, dtype=np.int64) for c in zip(*rows))
@@ -321,9 +322,9 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (of the
     kept words joined by one space)."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"),
-                        F.xxhash64("text").alias("version"), "text")
-    spans = (repeated_spans(texts, window).groupBy("doc", "version")
+                        F.xxhash64("text").alias("version"), "text", F.col("doc_id").cast("long").alias("doc_id"))
+    spans = (repeated_spans(texts.drop("doc_id"), window).groupBy("doc", "version")
              .agg(F.collect_list(F.struct("start", "end")).alias("spans")))
     return (texts.join(spans, ["doc", "version"], "left")
-            .select(F.when(F.col("doc") != _LAST, F.col("doc")).alias("doc_id"), "text", "spans")
+            .select("doc_id", "text", "spans")
             .mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept_sha256 string"))
