@@ -5,7 +5,7 @@ line ends is replaced by one space (a null text counts as empty).  Three
 stages, each comparing the full content and not only its digest:
 
 1. *Local*: a task combines the equal texts of its own chunk (``chunk_bytes``
-   of text at a time), so copies within a chunk never travel.
+   of text and CHUNK_ROWS rows at a time), so copies within a chunk never travel.
 2. *Salted*: the chunk winners of one digest meet in ``salts`` separate groups.
    A hot text sends one row per chunk, not per copy, over all salts.
 3. *Global*: the at most ``salts`` winners of a digest are combined.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from linkloom.llm.common import SLICE_BYTES, scratch_table, settled, slices
 
 _GAPS = re.compile("[ \t-\r]+")
-_LAST = (1 << 63) - 1
+CHUNK_ROWS = 1 << 16
 _LOCAL = "digest binary, frame binary, first long, n long, members array<long>"
 
 
@@ -47,17 +47,17 @@ def _combine_chunks(chunk_bytes: int):
 
     def flush(held: dict[bytes, list]) -> pa.RecordBatch:
         pack = zstandard.ZstdCompressor(level=1)
-        members = [sorted(m, key=lambda i: _LAST if i is None else i) for m in held.values()]
+        members = [sorted(m, key=lambda i: (i is None, i or 0)) for m in held.values()]
         return pa.RecordBatch.from_arrays([
             pa.array([hashlib.sha256(t).digest() for t in held], pa.binary()),
             pa.array([pack.compress(t) for t in held], pa.binary()),
-            pa.array([_LAST if m[0] is None else m[0] for m in members], pa.int64()),
+            pa.array([m[0] for m in members], pa.int64()),
             pa.array([len(m) for m in members], pa.int64()),
             pa.array(members, schema.field("members").type)], schema=schema)
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list] = {}
-        size = 0
+        size = rows = 0
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
@@ -66,9 +66,10 @@ def _combine_chunks(chunk_bytes: int):
                         held[content] = []
                         size += len(content)
                     held[content].append(doc_id)
-                if size >= chunk_bytes:
+                rows += part.num_rows
+                if size >= chunk_bytes or rows >= CHUNK_ROWS:
                     yield flush(held)
-                    held, size = {}, 0
+                    held, size, rows = {}, 0, 0
         if held:
             yield flush(held)
 
@@ -88,7 +89,7 @@ def _exact_dedup(docs: DataFrame, salts: int, chunk_bytes: int) -> DataFrame:
     local = scratch_table(local, "exact-local")
     salted = (local.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
               .groupBy("digest", "frame", "salt")
-              .agg(F.min(F.struct("first", "row")).alias("best"), F.sum("n").alias("n"),
+              .agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "row")).alias("best"), F.sum("n").alias("n"),
                    F.collect_list("row").alias("rows")))
     same = Window.partitionBy("digest", "frame")
     winners = (salted.select("rows", F.min("best").over(same).alias("winner"),
@@ -97,7 +98,7 @@ def _exact_dedup(docs: DataFrame, salts: int, chunk_bytes: int) -> DataFrame:
     return (local.select("row", "digest", "members").join(winners, "row")
             .select("row", "digest", "winner", "group_size", F.posexplode("members").alias("at", "doc_id"))
             .select("doc_id",
-                    F.when(F.col("winner.first") != _LAST, F.col("winner.first")).alias("keep_id"),
+                    F.col("winner.first").alias("keep_id"),
                     "group_size",
                     ((F.col("row") == F.col("winner.row")) & (F.col("at") == 0)).alias("kept"),
                     F.lower(F.hex("digest")).alias("text_sha256")))
