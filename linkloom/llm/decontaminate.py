@@ -11,9 +11,13 @@ The items go to the tasks in blocks of at most ``BLOCK_CHARS`` characters, so a
 task's memory is bounded; each block reads every whole text.  Documents are
 neither shuffled nor compared with each other.
 
-Defined cases: null or empty texts match nothing; items with a null text or
-fewer than ``least_chars`` normalised characters are no passages and are left
-out; repeated rows match alike; an empty table gives an empty result; other
+Items of fewer than ``SHORT`` normalised characters are searched as they are,
+without edits, and only between word boundaries: a short answer inside a longer
+word is no hit.
+
+Defined cases: null or empty texts match nothing; items with a null or empty text
+match nothing; of the places with an item's least distance the first counts;
+repeated rows match alike; an empty table gives an empty result; other
 columns of ``docs`` stay as they are in ``clean_documents`` and are ignored in
 ``contaminated``.
 """
@@ -30,6 +34,8 @@ from pyspark.sql import functions as F
 from linkloom.llm.common import slices
 
 BLOCK_CHARS = 1 << 20
+#: Items shorter than this are matched exactly, as whole words.
+SHORT = 24
 _MATCH = "doc_id long, item_id long, distance int, budget int, start long, end long"
 
 
@@ -67,11 +73,17 @@ def best_substring(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def _apart(text: str, start: int, end: int) -> bool:
+    """The range begins and ends at word boundaries."""
+    return not (start and text[start - 1].isalnum() and text[start].isalnum()
+                or end < len(text) and text[end - 1].isalnum() and text[end].isalnum())
+
+
 class ItemBlock:
     """Items with their pieces in one automaton."""
 
     def __init__(self, items: list[tuple[int, str]], error_rate: float):
-        self.items = [(i, text, int(len(text) * error_rate)) for i, text in items]
+        self.items = [(i, text, int(len(text) * error_rate) if len(text) >= SHORT else 0) for i, text in items]
         pieces: dict[str, list[tuple[int, int]]] = {}
         for k, (_, text, budget) in enumerate(self.items):
             n = budget + 1
@@ -86,10 +98,15 @@ class ItemBlock:
     def matches(self, text: str) -> dict[int, tuple[int, int, int, int]]:
         """item_id -> (distance, budget, start, end) of its best place in the normalised text."""
         spans: dict[int, list[list[int]]] = {}
+        alone: dict[int, tuple[int, int, int, int]] = {}
         for last, (length, places) in self.automaton.iter(text):
             for k, offset in places:
                 budget = self.items[k][2]
                 at = last + 1 - length - offset
+                if len(self.items[k][1]) < SHORT:
+                    if _apart(text, at, at + length):
+                        alone.setdefault(self.items[k][0], (0, 0, at, at + length))
+                    continue
                 low, high = at - budget, at + len(self.items[k][1]) + budget
                 held = spans.setdefault(k, [])
                 if held and low <= held[-1][1] and high >= held[-1][0]:
@@ -97,7 +114,7 @@ class ItemBlock:
                     held[-1][1] = max(high, held[-1][1])
                 else:
                     held.append([low, high])
-        found: dict[int, tuple[int, int, int, int]] = {}
+        found = alone
         for k, places in spans.items():
             item, pattern, budget = self.items[k]
             for low, high in places:
@@ -109,14 +126,15 @@ class ItemBlock:
         return found
 
 
-def item_blocks(benchmark: DataFrame, least_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """Normalised items, block by block; the driver holds one partition at a time."""
+def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """Normalised items, block by block.  The items pass through the driver, which holds a
+    partition at a time, and every block stays in the plan: memory is that of the benchmark."""
     block: list[tuple[int, str]] = []
     size = 0
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL").distinct()
     for item_id, text in rows.toLocalIterator():
         text = normalise(text)
-        if len(text) >= least_chars:
+        if text:
             block.append((item_id, text))
             size += len(text)
         if size >= BLOCK_CHARS:
@@ -151,19 +169,19 @@ def _keep(items: list[tuple[int, str]], error_rate: float):
     return keep
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.06, least_chars: int = 24) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.06) -> DataFrame:
     """One row per document and item that it holds: doc_id, item_id, distance,
     budget, and the range [start, end) of the normalised text."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = docs.sparkSession.createDataFrame([], _MATCH)
-    for items in item_blocks(benchmark, least_chars):
+    for items in item_blocks(benchmark):
         out = out.union(texts.mapInArrow(_find(items, error_rate), _MATCH))
     return out.groupBy("doc_id", "item_id").agg(
         F.min(F.struct("distance", "budget", "start", "end")).alias("best")).select("doc_id", "item_id", "best.*")
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.06, least_chars: int = 24) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.06) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no item."""
-    for items in item_blocks(benchmark, least_chars):
+    for items in item_blocks(benchmark):
         docs = docs.mapInArrow(_keep(items, error_rate), docs.schema)
     return docs
