@@ -7,8 +7,9 @@ fits one sequence, and the program covers the length histogram with as few
 configurations as possible.  It is solved by multiplicative weights -- every
 length has a price that falls as it gets covered, and each round prices all
 configurations at once with the knapsack dynamic program over the capacity --
-and then rounded to whole sequences.  What the rounds leave uncovered and what
-rounding leaves over is placed best fit, largest length first.
+until all but a stated share of the tokens is covered -- and then rounded to
+whole sequences.  What rounding leaves over is placed best fit, largest length
+first.  A piece of ``capacity`` tokens is a sequence of its own.
 
 Only the histogram, at most ``capacity`` x ``SALTS`` numbers, reaches the
 driver, whatever the size of the corpus.  Pieces are ranked within their
@@ -16,7 +17,7 @@ driver, whatever the size of the corpus.  Pieces are ranked within their
 and each task looks up the slot of a rank in the bounded slot table.
 
 Defined cases: null and empty texts are the single id 0; repeated rows are
-packed as often as they occur; an empty table gives an empty result; other
+packed as often as they occur; which of equal pieces gets which slot is open; an empty table gives an empty result; other
 columns of ``docs`` are ignored.
 """
 
@@ -123,32 +124,39 @@ def _configuration(length: int, took: np.ndarray, capacity: int) -> dict[int, in
     return out
 
 
-def solve_configurations(counts: np.ndarray, capacity: int, rounds: int = 60, rate: float = 8.0,
+def solve_configurations(counts: np.ndarray, capacity: int, gap: float = 0.002, rounds: int = 24, rate: float = 8.0,
                          slack: float = 0.02) -> list[tuple[float, dict[int, int]]]:
     """Fractional solution [(x, configuration)] for ``counts`` (index = length).
 
-    In round r every length may be covered up to the share r / ``rounds``.  A
-    round prices all configurations with one knapsack, then raises those within
-    ``slack`` of the best, one for each length that they hold for certain."""
-    need = counts.astype(float)
-    live = need > 0
+    Passes of ``rounds`` rounds go on until all but the share ``gap`` of the tokens is covered.
+    In round r of a pass every length may be covered up to the share r / ``rounds`` of what the
+    passes before left.  A round prices all configurations with one knapsack, then raises those
+    within ``slack`` of the best, one for each length that they hold for certain.  A covered
+    length has no price, so it stands in no configuration of a later pass.  The best value of a
+    round bounds the optimum from below; a pass that covers nothing more ends the program."""
     sizes = np.arange(capacity + 1)
-    covered = np.zeros(capacity + 1)
+    left = counts.astype(float)
+    total = float(left @ sizes)
     chosen: dict[tuple, float] = {}
-    for r in range(1, rounds + 1):
-        allowed = need * r / rounds
-        share = covered / np.maximum(need, 1)
-        prices = np.where(live, sizes * np.exp(rate * (share[live].mean() - share)), 0.0)
-        best, took = _price_all(prices, capacity)
-        value = prices + best[::-1]
-        for length in np.flatnonzero(live & (value >= (1 - slack) * value.max())).tolist():
-            config = _configuration(length, took, capacity)
-            step = min((allowed[k] - covered[k]) / m for k, m in config.items())
-            if step > 0:
-                key = tuple(sorted(config.items()))
-                chosen[key] = chosen.get(key, 0.0) + step
-                for k, m in config.items():
-                    covered[k] += m * step
+    while left @ sizes > gap * total:
+        need, live, covered = left, left > 0, np.zeros(capacity + 1)
+        for r in range(1, rounds + 1):
+            allowed = need * r / rounds
+            share = covered / np.where(live, need, 1)
+            prices = np.where(live, sizes * np.exp(rate * (share[live].mean() - share)), 0.0)
+            best, took = _price_all(prices, capacity)
+            value = prices + best[::-1]
+            for length in np.flatnonzero(live & (value >= (1 - slack) * value.max())).tolist():
+                config = _configuration(length, took, capacity)
+                step = min((allowed[k] - covered[k]) / m for k, m in config.items())
+                if step > 0:
+                    key = tuple(sorted(config.items()))
+                    chosen[key] = chosen.get(key, 0.0) + step
+                    for k, m in config.items():
+                        covered[k] += m * step
+        left = np.where(need - covered > 1e-9 * counts, need - covered, 0.0)
+        if (need - left) @ sizes <= 0:
+            break
     return [(x, dict(key)) for key, x in chosen.items()]
 
 
@@ -224,20 +232,27 @@ def _place(bases: np.ndarray, slots: tuple[np.ndarray, ...]):
 
 
 def pack_documents(docs: DataFrame, ranks_path: str, json_path: str, capacity: int = 2048,
-                   rounds: int = 60) -> DataFrame:
+                   gap: float = 0.002) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32,
     sequence_id, offset."""
     pieces = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
               .mapInArrow(_cut_documents(capacity, ranks_path, json_path), _PIECES)
-              .withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")))
+              .withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
+              .withColumn("row", F.monotonically_increasing_id()))
     pieces = scratch_table(pieces, "pieces")
-    counts = np.zeros((capacity + 1, SALTS), dtype=np.int64)
-    for length, salt, n in pieces.groupBy("length", "salt").count().collect():
+    part = pieces.where(F.col("length") < capacity)
+    counts = np.zeros((capacity, SALTS), dtype=np.int64)
+    for length, salt, n in part.groupBy("length", "salt").count().collect():
         counts[length, salt] = n
     bases = np.cumsum(counts, axis=1) - counts
-    totals = counts.sum(axis=1)
-    sequences = round_configurations(totals, capacity, solve_configurations(totals, capacity, rounds)) \
+    totals = np.append(counts.sum(axis=1), 0)
+    sequences = round_configurations(totals, capacity, solve_configurations(totals, capacity, gap)) \
         if totals.any() else []
     group = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    return (pieces.withColumn("nth", F.row_number().over(group).cast("long"))
-            .mapInArrow(_place(bases, slot_table(sequences)), _PACKED))
+    packed = (part.drop("row").withColumn("nth", F.row_number().over(group).cast("long"))
+              .mapInArrow(_place(bases, slot_table(sequences)), _PACKED))
+    # A full piece is a sequence of its own and needs no rank.
+    full = pieces.where(F.col("length") == capacity).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("row")).alias("sequence_id"),
+        F.lit(0).cast("long").alias("offset"))
+    return packed.unionByName(full)
