@@ -10,7 +10,7 @@ stages before it.  The kept documents:
 * language ID drops those without a language (``und``: no letters or no text);
 * exact dedup keeps the row of the smallest doc_id of each text, and one row
   where a row is repeated;
-* the n-gram join (five words, 0.8) keeps the smallest doc_id of each component;
+* the n-gram join (five words, 0.8) keeps one row of each component, that of the smallest doc_id;
 * decontamination drops documents that hold a benchmark item;
 * a null doc_id is larger than every number.
 """
@@ -18,7 +18,7 @@ stages before it.  The kept documents:
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import scratch_table
@@ -36,17 +36,23 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), "text_sha256").alias("k")
     content = F.sha2(F.regexp_replace(F.coalesce("d.text", F.lit("")), "[\\x20\\x09-\\x0D]+", " "), 256)
-    ours = F.row_number().over(Window.partitionBy("k.kept_id", "k.text_sha256").orderBy(F.lit(0)))
+    # Rows that repeat id and text are combined before they travel.
     return (docs.alias("d").join(kept, F.col("d.doc_id").eqNullSafe(F.col("k.kept_id"))
                                  & (content == F.col("k.text_sha256")))
-            .withColumn("nth of equal rows", ours).where("`nth of equal rows` = 1").select("d.*"))
+            .select("d.*", F.col("k.text_sha256").alias("sha of the text"))
+            .dropDuplicates(["doc_id", "sha of the text"]).drop("sha of the text"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     joined = ngram_join(docs, words=5, percent=80)
-    kept = joined.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept_id"))
-    return docs.alias("d").join(kept.distinct().alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.kept_id")),
-                                "left_semi")
+    # Rows are told apart by id and text: one id may have several texts, in several components.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+    kept = (joined.where("component is not null").groupBy("component").agg(first.alias("first"))
+            .select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_key").alias("kept_key"))
+            .unionByName(joined.where("component is null").select(F.col("doc_id").alias("kept_id"),
+                                                                  F.col("text_key").alias("kept_key"))))
+    return docs.alias("d").join(kept.distinct().alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.kept_id"))
+                                & (F.xxhash64("d.text") == F.col("k.kept_key")), "left_semi")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
