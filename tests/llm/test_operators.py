@@ -120,6 +120,50 @@ def test_substring_dedup_repeated_block(spark):
     assert sorted(r.n_removed for r in substring_dedup(pair).collect()) == [0, 60, 60]
 
 
+def _thue_morse(n, a, b):
+    return [(a, b)[bin(i).count("1") % 2] for i in range(n)]
+
+
+def test_structured_words_do_not_collide(spark):
+    """Words, and sequences of words, whose polynomials are equal for any base."""
+    one, two = ("".join(_thue_morse(1024, *p)) for p in ("ab", "ba"))
+    rng = random.Random(3)
+    lead = [f"v{rng.randrange(10 ** 6)}" for _ in range(49)]
+    texts = [" ".join([*lead, one]), " ".join([*lead, two]), " ".join(["x", one, "y"]), " ".join(["x", two, "y"]),
+             " ".join(_thue_morse(256, "p", "q")), " ".join(_thue_morse(256, "q", "p"))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = []
+    for i, words in enumerate(t.split() for t in texts):
+        earlier = {tuple(w[k:k + 50]) for t in texts[:i] for w in [t.split()] for k in range(len(w) - 49)}
+        want.append(len({p for k in range(len(words) - 49) if tuple(words[k:k + 50]) in earlier for p in range(k, k + 50)}))
+    assert [r.n_removed for r in sorted(substring_dedup(docs).collect())] == want and want[:4] == [0] * 4
+    got = {r.doc_id: r.component_id for r in ngram_join(docs, 1).collect()}
+    assert [got[i] for i in range(4)] == [0, 0, 2, 3] and got[4] == got[5] == 4
+    assert {r.component_id for r in ngram_join(docs.where("doc_id in (2, 3)")).collect()} == {2, 3}
+
+
+def test_the_largest_id_is_no_null(spark):
+    last = (1 << 63) - 1
+    docs = spark.createDataFrame([(last, "a b c d e f g"), (None, "own text of a row without an id"), (None, "a b c d e f g"),
+                                  (last, "quite another text here now")], "doc_id long, text string")
+    assert {r.doc_id for r in substring_dedup(docs).collect()} == {last, None}
+    joined = sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join(docs).collect())
+    assert joined == [(0, 0), (0, last), (last, last), (last, last)]
+    exact = {(r.doc_id, r.keep_id, r.kept) for r in exact_dedup(docs).collect()}
+    assert exact == {(last, last, True), (None, last, False), (None, None, True)}
+
+
+def test_equal_rows_of_a_task_are_flushed(spark):
+    docs = spark.range(200_000).select(F.col("id").alias("doc_id"), F.lit("one text").alias("text")).coalesce(1)
+    from linkloom.llm import exact_dedup as module
+    from linkloom.llm.common import slices
+    sizes = [len(r.members) for r in docs.mapInArrow(module._combine_chunks(1 << 20), module._LOCAL).collect()]
+    assert sum(sizes) == 200_000 and max(sizes) <= module.CHUNK_ROWS + 256 and slices
+    out = exact_dedup(docs)
+    assert out.where("kept").collect()[0].doc_id == 0 and out.where("kept").count() == 1
+    assert out.agg(F.min("group_size")).first()[0] == 200_000
+
+
 def test_suffix_automaton():
     rng = random.Random(1)
     for _ in range(60):
@@ -185,6 +229,32 @@ def test_ids_equal_the_json_tokenizer():
         assert encode(text) == full.encode(text, add_special_tokens=False).ids, text
 
 
+def test_packing_program_covers_the_histogram():
+    """The program itself places the tokens, and the whole needs no more sequences than best fit alone."""
+    import numpy as np
+    encode = packing._encoder(RANKS, JSON)
+    import pyarrow.parquet as pq
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()[:1500]
+    lengths = np.array([len(encode(t or "")) % 2048 + 1 for t in texts])
+    counts = np.bincount(lengths[lengths < 2048], minlength=2049)
+    tokens = int(counts @ np.arange(2049))
+    fractional = packing.solve_configurations(counts, 2048)
+    assert sum(x * sum(k * m for k, m in c.items()) for x, c in fractional) >= 0.99 * tokens
+    assert sum(x for x, _ in fractional) <= 1.01 * tokens / 2048
+    whole = packing.round_configurations(counts, 2048, fractional)
+    alone = packing.round_configurations(counts, 2048, [])
+    assert sum(n for n, _ in whole) <= sum(n for n, _ in alone)
+
+
+def test_packing_full_pieces(spark):
+    texts = ["a " * 5000, "b " * 2047, "c"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pack_documents(docs, RANKS, JSON).collect()
+    full = [r for r in rows if r.length == 2048]
+    assert len(full) >= 6 and len({r.sequence_id for r in full}) == len(full)
+    assert not {r.sequence_id for r in full} & {r.sequence_id for r in rows if r.length < 2048}
+
+
 def test_packing_rounds_cover_all():
     import numpy as np
     counts = np.bincount(np.random.default_rng(0).integers(1, 129, 5000), minlength=129)
@@ -248,6 +318,33 @@ def test_decontamination(spark):
     assert {r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()} == {3, 4, 5}
 
 
+def test_decontamination_finds_what_brute_force_finds(spark):
+    """Items of every length, short ones too, against every place of every text."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(2, 5))) for _ in range(40)]
+    items = [" ".join(rng.choice(words) for _ in range(n)) for n in (1, 1, 2, 3, 6, 9, 14, 20, 30)] + ["Paris", "42"]
+    texts = ["the answer is 42.", "in 1942 or 421", "Paris, of course", "comparison", "", "x"]
+    for item in items * 4:
+        noisy = list(item)
+        for _ in range(rng.randint(0, 5)):
+            noisy[rng.randrange(len(noisy))] = rng.choice("abcde z")
+        texts.append(" ".join([rng.choice(words), "".join(noisy), rng.choice(words)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.contaminated(docs, bench).collect()}
+    want = {}
+    for i, text in enumerate(map(decontaminate.normalise, texts)):
+        for j, item in enumerate(map(decontaminate.normalise, items)):
+            if len(item) < decontaminate.SHORT:
+                if re.search(rf"(?<![a-z0-9]){re.escape(item)}(?![a-z0-9])", text):
+                    want[i, j] = 0
+            else:
+                distance = decontaminate.best_substring(item, text)[0]
+                if distance <= int(len(item) * 0.06):
+                    want[i, j] = distance
+    assert got == want and len({j for _, j in want}) >= 8
+
+
 def test_licenses_equal_sql(spark):
     rows = [(1, "x\nLicensed under the Apache License, Version 2.0.", "a", "b"), (2, "plain text. nothing", "a", "b"),
             (3, "Released under the MIT License.", "a", "c"), (4, "no license here", "a", "c"), (5, None, "a", "c"),
@@ -330,6 +427,11 @@ def test_pipeline_stages(spark):
     kept = {r.doc_id for r in docs.collect()}
     assert 0 in kept and not kept & {1, 2, 3, 6, 17, 18, 19}
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).select("doc_id").distinct().count() == len(kept)
+    pairs = [(1, TEXTS[0]), (2, TEXTS[18]), (2, "an unrelated text of its own with enough words"), (None, TEXTS[17]),
+             (None, "one more text that nothing else is like at all"), (1, "the second text of one id, unlike the rest")]
+    odd = spark.createDataFrame([(i, t, "en", "s", 1, "x", 7, 3) for i, t in pairs], SCHEMA)
+    left = {(r.doc_id, r.text) for r in corpus_pipeline.near_stage(spark, odd, SMALL).collect()}
+    assert left == {pairs[0], pairs[2], pairs[4], pairs[5]}
     empty = _empty(spark)
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SMALL)
