@@ -5,11 +5,15 @@ machine adds to the linear weights an inner product of factors for every pair
 of present terms, so that two terms together (an insult and whom it is aimed
 at) can weigh more, or less, than their sum.
 
-Training uses a bounded sample: at most ``sample`` labelled rows, chosen by the
-hash of their ids, of which ``TERMS`` terms at most -- those whose share
-differs most between the classes -- become inputs.  Spark counts the terms;
-the driver gets a row of at most ``TERMS`` small numbers per sampled text.
-Every whole text is scored.
+Training uses a bounded sample: at most ``sample`` labelled rows, one a doc_id,
+chosen by the hash of their ids.  Spark counts their terms.  Two tests choose the
+inputs: at most ``TERMS`` terms whose share differs most between the classes;
+and, among the terms that ``LEAST_SHARE`` of the sampled rows hold, every term of a
+pair whose texts are mislabelled by the machine of the first terms more than
+chance allows -- neither of the pair needs an effect of its own.  With the second
+terms the machine is trained again.  The driver gets the sampled rows' terms as
+small numbers.  Every whole text is scored.  (All terms as inputs were tried:
+on few labelled rows the many rare ones drown the rest.)
 
 Defined cases: a null or empty text has no terms and gets the bias; labels
 that are null are ignored; with a class missing from the sample the score is
@@ -33,6 +37,10 @@ BUCKETS = 1 << 18
 TERMS = 1024
 FOLDS = 5
 LEAST_Z = 3.5
+#: Pairs are tested among terms of this share of the sampled rows, where this many rows hold both.
+LEAST_SHARE, LEAST_BOTH = 0.02, 20
+#: Standard deviations of a pair's summed error that count (millions of pairs are tested).
+PAIR_Z = 6.5
 #: Training weight of a toxic row over a plain one.
 TOXIC_WEIGHT = 4.0
 
@@ -136,19 +144,69 @@ def fit(rows: DataFrame) -> tuple[FactorizationMachine | None, np.ndarray, float
     plain, toxic = F.col("plain") / sizes[0], F.col("toxic") / sizes[1]
     both = (F.col("plain") + F.col("toxic")) / total
     z = F.abs(toxic - plain) / F.sqrt(both * (1 - both) * (1 / sizes[0] + 1 / sizes[1]) + 1e-12)
-    chosen = (rows.mapInArrow(_count_terms, "bucket long, plain long, toxic long").groupBy("bucket")
-              .agg(F.sum("plain").alias("plain"), F.sum("toxic").alias("toxic"))
-              .where(F.col("plain") + F.col("toxic") >= 5).withColumn("z", z).where(F.col("z") >= LEAST_Z)
-              .orderBy(F.col("z").desc(), "bucket").limit(TERMS).collect())
-    if not chosen:
+    counted = (rows.mapInArrow(_count_terms, "bucket long, plain long, toxic long").groupBy("bucket")
+               .agg(F.sum("plain").alias("plain"), F.sum("toxic").alias("toxic")).withColumn("z", z)
+               .withColumn("n", F.col("plain") + F.col("toxic")))
+    chosen = [r.bucket for r in counted.where((F.col("n") >= 5) & (F.col("z") >= LEAST_Z))
+              .orderBy(F.col("z").desc(), "bucket").limit(TERMS).collect()]
+    held = set(chosen)
+    # Rows hold a few hundred terms each, so a few hundred / LEAST_SHARE terms have that share.
+    often = [r.bucket for r in counted.where(F.col("n") >= max(LEAST_BOTH, LEAST_SHARE * total)).select("bucket")
+             .orderBy("bucket").collect()]
+    known = chosen + [b for b in often if b not in held]
+    if not known:
         return None, lookup, sizes[1] / total
-    lookup[[r.bucket for r in chosen]] = np.arange(len(chosen))
+    lookup[known] = np.arange(len(known))
     table = rows.mapInArrow(_inputs(lookup), "label int, inputs array<int>").toArrow()
-    inputs = table.column("inputs").combine_chunks()
+    inputs, label = table.column("inputs").combine_chunks(), table.column("label").to_numpy().astype(float)
     text = np.repeat(np.arange(len(inputs)), inputs.value_lengths().to_numpy())
-    machine = FactorizationMachine(len(chosen)).fit(
-        text, inputs.flatten().to_numpy(), table.column("label").to_numpy().astype(float))
-    return machine, lookup, sizes[1] / total
+    term = inputs.flatten().to_numpy()
+    first = term < len(chosen)
+    machine = FactorizationMachine(len(chosen)).fit(text[first], term[first], label)
+    raw, _ = machine.raw(text[first], term[first], len(label))
+    error = label - 1 / (1 + np.exp(-np.clip(raw, -35, 35)))
+    place = np.full(len(known), -1)
+    place[[lookup[b] for b in often]] = np.arange(len(often))
+    common = place[term] >= 0
+    paired = {often[k] for k in paired_terms(text[common], place[term[common]], len(often), error - error.mean())} - held
+    if paired:
+        place = np.full(len(known), -1)
+        place[:len(chosen)] = np.arange(len(chosen))
+        place[[lookup[b] for b in sorted(paired)]] = len(chosen) + np.arange(len(paired))
+        used = place[term] >= 0
+        machine = FactorizationMachine(len(chosen) + len(paired)).fit(text[used], place[term[used]], label)
+    final = np.full(BUCKETS, -1, dtype=np.int32)
+    final[chosen + sorted(paired)] = np.arange(len(chosen) + len(paired))
+    return machine, final, sizes[1] / total
+
+
+def paired_terms(text: np.ndarray, term: np.ndarray, n: int, error: np.ndarray, block: int = 512) -> set[int]:
+    """Terms (of n) in a pair whose common texts have a summed error that chance does not explain.
+    Blocks of terms against all terms, rows block by block: memory is block x n."""
+    order = np.argsort(text, kind="stable")
+    text, term = text[order], term[order]
+    bounds = np.searchsorted(text, np.arange(0, len(error) + 2048, 2048))
+    out: set[int] = set()
+    for low in range(0, n, block):
+        size = min(block, n - low)
+        total, spread, both = (np.zeros((size, n), dtype=np.float32) for _ in range(3))
+        for k in range(len(bounds) - 1):
+            rows = error[2048 * k:2048 * (k + 1)].astype(np.float32)
+            if not len(rows):
+                continue
+            dense = np.zeros((len(rows), n), dtype=np.float32)
+            a, b = bounds[k], bounds[k + 1]
+            dense[text[a:b] - 2048 * k, term[a:b]] = 1
+            mine = dense[:, low:low + size].T
+            both += mine @ dense
+            total += (mine * rows) @ dense
+            spread += (mine * rows ** 2) @ dense
+        with np.errstate(divide="ignore", invalid="ignore"):
+            odd = (both >= LEAST_BOTH) & (np.abs(total) >= PAIR_Z * np.sqrt(spread))
+        odd[np.arange(size), low + np.arange(size)] = False
+        at, to = np.nonzero(odd)
+        out.update((low + at).tolist(), to.tolist())
+    return out
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = 20_000) -> DataFrame:
@@ -156,10 +214,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
     crc32(doc_id) mod FOLDS is 0 are held out of training."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # At most ``sample`` rows of two numbers, so the broadcast is bounded.
+    # One row a doc_id (the least label, the least text), so a repeated id brings no more rows.
     marked = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
               .where(F.col("label").isin(0, 1) & (crc32_remainder(F.col("doc_id"), FOLDS) != 0))
-              .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample))
-    machine, lookup, share = fit(texts.join(F.broadcast(marked), "doc_id").select("text", "label"))
+              .groupBy("doc_id").agg(F.min("label").alias("label"))
+              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+    rows = texts.join(F.broadcast(marked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    machine, lookup, share = fit(rows.select("text", "label"))
     return (texts.mapInArrow(_score(machine, lookup, share), "doc_id long, score double")
             .select("doc_id", (crc32_remainder(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "score",
                     (F.col("score") >= threshold).cast("int").alias("predicted")))
