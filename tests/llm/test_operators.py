@@ -393,6 +393,41 @@ def test_classifiers_held_out(spark, name, column, least):
     assert sum(r.predicted == r[column] for r in rows) / len(rows) >= least
 
 
+def test_toxicity_of_a_pair_alone(spark):
+    """Toxic exactly when both words are there or neither is: no word has an effect of its own, so
+    additive weights can do no better than chance."""
+    rng = random.Random(1)
+    rows = []
+    for i in range(6000):
+        words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in rng.choices(range(400), k=rng.randint(20, 60))]
+        pair = [w for w in ("fool", "martian") if rng.random() < 0.5]
+        for w in pair:
+            words.insert(rng.randrange(len(words)), w)
+        rows.append((i, " ".join(words), int(len(pair) != 1)))
+    for w in ("fool", "martian"):
+        alone = [toxic for _, text, toxic in rows if w in text.split()]
+        assert abs(sum(alone) / len(alone) - 0.5) < 0.03
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    out = toxicity.toxicity_scores(docs.drop("toxic"), docs.drop("text")).where("held_out").join(docs, "doc_id").collect()
+    assert sum(r.predicted == r.toxic for r in out) / len(out) >= 0.95
+
+
+def test_paired_terms():
+    import numpy as np
+    rng = np.random.default_rng(2)
+    holds = rng.random((5000, 600)) < 0.1
+    error = rng.normal(0, 0.3, 5000) + 0.6 * (holds[:, 3] & holds[:, 580])
+    text, term = np.nonzero(holds)
+    assert toxicity.paired_terms(text, term, 600, error - error.mean()) == {3, 580}
+    assert toxicity.paired_terms(text, term, 600, rng.normal(0, 0.3, 5000)) == set()
+
+
+def test_toxicity_takes_one_row_an_id(spark):
+    docs = spark.createDataFrame([(i % 50, f"text {i}") for i in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 50, i % 2) for i in range(500)], "doc_id long, toxic int")
+    assert toxicity.toxicity_scores(docs, labels).count() == 500
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = language.identify(docs).where("held_out").join(docs, "doc_id").collect()
