@@ -415,7 +415,7 @@ def test_toxicity_of_a_pair_alone(spark):
 def test_paired_terms():
     import numpy as np
     rng = np.random.default_rng(2)
-    holds = rng.random((5000, 600)) < 0.1
+    holds = rng.random((5000, 600)) < 0.2
     error = rng.normal(0, 0.3, 5000) + 0.6 * (holds[:, 3] & holds[:, 580])
     text, term = np.nonzero(holds)
     assert toxicity.paired_terms(text, term, 600, error - error.mean()) == {3, 580}
