@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
+from linkloom.operators.seen import SALTS
+
 # 64-bit FNV-1 offset basis and prime.
 FNV64_OFFSET = 14695981039346656037
 FNV64_PRIME = 1099511628211
@@ -307,6 +309,7 @@ def two_tier_pairs(probes: DataFrame, domains: DataFrame, urls: DataFrame, store
     Tier one asks the Bloom filter of domains, tier two that of URLs; a key that
     a filter may contain is confirmed against the stored (domain, url) table, so
     both flags equal plain lookups.  A pair is known only within a known domain.
+    A hot domain's pairs are dealt over SALTS tasks by their URL.
     """
     pairs = probes.select("domain", "url").distinct()
     hosts = two_tier_known(pairs, "domain", domains, stored, domain_params) \
@@ -315,6 +318,9 @@ def two_tier_pairs(probes: DataFrame, domains: DataFrame, urls: DataFrame, store
     sure = pairs.join(maybe.select("url"), "url", "left_semi") \
         .join(stored.select("domain", "url"), ["domain", "url"], "left_semi") \
         .withColumn("_pair", F.lit(True))
-    return pairs.join(sure, ["domain", "url"], "left").join(hosts, "domain", "left").select(
+    hosts = hosts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = pairs.join(sure, ["domain", "url"], "left") \
+        .withColumn("_salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int"))
+    return pairs.join(hosts, ["domain", "_salt"], "left").select(
         "domain", "url", F.coalesce("domain_known", F.lit(False)).alias("domain_known"),
         F.coalesce("_pair", F.lit(False)).alias("pair_known"))

@@ -56,17 +56,6 @@ def priority(override: Column, domain_known: Column, recrawl: Column,
             .when(~url_known, 3).otherwise(5)).cast("int")
 
 
-def should_ignore(domain_known: Column, url_known: Column, override: Column,
-                  recrawl: Column) -> Column:
-    """F1, candidate by candidate."""
-    return domain_known & url_known & ~(override | recrawl)
-
-
-def should_add(domain_known: Column, url_known: Column) -> Column:
-    """F2, candidate by candidate (reduces to NOT url_known)."""
-    return ~(domain_known & url_known) & ~url_known
-
-
 def _normalise(cand: DataFrame, seq: str) -> DataFrame:
     cols = set(cand.columns)
     ov = F.coalesce(F.col("override").cast("boolean"), F.lit(False)) if "override" in cols \

@@ -48,11 +48,13 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.read_pages(spark, f"{sf_dir}/pages.parquet")
 
 
-_SEEN_TABLES: dict[tuple[str, str], str] = {}
+_SEEN_TABLES: dict[tuple, str] = {}
 
 
 def seen_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/pages.parquet")
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    key = (spark.sparkContext.applicationId, sf_dir, files.getFileStatus(place).getModificationTime())
     if key not in _SEEN_TABLES:
         fetched = io.seeds_from_lines(pages(spark, sf_dir).filter(F.col("url").startswith("https:")), "url")
         links = A.explode_links(accepted_pages(spark, sf_dir)).filter(F.col("domain") != "")
