@@ -24,9 +24,15 @@ def domain_edges(analyzed: DataFrame, observed: int) -> DataFrame:
                         F.lit(int(observed)).cast("long").alias("observed"))
 
 
-def append_edges(edges: DataFrame, path: str) -> None:
-    """Append-only edge table."""
-    edges.select("source", "target", "observed").write.mode("append").parquet(path)
+def append_edges(edges: DataFrame, path: str, batch_id: int | None = None) -> None:
+    """Append-only edge table.  With ``batch_id`` the write replaces exactly that
+    batch's folder, so a replayed batch leaves no doubled edge (a table takes either
+    numbered batches or plain appends)."""
+    out = edges.select("source", "target", "observed")
+    if batch_id is None:
+        out.write.mode("append").parquet(path)
+    else:
+        out.write.mode("overwrite").parquet(f"{path}/batch_id={int(batch_id)}")
 
 
 def read_edges(spark, path: str) -> DataFrame:

@@ -79,6 +79,14 @@ def test_edges_append_and_scan(spark):
     assert len(rows) == 2 and {(r.source, r.target, r.observed) for r in rows} == {("h.com", "x.org", 7)}
 
 
+def test_edge_append_is_idempotent_per_batch(spark):
+    d = os.path.join(_tmp(), "edges")
+    edges = spark.createDataFrame([("a", "b", 1), ("a", "b", 1)], "source string, target string, observed long")
+    for batch in (0, 1, 1):                  # the last is a replay
+        append_edges(edges, d, batch)
+    assert read_edges(spark, d).count() == 4 and read_edges(spark, d).columns == ["source", "target", "observed"]
+
+
 def test_seen_append_is_idempotent_per_batch(spark):
     d = os.path.join(_tmp(), "seen")
     add = spark.createDataFrame([("a", "a/1"), ("b", "b/1")], "domain string, url string")
