@@ -293,6 +293,7 @@ class LayeredBloom:
             self._words_of(self._layered(rows, cuts), counts).write.parquet(part)
             state["parts"] = [*state["parts"], part]
         self.manifest.commit(state | {"counts": counts, "cuts": _merged(state["cuts"], cuts), "last_batch": batch_id})
+        self.manifest.discard(staged)
         if len(state["parts"]) > self.MOST_PARTS:
             self.compact()
         return True

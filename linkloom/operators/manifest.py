@@ -66,6 +66,11 @@ class Manifest:
         """A new data folder (not yet part of any version)."""
         return f"{self.path}/data/{name}-{uuid.uuid4().hex[:12]}"
 
+    def discard(self, folder: str) -> None:
+        """Delete a data folder that no version names."""
+        files, place = self._files(folder)
+        files.delete(place, True)
+
     def drop(self, keep: int, named_by) -> int:
         """Delete all but the last ``keep`` versions, and the data folders that no
         remaining version names (``named_by``: state -> folders).  Returns how many

@@ -61,6 +61,7 @@ class PriorityQueue:
             state["segments"] += [{"file": r.file, "first": list(r.first), "last": list(r.last), "after": None,
                                    "left": r.left} for r in self._measured(self._read([folder]))]
         self.manifest.commit(state | {"last_put": put_id})
+        self.manifest.discard(staged)
         return True
 
     def _read(self, paths: list[str]) -> DataFrame:
@@ -96,7 +97,8 @@ class PriorityQueue:
 
     def take(self, n: int, take_id: int) -> DataFrame:
         """The next ``n`` rows (fewer when the queue runs out) leave the queue.  The last take is
-        returned again under its id."""
+        returned again under its id; its rows are stored until a later take is made and old
+        versions are dropped."""
         state = self.manifest.read()
         if state["taken"] is not None and take_id <= state["taken"]["id"]:
             if take_id < state["taken"]["id"]:
